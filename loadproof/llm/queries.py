@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from loadproof.llm import secrets
+from loadproof.llm import decontaminate, secrets
 
 QUERIES = {
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op8_secret_scans": secrets.op8_secret_scans,
 }
 
 ORACLES = {
+    "op9_benchmark_decontamination": decontaminate.OP9_SQL,
     "op8_secret_scans": secrets.OP8_SQL,
 }
