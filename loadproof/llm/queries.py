@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loadproof.llm import bpe, decontaminate, secrets
+from loadproof.llm import bpe, decontaminate, jaccard, secrets
 
 QUERIES = {
+    "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op8_secret_scans": secrets.op8_secret_scans,
