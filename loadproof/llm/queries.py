@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loadproof.llm import bpe, decontaminate, jaccard, secrets
+from loadproof.llm import bpe, decontaminate, jaccard, secrets, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
