@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,17 @@ def fold(doc_id: str, modulus: int):
 
 def py_fold(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
+
+
+def filter_texts(docs: DataFrame, text_col: str, start: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows whose text passes, with all columns as they are; start() makes a task's own test of a list of texts."""
+    small_batches(docs.sparkSession)
+    names, at = docs.columns, docs.columns.index(text_col)
+    schema = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = start()
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema).toDF(*names)

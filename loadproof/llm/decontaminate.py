@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadproof.llm.common import small_batches, table
+from loadproof.llm.common import filter_texts, small_batches, table
 
 #: Words in a window.
 WINDOW = 10
@@ -118,6 +118,25 @@ def benchmark_hits(
     return picked.mapInArrow(run, "id long, n_words long, hit array<int>, items array<long>").withColumnRenamed("id", id_col)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows whose text has no window of any item, all columns kept."""
+    parts = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks(benchmark, item_col, item_text_col, block_chars)]
+
+    def start():
+        one = automaton(parts[0].value, size) if len(parts) == 1 else None
+
+        def passes(texts: list[str | None]) -> list[bool]:
+            clean = [True] * len(texts)
+            for part in parts:
+                machine = one if len(parts) == 1 else automaton(part.value, size)
+                clean = [c and not scan(t, machine)[2] for c, t in zip(clean, texts, strict=True)]
+            return clean
+
+        return passes
+
+    return filter_texts(docs, text_col, start)
+
+
 def hit_spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
     """Offsets in the original text of each run of hit words, end exclusive."""
     if not len(hit):

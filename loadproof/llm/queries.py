@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from loadproof.llm import bpe, decontaminate, jaccard, secrets, toxicity
+from loadproof.llm import bpe, decontaminate, jaccard, licenses, secrets, topk, toxicity
 
 QUERIES = {
+    "op1_license_scans": licenses.op1_license_scans,
+    "op6_exact_top_k": topk.op6_exact_top_k,
     "op3_toxicity": toxicity.op3_toxicity,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
@@ -13,6 +15,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_license_scans": licenses.OP1_SQL,
+    "op6_exact_top_k": topk.OP6_SQL,
     "op9_benchmark_decontamination": decontaminate.OP9_SQL,
     "op8_secret_scans": secrets.OP8_SQL,
 }

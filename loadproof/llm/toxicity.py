@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadproof.llm.common import fold, small_batches, table
+from loadproof.llm.common import filter_texts, fold, small_batches, table
 
 #: Bounds of the two samples that the classifier is fitted on.
 POSITIVES, UNLABELLED = 4_000, 12_000
@@ -165,16 +165,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose text isn't predicted toxic, all columns kept; scored in the row, without a join."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
-    names, at = docs.columns, docs.columns.index(text_col)
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         seen: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            yield batch.filter(pa.array(held.value.scores(batch.column(at).to_pylist(), seen) < 0.5))
+        return lambda texts: (held.value.scores(texts, seen) < 0.5).tolist()
 
-    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))).toDF(*names)
+    return filter_texts(docs, text_col, start)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
