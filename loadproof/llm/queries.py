@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loadproof.llm import bpe, decontaminate, jaccard, licenses, secrets, topk, toxicity
+from loadproof.llm import bpe, decontaminate, jaccard, licenses, pii, secrets, topk, toxicity
 
 QUERIES = {
+    "op7_pii_surrogates": pii.op7_pii_surrogates,
     "op1_license_scans": licenses.op1_license_scans,
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op3_toxicity": toxicity.op3_toxicity,
