@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from loadproof.llm import bpe, decontaminate, jaccard, licenses, pii, secrets, topk, toxicity
+from loadproof.llm import bpe, decontaminate, html, jaccard, langid, licenses, pii, secrets, topk, toxicity
 
 QUERIES = {
+    "op2_html_extraction": html.op2_html_extraction,
+    "op4_language_id": langid.op4_language_id,
     "op7_pii_surrogates": pii.op7_pii_surrogates,
     "op1_license_scans": licenses.op1_license_scans,
     "op6_exact_top_k": topk.op6_exact_top_k,
