@@ -1,6 +1,543 @@
-"""Every query of the intake operators, with its SQL."""
+"""Every query of the intake operators, with its SQL. All read the given tables, whole.
+
+The tables are clean, so violations are shown against restricted parents (a parent table less some
+of its rows, by value), and catalogs are derived from columns: brands stand for classes, types and
+sizes for constraints and indexes, customers' orders for runs and their edges.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loadproof.functions.text import split_qualified
+from loadproof.model import Edge
+from loadproof.operators import cast, compare, graph, keys, profile, refs
+from loadproof.plans import ledger, policy, report
+from loadproof.sources import catalog, dump, sinks
+from loadproof.sources.scratch import new_path
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+ORDERS_CUSTOMER = Edge("orders_customer", "orders", ("o_custkey",), "customer", ("c_custkey",), ("o_orderkey",))
+
+
+@query("""SELECT 'orders_customer' edge, 'orders' child, 'customer' parent, 'o_orderkey=' || o_orderkey child_key, 'o_custkey=' || o_custkey fk_values FROM orders o
+WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c_mktsegment <> 'BUILDING' AND c_custkey = o_custkey)""")
+def fk_orphans_enumerated(spark, d):
+    return refs.fk_orphans(read(spark, d, "orders"), read(spark, d, "customer").where("c_mktsegment <> 'BUILDING'"), ORDERS_CUSTOMER)
+
+
+@query("""SELECT 'lineitem_lineitem' edge, 'lineitem' child, 'lineitem' parent, 'l_partkey=' || l_partkey || ', l_suppkey=' || l_suppkey child_key, 'l_orderkey=' || l_orderkey || ', l_linenumber=' || l_linenumber fk_values FROM lineitem a
+WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_returnflag <> 'R' AND b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber)""")
+def fk_orphans_composite(spark, d):
+    lines = read(spark, d, "lineitem")
+    pair = ("l_orderkey", "l_linenumber")
+    return refs.fk_orphans(lines, lines.where("l_returnflag <> 'R'"), Edge("lineitem_lineitem", "lineitem", pair, "lineitem", pair, ("l_partkey", "l_suppkey")))
+
+
+@query("""SELECT 'orders_customer' edge, 'orders' child, 'customer' parent, 'o_orderkey=' || o_orderkey child_key, 'o_custkey=' || o_custkey fk_values
+FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END o_custkey FROM orders) o
+WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c_acctbal > 0 AND c_custkey = o_custkey)""")
+def fk_null_keys_pass(spark, d):
+    orders = read(spark, d, "orders").withColumn("o_custkey", F.when(F.col("o_orderstatus") != "F", F.col("o_custkey")))
+    return refs.fk_orphans(orders, read(spark, d, "customer").where("c_acctbal > 0"), ORDERS_CUSTOMER)
+
+
+@query("""SELECT 'customer_customer' edge, 'customer' child, 'customer' parent, 'c_custkey=' || c_custkey child_key, 'referrer=' || (c_custkey - 1) fk_values FROM customer a
+WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey = a.c_custkey - 1)""")
+def fk_self_reference(spark, d):
+    customers = read(spark, d, "customer").withColumn("referrer", F.col("c_custkey") - 1)
+    return refs.check_edges({"customer": customers}, [Edge("customer_customer", "customer", ("referrer",), "customer", ("c_custkey",), ("c_custkey",))])
+
+
+@query("""WITH c AS (SELECT c_custkey, min(o_orderkey) first_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' GROUP BY c_custkey),
+o AS (SELECT * FROM orders WHERE o_orderstatus <> 'F')
+SELECT 'customer_orders' edge, 'customer' child, 'orders' parent, 'c_custkey=' || c_custkey child_key, 'first_order=' || first_order fk_values FROM c WHERE first_order IS NOT NULL AND NOT EXISTS (SELECT 1 FROM o WHERE o_orderkey = first_order)
+UNION ALL SELECT 'orders_customer', 'orders', 'customer', 'o_orderkey=' || o_orderkey, 'o_custkey=' || o_custkey FROM o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c_custkey = o_custkey)""")
+def fk_cycle_both_directions(spark, d):
+    orders = read(spark, d, "orders")
+    first = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("first_order"))
+    customers = read(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").join(first, "c_custkey", "left")
+    back = Edge("customer_orders", "customer", ("first_order",), "orders", ("o_orderkey",), ("c_custkey",))
+    return refs.check_edges({"customer": customers, "orders": orders.where("o_orderstatus <> 'F'")}, [back, ORDERS_CUSTOMER])
+
+
+#: Natural edges, each with the restriction that makes orphans.
+RESTRICTED = {"region": "r_name <> 'ASIA'", "nation": "n_regionkey <> 1", "customer": "c_mktsegment <> 'BUILDING'", "orders": "o_orderstatus <> 'F'", "part": "p_size > 5", "supplier": "s_acctbal > 0"}
+EDGES = (
+    Edge("nation_region", "nation", ("n_regionkey",), "region", ("r_regionkey",), ("n_nationkey",)),
+    Edge("customer_nation", "customer", ("c_nationkey",), "nation", ("n_nationkey",), ("c_custkey",)),
+    Edge("supplier_nation", "supplier", ("s_nationkey",), "nation", ("n_nationkey",), ("s_suppkey",)),
+    ORDERS_CUSTOMER,
+    Edge("lineitem_orders", "lineitem", ("l_orderkey",), "orders", ("o_orderkey",), ("l_orderkey", "l_linenumber")),
+    Edge("lineitem_part", "lineitem", ("l_partkey",), "part", ("p_partkey",), ("l_orderkey", "l_linenumber")),
+    Edge("lineitem_supplier", "lineitem", ("l_suppkey",), "supplier", ("s_suppkey",), ("l_orderkey", "l_linenumber")),
+)
+
+
+def _orphans_sql(e: Edge) -> str:
+    key = " || ', ' || ".join(f"'{c}=' || {c}" for c in e.child_key)
+    return f"SELECT '{e.name}' edge, '{e.child}' child, '{e.parent}' parent, {key} child_key, '{e.child_columns[0]}=' || {e.child_columns[0]} fk_values FROM {e.child} WHERE NOT EXISTS (SELECT 1 FROM {e.parent} WHERE {RESTRICTED[e.parent]} AND {e.parent_columns[0]} = {e.child_columns[0]})"
+
+
+ALL_ORPHANS = " UNION ALL ".join(map(_orphans_sql, EDGES))
+
+
+def _all_orphans(spark, d) -> DataFrame:
+    parts = [refs.fk_orphans(read(spark, d, e.child), read(spark, d, e.parent).where(RESTRICTED[e.parent]), e) for e in EDGES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(ALL_ORPHANS)
+def fk_orphans_all_edges(spark, d):
+    return _all_orphans(spark, d)
+
+
+@query("""SELECT 'lineitem_orders' edge, count(*) rows_checked, count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')) orphans FROM lineitem
+UNION ALL SELECT 'lineitem_part', count(*), count(*) FILTER (l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)) FROM lineitem
+UNION ALL SELECT 'lineitem_supplier', count(*), count(*) FILTER (l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) FROM lineitem""")
+def fk_multi_edge_summary(spark, d):
+    parents = {t: read(spark, d, t).where(RESTRICTED[t]) for t in ("orders", "part", "supplier")}
+    out = refs.fk_check_multi(read(spark, d, "lineitem"), parents, [e for e in EDGES if e.child == "lineitem"])
+    return out.select("edge", F.col("rows_checked").cast("long").alias("rows_checked"), F.col("orphans").cast("long").alias("orphans"))
+
+
+@query(f"SELECT edge, count(DISTINCT fk_values) distinct_values, min(child_key) first_key, arg_min(fk_values, {{a: child_key, b: fk_values}}) first_value FROM ({ALL_ORPHANS}) GROUP BY edge")
+def fk_first_offender(spark, d):
+    return refs.first_offender(_all_orphans(spark, d), "child_key")
+
+
+@query(f"SELECT e.edge, coalesce(n, 0) orphans, coalesce(n, 0) > 0 violated FROM (VALUES {', '.join(f'({chr(39)}{e.name}{chr(39)})' for e in EDGES)}) e(edge) LEFT JOIN (SELECT edge, count(*) n FROM ({ALL_ORPHANS}) GROUP BY edge) o ON o.edge = e.edge")
+def fk_edge_results(spark, d):
+    return refs.edge_results(_all_orphans(spark, d), spark.createDataFrame([(e.name,) for e in EDGES], "edge string"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def pk_duplicates(spark, d):
+    return keys.unique_violations(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT CASE WHEN k IS NULL THEN 'null' ELSE 'duplicate' END problem, 'k=' || coalesce(CAST(k AS VARCHAR), 'NULL') "key", count(*) n FROM (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END k FROM orders) GROUP BY k HAVING k IS NULL OR count(*) > 1""")
+def pk_nulls(spark, d):
+    orders = read(spark, d, "orders").select(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("k"))
+    return keys.pk_violations(orders, ["k"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) r FROM lineitem) WHERE r = 1""")
+def pk_dedup_repair(spark, d):
+    kept, _ = keys.dedup_repair(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query("SELECT 'documents_text' name, md5(text) k, count(*) n FROM documents GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'part_name', p_name, count(*) FROM part GROUP BY ALL HAVING count(*) > 1")
+def unique_duplicates(spark, d):
+    texts = keys.unique_violations(read(spark, d, "documents").select(F.md5("text").alias("k")), ["k"]).withColumn("name", F.lit("documents_text"))
+    names = keys.unique_violations(read(spark, d, "part").select(F.col("p_name").alias("k")), ["k"]).withColumn("name", F.lit("part_name"))
+    return texts.unionByName(names).select("name", "k", "n")
+
+
+@query("""WITH k AS (SELECT o_orderkey, o_custkey, EXISTS (SELECT 1 FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey = o_custkey) ok FROM orders)
+SELECT count(*) FILTER (ok) kept, count(*) FILTER (NOT ok) before, CAST(0 AS BIGINT) after FROM k""")
+def repair_then_recheck(spark, d):
+    orders, parent = read(spark, d, "orders"), read(spark, d, "customer").where("c_mktsegment <> 'BUILDING'")
+    fixed = refs.repair_drop_orphans(orders, parent, ORDERS_CUSTOMER)
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    rows = n(fixed, "kept").union(n(refs.orphan_rows(orders, parent, ORDERS_CUSTOMER), "before")).union(n(refs.orphan_rows(fixed, parent, ORDERS_CUSTOMER), "after"))
+    return rows.agg(*[F.sum(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("kept", "before", "after")])
+
+
+_COUNTS = " UNION ALL ".join(f"SELECT '{t}' \"table\", count(*) n FROM {t}" for t in TABLES)
+
+
+@query(f'WITH c AS ({_COUNTS}) SELECT * FROM c UNION ALL SELECT \'TOTAL\', CAST(sum(n) AS BIGINT) FROM c')
+def load_counts(spark, d):
+    return compare.table_counts({t: read(spark, d, t) for t in TABLES})
+
+
+@query(f'WITH c AS ({_COUNTS}) SELECT "table", n counted, n hashed, true agree FROM c WHERE "table" IN (\'region\', \'nation\', \'customer\', \'supplier\', \'part\', \'orders\', \'lineitem\', \'events\')')
+def count_agreement(spark, d):
+    some = {t: read(spark, d, t) for t in TABLES[:8]}
+    return compare.count_agreement(compare.table_counts(some, None), compare.checksums(some))
+
+
+def _text_sql(t: str, cols: dict[str, str]) -> str:
+    forms = {"d": "coalesce(CAST(CAST({0} AS DECIMAL(38,6)) AS VARCHAR), '\\N')", "t": "coalesce(strftime({0}, '%Y-%m-%d %H:%M:%S.%f'), '\\N')", "s": "coalesce(CAST({0} AS VARCHAR), '\\N')"}
+    return f"SELECT '{t}' \"table\", count(*) n, CAST(coalesce(sum(CAST(('0x' || substr(md5({' || chr(124) || '.join(forms[k].format(c) for c, k in cols.items())}), 1, 8)) AS BIGINT)), 0) AS VARCHAR) checksum FROM {t}"
+
+
+_COLUMNS = {
+    "region": {"r_regionkey": "s", "r_name": "s"},
+    "nation": {"n_nationkey": "s", "n_name": "s", "n_regionkey": "s"},
+    "customer": {"c_custkey": "s", "c_name": "s", "c_nationkey": "s", "c_acctbal": "d", "c_mktsegment": "s"},
+    "orders": {"o_orderkey": "s", "o_custkey": "s", "o_orderstatus": "s", "o_totalprice": "d", "o_orderdate": "t", "o_orderpriority": "s"},
+    "documents": {"doc_id": "s", "text": "s", "lang": "s", "source": "s", "n_chars": "s"},
+}
+
+
+@query(" UNION ALL ".join(_text_sql(t, c) for t, c in _COLUMNS.items()))
+def content_checksum(spark, d):
+    return compare.checksums({t: read(spark, d, t) for t in _COLUMNS})
+
+
+@query("""(SELECT l_orderkey, l_linenumber, l_partkey, 'only_a' side FROM lineitem EXCEPT ALL SELECT l_orderkey, l_linenumber, l_partkey, 'only_a' FROM lineitem WHERE l_quantity < 40)""")
+def data_diff_exceptall(spark, d):
+    a = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return compare.data_diff(a.drop("l_quantity"), a.where("l_quantity < 40").drop("l_quantity"))
+
+
+@query(f"""WITH s AS ({_text_sql("orders", _COLUMNS["orders"])}), t AS ({_text_sql("orders", _COLUMNS["orders"])} WHERE o_orderstatus <> 'P')
+SELECT "table", s.n n_source, s.checksum sum_source, t.n n_target, t.checksum sum_target, s.n = t.n AND s.checksum = t.checksum same FROM s JOIN t USING ("table")""")
+def roundtrip_compare(spark, d):
+    orders = read(spark, d, "orders")
+    orders.where("o_orderstatus <> 'P'").write.parquet(path := new_path(spark))
+    return compare.compare({"orders": orders}, {"orders": spark.read.parquet(path)})
+
+
+@query("""WITH a AS (SELECT p_brand "table", p_type item, max(p_size) width FROM part GROUP BY ALL), b AS (SELECT p_brand "table", p_type item, max(p_size) width FROM part WHERE p_size < 49 GROUP BY ALL)
+SELECT "table", item, CASE WHEN b.width IS NULL THEN 'only_a' WHEN a.width IS NULL THEN 'only_b' ELSE 'changed' END side, a.width width_a, b.width width_b FROM a FULL JOIN b USING ("table", item) WHERE a.width IS DISTINCT FROM b.width""")
+def fingerprint_diff(spark, d):
+    shape = lambda df: df.groupBy(F.col("p_brand").alias("table"), F.col("p_type").alias("item")).agg(F.max("p_size").alias("width"))
+    parts = read(spark, d, "part")
+    return compare.diff(shape(parts), shape(parts.where("p_size < 49")), ["table", "item"])
+
+
+@query("""WITH a AS (SELECT DISTINCT p_brand, p_type, p_size FROM part), u AS (SELECT DISTINCT p_brand FROM part WHERE p_retailprice > 950)
+SELECT '#ATTR' tag, 'dba' owner, p_brand "table", p_type || ' ' || p_size detail FROM a JOIN u USING (p_brand) UNION ALL SELECT '#CLASS', 'dba', p_brand, 'CLASS' FROM u""")
+def catalog_fingerprint(spark, d):
+    parts = read(spark, d, "part").select(F.lit("dba").alias("owner"), F.col("p_brand").alias("table"), "p_type", "p_size", "p_retailprice", F.lit("CLASS").alias("class_type"))
+    users = parts.where("p_retailprice > 950").select("owner", "table", "class_type").distinct()
+    frames = {"ATTR": parts.select("owner", "table", "p_type", "p_size").distinct(), "CLASS": users}
+    return compare.fingerprint(frames, {"ATTR": ["p_type", "p_size"], "CLASS": ["class_type"]}, users)
+
+
+def _profile_sql(t: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{t}' \"table\", '{c}' \"column\", count(*) n, count(*) FILTER ({c} IS NULL) nulls, CAST(min({c}) AS VARCHAR) low, CAST(max({c}) AS VARCHAR) high, count(DISTINCT {c}) distinct_values FROM {t}" for c in cols)
+
+
+@query(_profile_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]) + " UNION ALL " + _profile_sql("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]))
+def column_profile(spark, d):
+    some = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]}
+    a, b = (profile.profile(read(spark, d, t).select(*c), t, exact=True) for t, c in some.items())
+    return a.unionByName(b)
+
+
+@query("SELECT max(event_id) max_value, (SELECT count(*) FROM events WHERE event_type <> 'view') AS current, (SELECT count(*) FROM events WHERE event_type <> 'view') >= max(event_id) ok FROM events")
+def serial_high_water(spark, d):
+    events = read(spark, d, "events")
+    return keys.serial_check(events, "event_id", events.where("event_type <> 'view'").agg(F.count("*").alias("current")))
+
+
+_YEARS = [("before_1995", 1995), ("before_1998", 1998), ("before_2001", 2001), ("rest", None)]
+
+
+@query("""WITH p AS (SELECT CASE WHEN year(o_orderdate) < 1995 THEN 'before_1995' WHEN year(o_orderdate) < 1998 THEN 'before_1998' WHEN year(o_orderdate) < 2001 THEN 'before_2001' ELSE 'rest' END part, count(*) n FROM orders GROUP BY ALL)
+SELECT d.part, coalesce(n, 0) n, n IS NOT NULL populated FROM (VALUES ('before_1995'), ('before_1998'), ('before_2001'), ('rest')) d(part) LEFT JOIN p ON p.part = d.part""")
+def range_partition_counts(spark, d):
+    orders = read(spark, d, "orders").select(F.year("o_orderdate").alias("y")).withColumn("p", sinks.partition_column("range", "y", _YEARS))
+    return profile.partition_counts(orders, "p", spark.createDataFrame([(n,) for n, _ in _YEARS], "part string"))
+
+
+@query(f'SELECT "table", n FROM ({_COUNTS}) ORDER BY n DESC, "table" LIMIT 3')
+def largest_tables_topk(spark, d):
+    return profile.largest(compare.table_counts({t: read(spark, d, t) for t in TABLES}, None), 3)
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' \"table\", NOT EXISTS (SELECT 1 FROM {t} WHERE {w}) is_empty" for t, w in (("orders", "o_totalprice < 0"), ("customer", "c_acctbal < 0"), ("lineitem", "l_quantity > 1000"), ("events", "event_type = 'error'"))))
+def empty_table_probe(spark, d):
+    tests = {"orders": "o_totalprice < 0", "customer": "c_acctbal < 0", "lineitem": "l_quantity > 1000", "events": "event_type = 'error'"}
+    return profile.empty_probe({t: read(spark, d, t).where(w) for t, w in tests.items()})
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey BETWEEN 100 AND 300")
+def clustered_lookup(spark, d):
+    sinks.write_clustered(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_custkey"], path := new_path(spark))
+    return spark.read.parquet(path).where("o_custkey BETWEEN 100 AND 300")
+
+
+_ENTITIES = """e AS (SELECT 'n' || n_nationkey child, 'r' || n_regionkey parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
+n AS (SELECT child node FROM e UNION SELECT parent FROM e)"""
+
+
+def _entities(spark, d) -> tuple[DataFrame, DataFrame]:
+    pair = lambda t, a, c, b, p: read(spark, d, t).select(F.concat(F.lit(a), c).alias("child"), F.concat(F.lit(b), p).alias("parent"), F.lit("fk").alias("kind"))
+    edges = pair("nation", "n", "n_nationkey", "r", "n_regionkey").union(pair("customer", "c", "c_custkey", "n", "c_nationkey")).union(pair("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(pair("orders", "o", "o_orderkey", "c", "o_custkey"))
+    return edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct(), edges
+
+
+@query(f"WITH RECURSIVE {_ENTITIES}, w AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT child FROM e) UNION ALL SELECT e.child, w.level + 1 FROM w JOIN e ON e.parent = w.node) SELECT node, max(level) AS level FROM w GROUP BY node")
+def dependency_levels(spark, d):
+    nodes, edges = _entities(spark, d)
+    kept = graph.precedence(edges, graph.cyclic_nodes(edges), nodes)
+    return graph.level_sets(nodes, kept)
+
+
+_REFERRALS = """f AS (SELECT c_custkey child, CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey WHEN c_nationkey < 12 THEN coalesce(lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey), min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment)) ELSE lag(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) END parent FROM customer)"""
+
+
+def _referrals(spark, d) -> DataFrame:
+    """Customers referring to customers: to themselves, round in rings, or down in chains."""
+    from pyspark.sql import Window
+
+    group = Window.partitionBy("c_nationkey", "c_mktsegment")
+    along = group.orderBy("c_custkey")
+    ring = F.coalesce(F.lead("c_custkey").over(along), F.min("c_custkey").over(group))
+    to = F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_custkey")).when(F.col("c_nationkey") < 12, ring).otherwise(F.lag("c_custkey").over(along))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("child"), to.alias("parent"), F.lit("fk").alias("kind")).where("parent IS NOT NULL")
+
+
+@query(f"WITH RECURSIVE {_REFERRALS}, p AS (SELECT child src, parent dst FROM f WHERE parent IS NOT NULL UNION SELECT p.src, f.parent FROM p JOIN f ON f.child = p.dst WHERE f.parent IS NOT NULL) SELECT src node, min(dst) AS cycle FROM p WHERE src IN (SELECT src FROM p WHERE src = dst) GROUP BY src")
+def dependency_cycles(spark, d):
+    return graph.cycles(_referrals(spark, d))
+
+
+@query(f"""WITH {_ENTITIES}, l AS (SELECT node, CASE WHEN node LIKE 'r%' THEN 0 WHEN node LIKE 'n%' THEN 1 WHEN node LIKE 'c%' THEN 2 WHEN node LIKE 's%' THEN CASE WHEN s_acctbal > 0 THEN 2 ELSE 1 END ELSE CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 3 END END AS level
+FROM n LEFT JOIN supplier ON node = 's' || s_suppkey LEFT JOIN orders ON node = 'o' || o_orderkey)
+SELECT child, parent, coalesce(a.level, -1) child_level, coalesce(b.level, -1) parent_level, CASE WHEN a.level IS NULL OR b.level IS NULL THEN 'unplaced' ELSE 'order' END problem FROM e JOIN l a ON a.node = child JOIN l b ON b.node = parent WHERE a.level IS NULL OR b.level IS NULL OR b.level >= a.level""")
+def level_validity(spark, d):
+    nodes, edges = _entities(spark, d)
+    s = read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.when(F.col("s_acctbal") > 0, 2).otherwise(1).alias("own"))
+    o = read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 3).alias("own"))
+    first = F.substring("node", 1, 1)
+    levels = nodes.join(s.union(o), "node", "left").select("node", F.when(first == "r", 0).when(first == "n", 1).when(first == "c", 2).otherwise(F.col("own")).alias("level"))
+    return graph.check_levels(levels, edges).fillna(-1, ["child_level", "parent_level"])
+
+
+@query("""WITH k AS (SELECT DISTINCT 'nation ' || n_nationkey "table", c_mktsegment || ' ' || (c_acctbal > 5000) AS name FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION SELECT DISTINCT 'region ' || n_regionkey, c_mktsegment || ' ' || (c_acctbal > 5000) FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9000),
+h AS (SELECT 'nation ' || n_nationkey node, 'region ' || n_regionkey ancestor FROM nation)
+SELECT "table", name FROM k WHERE NOT EXISTS (SELECT 1 FROM h JOIN k o ON o."table" = ancestor WHERE node = k."table" AND o.name = k.name)""")
+def inherited_constraints_excluded(spark, d):
+    nation = read(spark, d, "nation").select("n_nationkey", F.concat(F.lit("nation "), "n_nationkey").alias("child"), F.concat(F.lit("region "), "n_regionkey").alias("parent"))
+    rows = read(spark, d, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    name = F.concat_ws(" ", "c_mktsegment", (F.col("c_acctbal") > 5000).cast("string")).alias("name")
+    constraints = rows.select(F.col("child").alias("table"), name).union(rows.where("c_acctbal > 9000").select("parent", name)).distinct()
+    return graph.owned_constraints(constraints, graph.ancestors(nation.select("child", "parent")))
+
+
+_INDEX = """k AS (SELECT p_brand "table", 'ix_' || p_size "index", p_type "column", min(p_partkey) key_order FROM part GROUP BY ALL), c AS (SELECT "table", "index", list("column" ORDER BY key_order) cols FROM k GROUP BY ALL)"""
+
+
+def _index_keys(spark, d) -> DataFrame:
+    return read(spark, d, "part").groupBy(F.col("p_brand").alias("table"), F.concat(F.lit("ix_"), "p_size").alias("index"), F.col("p_type").alias("column")).agg(F.min("p_partkey").alias("key_order"))
+
+
+@query(f"""WITH {_INDEX}, pk AS (SELECT "table", min("index") pk FROM c GROUP BY 1), r AS (SELECT "table", "index", 'Brand#' || (CASE "table" WHEN 'Brand#1' THEN 2 ELSE 1 END) parent FROM c)
+SELECT r."table" child, r."index" AS name, r.parent, array_to_string(a.cols, ',') child_columns, array_to_string(b.cols, ',') parent_columns, coalesce(len(a.cols) = len(b.cols), false) paired
+FROM r JOIN c a ON a."table" = r."table" AND a."index" = r."index" LEFT JOIN pk ON pk."table" = r.parent LEFT JOIN c b ON b."table" = r.parent AND b."index" = pk.pk""")
+def fk_column_mapping(spark, d):
+    index_keys = _index_keys(spark, d)
+    indexes = index_keys.select("table", "index").distinct().withColumn("is_primary_key", F.lit(True))
+    references = indexes.select("table", F.col("index").alias("constraint"), F.when(F.col("table") == "Brand#1", "Brand#2").otherwise("Brand#1").alias("parent"))
+    out = graph.resolve_edges(references, index_keys, indexes)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("child_columns", "parent_columns")})
+
+
+@query(f'WITH {_INDEX} SELECT "table", "index", "column", key_order, CAST(row_number() OVER (PARTITION BY "table", "index" ORDER BY key_order) AS INTEGER) "position" FROM k')
+def index_key_positions(spark, d):
+    return graph.key_positions(_index_keys(spark, d))
+
+
+_KINDS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("SELECT o_custkey AS \"table\", " + ", ".join(f"count(*) FILTER (o_orderpriority = '{k}') \"{k}\"" for k in _KINDS) + " FROM orders GROUP BY 1")
+def constraint_inventory(spark, d):
+    return report.inventory_counts(read(spark, d, "orders").select(F.col("o_custkey").alias("table"), F.col("o_orderpriority").alias("kind")), _KINDS)
+
+
+@query("SELECT p_name AS name, count(DISTINCT p_brand) tables FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def duplicate_constraint_names(spark, d):
+    return read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.countDistinct("p_brand").alias("tables")).where("tables > 1")
+
+
+@query("""WITH lost AS (SELECT l_partkey parent, min(l_orderkey || '/' || l_linenumber) k FROM lineitem GROUP BY 1, l_orderkey, l_linenumber HAVING count(*) > 1), f AS (SELECT parent, min(k) k FROM lost GROUP BY 1)
+SELECT l_suppkey AS child, CAST(l_partkey AS VARCHAR) fk, l_partkey parent, 'parent key withheld by rebuild (' || k || ')' reason FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN f ON parent = l_partkey""")
+def fk_withheld_by_cascade(spark, d):
+    lines = read(spark, d, "lineitem")
+    failed = keys.unique_violations(lines, ["l_partkey", "l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("table"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("name"))
+    edges = lines.select(F.col("l_suppkey").alias("child"), F.col("l_partkey").cast("string").alias("fk"), F.col("l_partkey").alias("parent")).distinct()
+    return policy.withhold_children(edges, failed)
+
+
+@query("""SELECT run_id, ord, violated, coalesce(max(CAST(violated AS INT)) OVER (PARTITION BY run_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 stopped FROM (SELECT o_custkey run_id, o_orderkey ord, o_orderstatus = 'F' violated FROM orders)""")
+def failfast_policy(spark, d):
+    results = read(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderstatus") == "F").alias("violated"))
+    return policy.failfast(results)
+
+
+_EDGES = """SELECT o_custkey run_id, o_orderkey ord, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN 'ALTER ' || o_orderkey END ddl, CASE WHEN o_orderpriority = '1-URGENT' THEN 'parent key withheld' END withheld_reason,
+o_orderpriority = '2-HIGH' present, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 48) orphans FROM orders"""
+
+
+@query(f"""WITH e AS ({_EDGES}), v AS (SELECT *, withheld_reason IS NULL AND NOT present AND ddl IS NOT NULL AND orphans > 0 violated FROM e),
+s AS (SELECT *, coalesce(max(CAST(violated AS INT)) OVER (PARTITION BY run_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 stopped FROM v)
+SELECT run_id, ord, CASE WHEN withheld_reason IS NOT NULL THEN 'withheld' WHEN ddl IS NULL THEN 'no_statement' WHEN stopped THEN 'not_attempted' WHEN present THEN 'defined' WHEN orphans > 0 THEN 'violated' ELSE 'defined' END outcome,
+CASE WHEN withheld_reason IS NOT NULL THEN withheld_reason WHEN ddl IS NULL THEN 'no repair DDL exists' WHEN stopped THEN 'not attempted (fail-fast stopped at an earlier rejected edge)' WHEN present THEN 'present from an earlier run' WHEN orphans > 0 THEN orphans || ' orphan rows' ELSE '' END reason FROM s""")
+def edge_decisions(spark, d):
+    orphans = read(spark, d, "lineitem").where("l_quantity > 48").groupBy(F.col("l_orderkey").alias("ord")).agg(F.count("*").alias("n"))
+    p = F.col("o_orderpriority")
+    edges = read(spark, d, "orders").select(
+        F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("ord"), F.when(p != "4-NOT SPECIFIED", F.concat(F.lit("ALTER "), "o_orderkey")).alias("ddl"), F.when(p == "1-URGENT", "parent key withheld").alias("withheld_reason"), (p == "2-HIGH").alias("present")
+    )
+    joined = edges.join(orphans, "ord", "left").withColumn("orphans", F.coalesce("n", F.lit(0)))
+    return policy.decide_edges(joined).select("run_id", "ord", "outcome", "reason")
+
+
+def _constraints(spark, d, where: str = "true") -> DataFrame:
+    return read(spark, d, "part").where(where).select(F.col("p_brand").alias("table"), F.concat_ws(" ", "p_type", "p_size").alias("name"), "p_partkey", "p_name")
+
+
+_NAMED = """SELECT DISTINCT p_brand "table", p_type || ' ' || p_size AS name FROM part"""
+
+
+@query(f"""WITH e AS ({_NAMED}), s AS (SELECT p_brand "table", p_type || ' ' || p_size AS name, arg_min(p_name, p_partkey) ddl FROM part WHERE p_retailprice > 950 GROUP BY 1, 2)
+SELECT "table", name, ddl, CASE WHEN ddl IS NULL THEN 'no statement in the dump' ELSE '' END reason FROM e LEFT JOIN s USING ("table", name)""")
+def ddl_match_left(spark, d):
+    statements = _constraints(spark, d, "p_retailprice > 950").select("table", "name", F.col("p_partkey").alias("ord"), F.col("p_name").alias("ddl"))
+    return policy.match_ddl(_constraints(spark, d).select("table", "name").distinct(), statements)
+
+
+@query(f"({_NAMED} EXCEPT {_NAMED} WHERE p_retailprice > 950) EXCEPT {_NAMED} WHERE p_name LIKE 'red%'")
+def missing_constraints(spark, d):
+    expected = _constraints(spark, d).select("table", "name").distinct()
+    return policy.missing_constraints(expected, _constraints(spark, d, "p_retailprice > 950"), _constraints(spark, d, "p_name LIKE 'red%'"))
+
+
+@query(f"{_NAMED} EXCEPT {_NAMED} WHERE p_retailprice > 950")
+def remaining_work(spark, d):
+    return policy.remaining(_constraints(spark, d).select("table", "name").distinct(), _constraints(spark, d, "p_retailprice > 950"))
+
+
+@query("""SELECT DISTINCT source AS "table" FROM documents WHERE lang = 'en'""")
+def user_table_filter(spark, d):
+    name = F.when(F.col("lang") == "en", F.col("source")).otherwise(F.concat_ws("", "source", F.lit(catalog.PARTITION), "lang"))
+    classes = read(spark, d, "documents").select(name.alias("table")).distinct().select("table", F.lit("CLASS").alias("class_type"), F.lit(False).alias("is_system"))
+    return catalog.user_tables(classes).select("table")
+
+
+@query("""SELECT "table", string_agg(x, ', ' ORDER BY x) detail FROM (SELECT DISTINCT l_suppkey AS "table", l_linenumber || ' -> ' || l_returnflag x FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 45) GROUP BY 1""")
+def unsupported_type_gate(spark, d):
+    attributes = read(spark, d, "lineitem").where("l_linestatus = 'O' AND l_quantity > 45").select(F.col("l_suppkey").alias("table"), F.col("l_linenumber").alias("column"), F.col("l_returnflag").alias("domain"))
+    tables = read(spark, d, "supplier").select(F.col("s_suppkey").alias("table"))
+    return catalog.gate_tables(tables, attributes, skip=True)[1].select("table", "detail")
+
+
+@query("SELECT c_custkey, c_name AS cls FROM customer WHERE lower(c_name) NOT IN (SELECT lower('CUSTOMER#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')) FROM orders WHERE o_orderstatus = 'F')")
+def load_set_minus_skipped(spark, d):
+    files = read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("cls"))
+    skipped = read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("table"))
+    return dump.load_set(files, skipped)
+
+
+@query("""SELECT page_id, CASE WHEN u LIKE '%.%' THEN regexp_replace(u, '\\.[^.]*$', '') END owner, regexp_extract(u, '([^.]*)$', 1) cls FROM (SELECT page_id, lower(url) u FROM pages)""")
+def qualified_name_split(spark, d):
+    owner, cls = split_qualified(F.col("url"))
+    return read(spark, d, "pages").select("page_id", owner.alias("owner"), cls.alias("cls"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS \"table\" FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def tables_without_rows_or_file(spark, d):
+    tables = read(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("table"))
+    return dump.tables_without_file(tables, read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("cls")))
+
+
+_MIXED = "CASE event_type WHEN 'error' THEN props WHEN 'view' THEN CAST(user_id AS VARCHAR) || 'x' ELSE CAST(user_id AS VARCHAR) END"
+
+
+@query(f"SELECT event_id, 'v: not a int' reason FROM (SELECT event_id, {_MIXED} v FROM events) WHERE v IS NOT NULL AND TRY_CAST(v AS INTEGER) IS NULL")
+def strict_cast_rejects(spark, d):
+    rows = read(spark, d, "events").select("event_id", F.expr(_MIXED.replace("VARCHAR", "STRING")).alias("v"))
+    return cast.strict_cast(rows, {"v": "int"})[1].select("event_id", "reason")
+
+
+@query("""SELECT o_orderkey, 'o_orderstatus not in domain' problem FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT o_orderkey, 'o_orderpriority longer than 10' FROM orders WHERE length(o_orderpriority) > 10
+UNION ALL SELECT o_orderkey, 'cheap is null' FROM orders WHERE o_totalprice >= 100000""")
+def not_null_and_domain(spark, d):
+    orders = read(spark, d, "orders").withColumn("cheap", F.when(F.col("o_totalprice") < 100000, F.col("o_totalprice")))
+    return cast.domain_violations(orders, ["o_orderkey"], [cast.in_domain("o_orderstatus", ["F", "O"]), cast.fits("o_orderpriority", 10), cast.not_null("cheap")])
+
+
+_MARKS = """m AS (SELECT o_custkey AS "table", CASE o_orderpriority WHEN '1-URGENT' THEN 'pending_key' WHEN '2-HIGH' THEN 'violated_fk' WHEN '5-LOW' THEN 'stale_stats' END kind FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000),
+v AS (SELECT c_custkey AS "table", CASE WHEN coalesce(bool_or(kind IN ('pending_key', 'violated_fk')), false) THEN 'pending' ELSE 'done' END state, coalesce(bool_or(kind = 'stale_stats'), false) stale_stats FROM customer LEFT JOIN m ON m."table" = c_custkey GROUP BY 1)"""
+
+
+def _verdicts(spark, d) -> DataFrame:
+    p = F.col("o_orderpriority")
+    kind = F.when(p == "1-URGENT", "pending_key").when(p == "2-HIGH", "violated_fk").when(p == "5-LOW", "stale_stats")
+    records = read(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 300000").select(F.col("o_custkey").alias("table"), kind.alias("kind"))
+    return report.verdict(read(spark, d, "customer").select(F.col("c_custkey").alias("table")), records)
+
+
+@query(f"WITH {_MARKS} SELECT * FROM v")
+def verdict_by_table(spark, d):
+    return _verdicts(spark, d)
+
+
+@query(f"WITH {_MARKS} SELECT count(*) FILTER (state = 'done') done, count(*) FILTER (state = 'pending') pending, CAST(0 AS BIGINT) skipped, count(*) FILTER (stale_stats) stale, CASE WHEN bool_or(state = 'pending' OR stale_stats) THEN 'PARTIAL' ELSE 'COMPLETE' END verdict FROM v")
+def verdict_rollup(spark, d):
+    return report.roll_up(_verdicts(spark, d))
+
+
+@query("SELECT user_id run_id, event_type phase, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) r FROM events) WHERE r = 1")
+def ledger_latest_phase(spark, d):
+    return ledger.latest(read(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("phase"), "event_id", "ts"), ["run_id"], ["ts", "event_id"]).select("run_id", "phase", "event_id")
+
+
+_PHASE = "CASE event_type WHEN 'view' THEN 'discovered' WHEN 'click' THEN 'loaded' WHEN 'signup' THEN 'stripped' WHEN 'purchase' THEN 'done' END"
+_NEEDS = ", ".join(f"('{s}', '{p}')" for s, ps in ledger.REQUIRES.items() for p in ps)
+
+
+@query(f"""WITH r AS (SELECT user_id run_id, phase, value, event_id FROM (SELECT *, {_PHASE} phase, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) r FROM events) WHERE r = 1),
+s AS (SELECT DISTINCT user_id run_id, CASE event_type WHEN 'view' THEN 'graph' WHEN 'click' THEN 'strip' ELSE 'load' END section FROM events WHERE value > 5),
+u AS (SELECT user_id run_id, count(*) FILTER (value > 60) unresolved FROM events GROUP BY 1),
+l AS (SELECT run_id, min(section) lacks FROM (SELECT run_id, n.section FROM r JOIN (VALUES {_NEEDS}) n(section, phase) USING (phase) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.run_id = r.run_id AND s.section = n.section)) GROUP BY 1)
+SELECT run_id, CASE WHEN value < 2 THEN 'refuse' WHEN value > 50 THEN 'fresh' WHEN phase IS NULL THEN 'refuse' WHEN value > 40 THEN 'fresh' WHEN phase = 'done' AND unresolved = 0 THEN 'done_clean' WHEN phase = 'done' THEN 'done_partial' WHEN phase = 'discovered' THEN 'fresh' WHEN lacks IS NOT NULL THEN 'fresh' ELSE 'resume_after_' || phase END decision,
+CASE WHEN value < 2 THEN 'record unreadable' WHEN value > 50 THEN 'restart asked for' WHEN phase IS NULL THEN 'no phase recorded' WHEN value > 40 THEN 'other target' WHEN phase = 'done' AND unresolved = 0 THEN '' WHEN phase = 'done' THEN 'unresolved items' WHEN phase = 'discovered' THEN 'nothing was defined' WHEN lacks IS NOT NULL THEN 'section missing' ELSE '' END why
+FROM r LEFT JOIN l USING (run_id) LEFT JOIN u USING (run_id)""")
+def ledger_resume_decision(spark, d):
+    events = read(spark, d, "events").withColumn("run_id", F.col("user_id")).withColumn("phase", F.expr(_PHASE))
+    last = ledger.latest(events.select("run_id", "phase", "value", "event_id", "ts"), ["run_id"], ["ts", "event_id"])
+    open_ = ledger.unresolved(events.select("run_id", (F.col("value") <= 60).alias("ok")))
+    runs = last.join(open_, "run_id").select("run_id", (F.col("value") >= 2).alias("readable"), (F.col("value") > 50).alias("restart"), F.lit(3).alias("format"), "phase", (F.col("value") <= 40).alias("same_target"), "unresolved")
+    section = F.when(F.col("event_type") == "view", "graph").when(F.col("event_type") == "click", "strip").otherwise("load")
+    return ledger.resume_decision(runs, events.where("value > 5").select("run_id", section.alias("section")).distinct()).select("run_id", "decision", "why")
+
+
+@query("""WITH a AS (SELECT o_custkey run_id, o_orderkey AS "table", (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS "rows", CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END constraints FROM orders WHERE o_orderpriority <> '5-LOW')
+SELECT r.run_id, r."table", CASE WHEN a."rows" IS NULL THEN 'missing' WHEN phase = 'stripped' THEN 'constraints present' ELSE 'not empty' END problem
+FROM (SELECT o_custkey run_id, o_orderkey AS "table", CASE WHEN o_orderstatus = 'F' THEN 'defined' ELSE 'stripped' END phase FROM orders) r LEFT JOIN a ON a.run_id = r.run_id AND a."table" = r."table"
+WHERE a."rows" IS NULL OR (phase = 'stripped' AND constraints > 0) OR (phase = 'defined' AND a."rows" > 0)""")
+def resume_target_mismatch(spark, d):
+    orders = read(spark, d, "orders")
+    recorded = orders.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("table"), F.when(F.col("o_orderstatus") == "F", "defined").otherwise("stripped").alias("phase"))
+    n = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("table")).agg(F.count("*").alias("n"))
+    actual = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("table"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("constraints"))
+    return ledger.verify_target(recorded, actual.join(n, "table", "left").select("run_id", "table", F.coalesce("n", F.lit(0)).alias("rows"), "constraints"))
+
+
+@query("""SELECT l_linenumber AS degree, count(*) pairs, round(median(r), 6) median_ratio, round(min(r), 6) min_ratio, round(max(r), 6) max_ratio, round(max(r) - min(r), 6) spread, median(r) <= 1500 ok FROM (SELECT l_linenumber, l_extendedprice / l_quantity r FROM lineitem WHERE l_quantity > 0) GROUP BY 1""")
+def paired_ratio_median(spark, d):
+    pairs = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("degree"), F.col("l_extendedprice").alias("tool"), F.col("l_quantity").alias("other"))
+    return report.paired_ratio(pairs, "degree", 1500)
