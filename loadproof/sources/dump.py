@@ -27,7 +27,8 @@ def scan_roster(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file below path: dump (directory), base, role, prefix, owner, cls, length, modified.
 
     The prefix of a dump is the stem of its strongest anchor, the least stem if several tie; an
-    objects file counts as one only without a dot. Only names and sizes are read, never contents.
+    objects file counts as one only without a dot. Only names and sizes are read, never contents; files
+    of no bytes are not listed (an empty table has a header line).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
     named = files.select("length", "modified", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dump"), F.regexp_extract("path", r"([^/]*)$", 1).alias("base"), "path")

@@ -11,7 +11,8 @@ from loadproof.sources import catalog, dump, sinks
 
 
 def values(df, *cols):
-    return sorted(tuple(r) for r in (df.select(*cols) if cols else df).collect())
+    rows = [tuple(r) for r in (df.select(*cols) if cols else df).collect()]
+    return sorted(rows, key=lambda r: [(v is not None, v if v is not None else 0) for v in r])
 
 
 def test_edges_pair_up():
@@ -133,10 +134,10 @@ def test_dump_files(spark, tmp_path):
     (own / "demo_schema").write_text("ALTER CLASS [dba].[t] ADD ATTRIBUTE\n  CONSTRAINT [pk_t_id] PRIMARY KEY([id]);\nALTER CLASS [dba].[c] ADD CONSTRAINT [fk_c_t] FOREIGN KEY([t_id]) REFERENCES [dba].[t];\nCOMMIT WORK;\n")
     other = tmp_path / "broken"
     other.mkdir()
-    (other / "x_objects").write_text("")
+    (other / "x_objects").write_text("%id [a] 1\n")
     roster = dump.scan_roster(spark, str(tmp_path))
     assert values(dump.roster_status(roster), "status") == [("no schema",), ("ok",)]
-    assert values(dump.size_profile(roster), "bytes") == [(0,), (len(body),)]
+    assert values(dump.size_profile(roster), "bytes") == [(10,), (len(body),)]
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40")  # several splits of one file
     rows = dump.scan_objects(spark, str(own / "demo_objects"))
     got = values(rows, "owner", "cls", "line")
