@@ -1,13 +1,15 @@
 """N-gram Jaccard join by prefix trees, and the near-duplicate classes that it gives.
 
-A text's set holds its distinct 5-word shingles as 64-bit hashes in one global order, the order
-of the hashes. Two sets link when 100 * intersection >= 75 * union.
+A text's set holds its distinct 5-word shingles as 60-bit hashes. Two sets link when
+100 * intersection >= 75 * union.
 
 1. Any two linked sets share the first tokens of their intersection, all of which lie in the
    first part of either set (prefix filter, here with several common tokens asked for). Only texts
-   enough of whose prefix other texts share stay; each run of documents reports a token once, so
-   that a token in a third of all texts is a few rows for each run.
-2. The sets of those texts meet by prefix token. The least text of each token is its leader; a
+   enough of whose prefix, in the order of the hashes, other texts share stay; each run of
+   documents reports a token once, so that a token in a third of all texts is a few rows a run.
+2. The sets of those texts are ordered anew, rare tokens first, by ranks of their frequency; the
+   ranks of at most RANKED tokens are sent out, and all others rank as rare, which keeps one global
+   order whatever the size. The sets then meet by prefix token. The least text of each token is its leader; a
    leader's set is looked up in a trie of the sets that share a token with it: the trie's paths
    share partial overlaps, and a subtree ends where the tokens that remain can't reach the
    threshold. The links' components follow.
@@ -37,7 +39,13 @@ from loadproof.llm.components import components
 
 SIZE, NEED, OF = 5, 75, 100
 #: Postings gathered before a task reports them, sets in one block of a trie, text bytes a partition.
-RUN, BLOCK, PART_BYTES = 2_000_000, 64, 64_000_000
+RUN, BLOCK, PART_BYTES = 2_000_000, 128, 64_000_000
+#: The most texts of a family whose pairs are tried family-wise.
+FAMILY = 4096
+#: Tokens whose frequency rank every worker holds; slots of the filter that thins out texts before the exact join.
+RANKED, SLOTS = 2_000_000, 1 << 21
+#: Bits of the filter that tells tokens that occur once.
+BITS = 1 << 25
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -47,6 +55,8 @@ _RNG = np.random.Generator(np.random.PCG64(20240607))
 _CODE = _RNG.integers(0, 2**64, 256, dtype=_U)
 _STEP = _RNG.integers(0, 2**64, SIZE, dtype=_U) | _U(1)
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
+#: Hashes keep 60 bits, so that a rank of eight can stand before them in one positive integer.
+_SHIFT, _RANK = _U(4), 60
 _BACK = pow(_BASE, -1, 2**64)
 _POWERS: list[np.ndarray] = [np.empty(0, _U), np.empty(0, _U)]
 
@@ -78,7 +88,7 @@ def _hashed(texts: list[bytes]) -> list[np.ndarray]:
     runs = np.zeros(max(n, 0), _U)
     for i in range(SIZE if n > 0 else 0):
         runs += word[i : i + n] * _STEP[i]
-    runs = _mix(runs).view(np.int64)
+    runs = (_mix(runs) >> _SHIFT).view(np.int64)
     offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     at, out = np.searchsorted(starts, offsets), []
     for first, last in zip(at[:-1], at[1:], strict=True):
@@ -86,7 +96,7 @@ def _hashed(texts: list[bytes]) -> list[np.ndarray]:
             out.append(np.unique(runs[first : last - SIZE + 1]))
         elif last > first:
             short = np.array([sum(int(word[first + i]) * int(_STEP[i]) for i in range(last - first)) + int(last - first)], dtype=object) % 2**64
-            out.append(_mix(short.astype(_U)).view(np.int64))
+            out.append((_mix(short.astype(_U)) >> _SHIFT).view(np.int64))
         else:
             out.append(np.empty(0, np.int64))
     return out
@@ -138,8 +148,11 @@ class Trie:
                 n += 1
             self.common.append(n)
 
-    def linked(self, probe: list[int]) -> Iterator[int]:
-        """Numbers of the sets that link with the probe."""
+    def linked(self, probe: list[int], wanted=None, first: int | None = None) -> Iterator[int]:
+        """Numbers of the sets that link with the probe; only of those wanted, if it is given.
+
+        first: only sets whose least common token with the probe it is; others end their subtree.
+        """
         inside, size = {x: i + 1 for i, x in enumerate(probe)}, len(probe)
         # at[d]: overlap of the first d tokens of the path, and the probe's place after the last common one
         at, cut = [(0, 0)], None
@@ -153,13 +166,16 @@ class Trie:
             need = -(-NEED * (n + size) // (OF + NEED))
             # lengths differ within a subtree, so a prune for all of it takes the least that any partner needs
             low = max(_least(size), 1)
-            if min(n, size) < need:
+            if min(n, size) < need or wanted and not wanted(number):
                 continue
             overlap, place = at[depth]
             while depth < n:
                 where = inside.get(path[depth])
                 if where:
                     overlap, place = overlap + 1, where
+                    if overlap == 1 and first is not None and path[depth] != first:
+                        cut = depth
+                        break
                 depth += 1
                 at.append((overlap, place))
                 if overlap + size - place < low:
@@ -194,6 +210,51 @@ def _sizes(docs: DataFrame) -> DataFrame:
     return docs.select("id", "key", "text").mapInArrow(run, "id long, key binary, n long")
 
 
+def _ranks(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Repeated tokens, ascending, with their rank (1: twice or three times .. 7: 4096 times and more), the most
+    frequent, at most RANKED; and a filter of BITS bits, in 64-bit words, that all repeated tokens set."""
+    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1")
+    rank = F.array_size(F.filter(F.array(*[F.lit(x) for x in (2, 4, 8, 16, 64, 256, 4096)]), lambda x: x <= F.col("count")))
+    ranked = stored(counts.select("token", rank.alias("rank")))
+    least, total = 1, 0
+    for value, tokens in sorted(((r[0], r[1]) for r in ranked.groupBy("rank").count().collect()), reverse=True):
+        if (total := total + tokens) > RANKED:
+            least = value + 1
+            break
+    got = ranked.where(F.col("rank") >= least).toArrow()
+    tokens, ranks = got.column(0).to_numpy(), got.column(1).to_numpy().astype(np.int8)
+    order = np.argsort(tokens)
+    bit = F.pmod("token", F.lit(BITS))
+    words = ranked.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(token, {BITS}) % 64 as int))")).alias("v")).toArrow()
+    seen = np.zeros(BITS // 64, np.int64)
+    seen[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return tokens[order], ranks[order], seen
+
+
+def _ordered(sets: DataFrame, ranks) -> DataFrame:
+    """The sets with each token led by its rank, ascending: rare tokens first, in one global order.
+
+    A set fewer of whose tokens are repeated than any link needs is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank, seen = ranks.value
+        for batch in batches:
+            flat, n = batch.column(2).flatten().to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            slot = flat % BITS
+            repeated = (seen[slot >> 6] >> (slot & 63)) & 1
+            if len(known) and len(flat):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                flat = flat + (np.where(known[at] == flat, rank[at], 0).astype(np.int64) << _RANK)
+            ends = np.cumsum(n)
+            kept = np.bincount(np.repeat(np.arange(len(n)), n), repeated, len(n)) >= _least(n)
+            parts = [np.sort(x) for x, k in zip(np.split(flat, ends[:-1]), kept, strict=True) if k] if len(n) else []
+            mask = pa.array(kept)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(parts, pa.list_(pa.int64()))], names=["key", "n", "tokens"])
+
+    return sets.mapInArrow(run, "key binary, n int, tokens array<long>")
+
+
 def _candidates(docs: DataFrame, parts: int) -> DataFrame:
     """Short keys of the texts that share enough of their prefix with other texts.
 
@@ -293,48 +354,60 @@ def _probe(pairs: DataFrame) -> DataFrame:
 
 
 def _block_links(members: DataFrame) -> DataFrame:
-    """All links between components in blocks of members (token, i, j, block, key, label, tokens)."""
+    """All links between components in pairs of blocks of members (grp, first, i, j, block, key, label, tokens)."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("block").to_pylist()
-        i = rows[0]["i"]
-        left = [r for r in rows if r["block"] == i]
-        right = left if rows[0]["j"] == i else [r for r in rows if r["block"] != i]
-        root = {r["label"]: r["label"] for r in rows}
+        group = group.sort_by("key")
+        block, key, label = (group.column(c).to_pylist() for c in ("block", "key", "label"))
+        i, j, first = (group.column(c)[0].as_py() for c in ("i", "j", "first"))
+        sets = group.column("tokens").to_pylist()
+        left = [k for k, b in enumerate(block) if b == i]
+        right = left if i == j else [k for k, b in enumerate(block) if b == j]
+        root = {x: x for x in label}
 
         def find(x):
             while root[x] != x:
                 root[x] = x = root[root[x]]
             return x
 
-        a, b, trie = [], [], Trie([r["tokens"] for r in left])
+        a, b, trie = [], [], Trie([sets[k] for k in left])
         for r in right:
-            mine = find(r["label"])
-            if all(find(x["label"]) == mine for x in left):
-                continue
-            for k in trie.linked(r["tokens"]):
-                if (x := find(left[k]["label"])) != (y := find(r["label"])):
-                    root[x] = y
-                    a.append(left[k]["key"])
-                    b.append(r["key"])
+            for k in trie.linked(sets[r], lambda n, r=r: find(label[left[n]]) != find(label[r]), first):
+                root[find(label[left[k]])] = find(label[r])
+                a.append(key[left[k]])
+                b.append(key[r])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return members.groupBy("token", "i", "j").applyInArrow(run, "a binary, b binary")
+    return members.groupBy("grp", "first", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def _mixed(postings: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of tokens whose texts lie in several components, dealt to pairs of blocks.
 
     Tokens with the same texts are taken once: number, sum and xor of the texts' hashes tell them.
+    Texts that such tokens connect are a family. A family of moderate size is one group, so that a
+    pair that shares many tokens is tried once; in a larger one each token is a group, which tries
+    the pairs that it is the first to share.
     """
     labelled = postings.join(labels, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("label", "key").alias("label"))
     one, two = F.xxhash64("key"), F.xxhash64(F.lit(7), "key")
-    groups = labelled.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(one.cast("decimal(20,0)")).alias("s"), F.bit_xor(two).alias("x"))
-    open_ = groups.where("low <> high").groupBy("m", "s", "x").agg(F.min("token").alias("token"))
+    groups = labelled.groupBy("token").agg(
+        F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("anchor"), F.sum(one.cast("decimal(20,0)")).alias("s"), F.bit_xor(two).alias("x")
+    )
+    open_ = groups.where("low <> high").groupBy("m", "s", "x").agg(F.min(F.struct("token", "anchor")).alias("t")).select("t.*")
+    rows = stored(labelled.join(open_, "token"))
+    family = components(rows.select(F.col("anchor").alias("a"), F.col("key").alias("b")).where("a <> b").distinct()).withColumnRenamed("label", "family")
+    size = family.groupBy("family").agg(F.count("*").alias("size"))
+    known = family.join(size, "family").withColumnRenamed("node", "key")
+    rows = stored(rows.join(known, "key").select("token", "key", "label", "family", "size"))
+    moderate = rows.where(F.col("size") <= FAMILY).select(F.col("family").alias("grp"), F.lit(None).cast("long").alias("first"), "key", "label", F.col("size").alias("m")).distinct()
+    large = rows.where(F.col("size") > FAMILY)
+    counts = large.groupBy("token").agg(F.count("*").alias("m"))
+    by_token = large.join(counts, "token").select(F.col("token").cast("string").cast("binary").alias("grp"), F.col("token").alias("first"), "key", "label", "m")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = labelled.join(open_.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
-    dealt = members.select("token", "key", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "label")
+    members = moderate.union(by_token).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = members.select("grp", "first", "key", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("grp", "first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "label")
     return dealt.join(sets.select("key", "tokens"), "key")
 
 
@@ -350,9 +423,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # one row for each distinct text: its least id is the row by which it is fetched again
     texts = stored(docs.groupBy("key").agg(F.min("id").alias("low"), F.min("sid").alias("sid")))
-    chosen = texts.join(_candidates(docs, parts), "sid", "left_semi").select("low", F.col("key").alias("chosen"))
-    fetched = docs.select("id", "key", "text").join(chosen, (F.col("key") == F.col("chosen")) & F.col("id").eqNullSafe(F.col("low")), "left_semi")
-    sets = stored(_set_rows(fetched, "key").dropDuplicates(["key"]))
+    chosen = stored(texts.join(_candidates(docs, parts), "sid", "left_semi").select("low", F.col("key").alias("chosen"), F.pmod("sid", F.lit(SLOTS)).alias("slot")))
+    # at most SLOTS rows, whatever the input; they spare most other texts the shuffle of the exact join
+    slots = chosen.select("slot").distinct()
+    thinned = docs.join(F.broadcast(slots), F.pmod("sid", F.lit(SLOTS)) == F.col("slot"), "left_semi").select("id", "key", "text")
+    fetched = thinned.join(chosen, (F.col("key") == F.col("chosen")) & F.col("id").eqNullSafe(F.col("low")), "left_semi")
+    plain = stored(_set_rows(fetched, "key").dropDuplicates(["key"]))
+    sets = _ordered(plain, spark.sparkContext.broadcast(_ranks(plain)))
 
     n = F.col("n")
     prefix = n - F.floor((n * NEED + OF - 1) / OF) + 1
