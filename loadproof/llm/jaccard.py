@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadproof.llm.common import small_batches, stored, table
@@ -453,13 +453,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with one document of each near-duplicate class: the one with the smallest id. Rows without id stay."""
-    from pyspark.sql import Window
+    """The rows with one document of each near-duplicate class: the one with the smallest id, once. Rows without id stay.
 
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    once = docs.join(kept, F.col(f"`{id_col}`") == F.col("_kept"), "left_semi").withColumn("_copy", F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.col(f"`{id_col}`"))))
-    return once.where("_copy = 1").drop("_copy").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    Only rows in whose slot an id is to go, or occurs repeatedly, take part in a join by id; the slots
+    are at most SLOTS, so that all other rows stay where they are.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), (F.col(id_col) != F.col("component_id")).alias("_goes")).where("_id IS NOT NULL"))
+    special = stored(found.groupBy("_id").agg(F.bool_or("_goes").alias("_goes"), F.count("*").alias("_n")).where("_goes OR _n > 1").select("_id", "_goes"))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = F.broadcast(special.select(slot("_id").alias("_slot")).distinct())
+    own = F.col(f"`{id_col}`").cast("long")
+    untouched = docs.join(slots, slot(own) == F.col("_slot"), "left_anti")
+    looked_at = docs.join(slots, slot(own) == F.col("_slot"), "left_semi").join(special.where("_goes"), own == F.col("_id"), "left_anti")
+    once = looked_at.withColumn("_copy", F.row_number().over(Window.partitionBy(own).orderBy(own))).where(F.col("_copy").eqNullSafe(1) | own.isNull())
+    return untouched.unionByName(once.drop("_copy"))
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
