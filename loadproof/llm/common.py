@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadproof.sources.scratch import shared_dir, stored  # noqa: F401 - shared by the operators
+
 #: Rows in one Arrow batch; whole texts can be long, so batches are kept small.
 ARROW_ROWS = 1000
 
@@ -27,20 +27,6 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the cluster names none."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.conf.set("spark.checkpoint.dir", folder := tempfile.mkdtemp(prefix="spark-loadproof-", dir="/tmp"))
-    return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts lineage: the rows written to the shared folder as Parquet and read again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/loadproof-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo; null ids fall in no fold."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
