@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loadproof.llm.common import filter_texts, fold, small_batches, table
 
 #: Bounds of the two samples that the classifier is fitted on.
-POSITIVES, UNLABELLED = 4_000, 12_000
+POSITIVES, UNLABELLED = 3_000, 9_000
 #: Features kept, those most typical of the positives first; buckets that feature names hash to.
 FEATURES, BUCKETS = 4_096, 1 << 22
 LOCAL_WORDS = 300_000
@@ -73,7 +73,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     """Fits the model; lists hold each document's distinct feature buckets."""
     if not positive or not unlabelled:
         return Model(-40.0, {})
-    count = lambda rows: np.unique(np.concatenate([np.empty(0, np.int64), *rows]), return_counts=True)
+    count = lambda rows: np.unique(np.concatenate([np.empty(0, np.int32), *rows]), return_counts=True)
     names, n_pos = count(positive)
     all_names, n_un = count(unlabelled)
     in_un = np.zeros(len(names))
@@ -138,11 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # at most positives + unlabelled ids, so this side may be sent to all
     rows = every.join(F.broadcast(chosen), "id").select("p", "text").mapInArrow(run, "p int, f array<int>").toArrow()
-    kind, offsets, flat = rows.column(0).to_numpy(), [], []
+    kind, flat = rows.column(0).to_numpy(), []
     for chunk in rows.column(1).chunks:
-        values, ends = chunk.flatten().to_numpy().astype(np.int64), np.cumsum([0, *np.diff(chunk.offsets.to_numpy())])
+        values, ends = chunk.flatten().to_numpy(), np.cumsum([0, *np.diff(chunk.offsets.to_numpy())])
         flat += [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    del offsets, rows
     order = sorted(range(len(flat)), key=lambda i: (len(flat[i]), flat[i].tobytes()))  # the same sums in any order of rows
     return train([flat[i] for i in order if kind[i] == 1], [flat[i] for i in order if kind[i] == 0], prior)
 
