@@ -26,7 +26,7 @@ from loadproof.llm.common import table
 
 K, EVERY, SCALE = 5, 50, 256
 #: Numbers in one shard of candidates and one block of queries, points in a leaf, children of a node.
-SHARD, BLOCK, LEAF, FAN = 1 << 18, 1 << 17, 64, 32
+SHARD, BLOCK, LEAF, FAN = 1 << 18, 1 << 17, 128, 16
 
 
 class Node:
@@ -65,33 +65,43 @@ def search(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k
     worst = np.full(len(q), -np.inf)
     start = (Node(q, np.arange(len(q)), q.mean(0)), Node(r, np.arange(len(r)), r.mean(0)))
 
-    def bound(a: Node, b: Node) -> float:
-        top = float(a.centre @ b.centre) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
-        return top + 1e-9 * (abs(top) + a.norm * b.norm) + 1e-6
-
-    stack = [(bound(*start), *start)]
+    def bounds(some: list[Node], others: list[Node]) -> np.ndarray:
+        """The most that points of each pair of nodes can score, with room for rounding."""
+        inner = np.stack([a.centre for a in some]) @ np.stack([b.centre for b in others]).T
+        a, b = (np.array([(n.radius, n.norm) for n in nodes]).T for nodes in (some, others))
+        top = inner + np.outer(a[0], b[1]) + np.outer(a[1], b[0]) + np.outer(a[0], b[0])
+        return top + 1e-9 * (np.abs(top) + np.outer(a[1], b[1])) + 1e-6
+
+    def compare(a: Node, b: Node) -> None:
+        scores, ids = _products(q[a.rows], r[b.rows]), r_ids[b.rows]
+        for at in np.flatnonzero((scores >= worst[a.rows][:, None]).any(1)):
+            i = a.rows[at]
+            others = ids != q_ids[i]
+            row, own = scores[at][others], ids[others]
+            heap, least = best[i], worst[i]
+            if len(row) > k:
+                least = max(least, np.partition(row, -k)[-k])
+            for j in np.flatnonzero(row >= least):
+                one = (int(row[j]), -int(own[j]))
+                if len(heap) < k:
+                    heapq.heappush(heap, one)
+                elif one > heap[0]:
+                    heapq.heapreplace(heap, one)
+            if len(heap) == k:
+                worst[i] = heap[0][0]
+
+    stack = [(float(bounds([start[0]], [start[1]])[0, 0]), *start)]
     while stack:
         top, a, b = stack.pop()
         if top < worst[a.rows].min():
             continue
         if not a.children and not b.children:
-            scores = _products(q[a.rows], r[b.rows])
-            for i, row in zip(a.rows, scores, strict=True):
-                heap = best[i]
-                for j in np.flatnonzero(row >= worst[i]):
-                    if r_ids[b.rows[j]] == q_ids[i]:
-                        continue
-                    one = (int(row[j]), -int(r_ids[b.rows[j]]))
-                    if len(heap) < k:
-                        heapq.heappush(heap, one)
-                    elif one > heap[0]:
-                        heapq.heapreplace(heap, one)
-                if len(heap) == k:
-                    worst[i] = heap[0][0]
+            compare(a, b)
             continue
-        split_b = bool(b.children) and (not a.children or b.radius >= a.radius)
-        pairs = [(a, c) for c in b.children] if split_b else [(c, b) for c in a.children]
-        stack += sorted(((bound(*p), *p) for p in pairs), key=lambda x: x[0])
+        some, others = a.children or [a], b.children or [b]
+        tops = bounds(some, others)
+        order = np.argsort(tops, axis=None, kind="stable")  # the most promising pair is tried first
+        stack += [(float(tops.flat[o]), some[o // len(others)], others[o % len(others)]) for o in order]
     return [[(s, -i) for s, i in sorted(h, reverse=True)] for h in best]
 
 
