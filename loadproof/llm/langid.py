@@ -32,7 +32,7 @@ from loadproof.llm.common import fold, small_batches, table
 HELD_OUT, OF = 2, 4
 #: Bounds of the sample: documents a language, segments a document, words a segment, segments a sequence.
 DOCS, SEGMENTS, WORDS, SPLICED = 300, 8, 12, 3
-BUCKETS, LOCAL_WORDS, STEP = 1 << 17, 200_000, 64
+BUCKETS, LOCAL_WORDS, STEP, SALTS = 1 << 17, 200_000, 64, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -224,9 +224,11 @@ def segments_of(lang: str, text: str | None) -> list[tuple[str, list[str]]]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS) -> Crf | None:
     """The model learned from documents outside the held-out fold, at most so many for each language."""
     every = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    learn = every.select("id", "lang").where((fold("id", OF) != HELD_OUT) & F.col("lang").isNotNull()).distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = learn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang")
+    learn = every.select("id", "lang").where((fold("id", OF) != HELD_OUT) & F.col("lang").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
+    # the first by hash of each salted part, then the first of those: a language that most documents have is no single group
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id"))
+    part = learn.withColumn("r", place("lang", "salt")).where(F.col("r") <= per_language)
+    chosen = part.withColumn("r", place("lang")).where(F.col("r") <= per_language).select("id", "lang").distinct()
     # at most per_language rows for each language, so the side may be sent to all
     rows = every.join(F.broadcast(chosen), ["id", "lang"]).where(F.col("text").isNotNull())
 
