@@ -6,9 +6,11 @@ and rendered: text that is visible, blocks on lines of their own, paragraphs and
 blank line around them, list items with bullet or number and indent, table cells aligned to the
 widest of their column, preformatted text as it is.
 
-Hidden are: head matter, scripts, styles, templates and form internals, comments, and elements with
-the hidden attribute, aria-hidden="true", type="hidden", or an inline style of display:none or
-visibility:hidden.
+Hidden are: head matter, scripts, styles, templates and comments; lists to choose from and text areas;
+what stands in for objects, frames, canvas, audio and video; what svg and math don't draw themselves
+(titles, descriptions, definitions, annotations); inputs of type="hidden"; and elements with the
+hidden attribute or an inline style of display:none or visibility:hidden. All other text comes out: what stands in a
+table but in no cell follows the table.
 
 Defined results: a null page gives null; an empty page, or one without visible text, gives an empty
 text; broken mark-up never fails: unknown end tags are ignored, what is open at the end is closed;
@@ -30,7 +32,10 @@ from loadproof.llm.common import small_batches, table
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object svg math canvas audio video select datalist textarea title".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object canvas audio video select datalist textarea title".split())
+#: Drawn by reference or not at all, by the kind of drawing around them; and what in a drawing holds HTML again.
+UNDRAWN = {"svg": frozenset("title desc defs metadata symbol clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -51,6 +56,9 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, set()),
 }
+IMPLIED = {name: (ends, barriers | {"template"}) for name, (ends, barriers) in IMPLIED.items()}
+#: A start tag in a table ends all that is open within these, as browsers do.
+CONTEXT = dict.fromkeys(("td", "th"), {"tr", "tbody", "thead", "tfoot", "table"}) | {"tr": {"tbody", "thead", "tfoot", "table"}} | dict.fromkeys(("tbody", "thead", "tfoot", "caption", "colgroup", "col"), {"table"})
 #: An end tag doesn't reach beyond these, unless it is for one of them.
 BARRIER = frozenset({"table", "td", "th", "html"})
 
@@ -64,10 +72,13 @@ _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("attrs", "children", "hidden", "name")
+    __slots__ = ("attrs", "children", "drawing", "hidden", "in_p", "in_table", "name")
 
-    def __init__(self, name: str, attrs: dict[str, str], hidden: bool):
+    def __init__(self, name: str, attrs: dict[str, str], hidden: bool, parent: Element | None = None):
         self.name, self.attrs, self.hidden, self.children = name, attrs, hidden, []
+        self.in_table = name == "table" or parent is not None and parent.in_table
+        self.in_p = name == "p" or parent is not None and parent.in_p
+        self.drawing = name if name in UNDRAWN else parent.drawing if parent and name not in HTML_AGAIN else ""
 
 
 def build(page: str) -> Element:
@@ -90,6 +101,14 @@ def build(page: str) -> Element:
             if stack[i].name in barriers:
                 return
 
+    def back_to(names) -> None:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in names:
+                del stack[i + 1 :]
+                return
+            if stack[i].name == "template":
+                return
+
     while at < end:
         m = _TAG.search(page, at)
         if not m:
@@ -101,28 +120,35 @@ def build(page: str) -> Element:
             continue
         name = name.lower()
         if m[2]:
-            if name == "p" and not any(e.name == "p" for e in stack):
+            if name == "p" and not stack[-1].in_p:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
                     del stack[i:]
                     break
-                if stack[i].name in BARRIER and name not in BARRIER and name not in ("tr", "tbody", "thead", "tfoot"):
+                if stack[i].name == "template" or stack[i].name in BARRIER and name not in BARRIER and name not in ("tr", "tbody", "thead", "tfoot", "template"):
                     break
             continue
         if name == "html":
             continue
-        if name in ENDS_P:
-            close({"p"}, {"td", "th", "table", "caption", "button"})
+        if name in ENDS_P and stack[-1].in_p:
+            close({"p"}, {"template", "td", "th", "table", "caption", "button"})
         if name in IMPLIED:
             close(*IMPLIED[name])
+        if name in CONTEXT and stack[-1].in_table:
+            back_to(CONTEXT[name])
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
-            stack[-1].children.append(row := Element("tr", {}, stack[-1].hidden))
+            stack[-1].children.append(row := Element("tr", {}, stack[-1].hidden, stack[-1]))
             stack.append(row)
         attrs = {a[0].lower(): a[1] or a[2] or a[3] or "" for a in _ATTR.findall(m[4])} if m[4] and not m[4].isspace() else {}
-        hidden = stack[-1].hidden or name in HIDDEN or bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("type") == "hidden" or bool(_NONE.search(attrs.get("style", ""))))
-        stack[-1].children.append(element := Element(name, attrs, hidden))
-        if name in VOID:
+        drawing = stack[-1].drawing
+        hidden = stack[-1].hidden or name in HIDDEN or name in UNDRAWN.get(drawing, ()) or bool(attrs) and ("hidden" in attrs or name == "input" and attrs.get("type") == "hidden" or bool(_NONE.search(attrs.get("style", ""))))
+        if drawing == "svg" and name == "text":
+            stack[-1].children.append(" ")  # texts of a drawing stand apart
+        stack[-1].children.append(element := Element(name, attrs, hidden, stack[-1]))
+        if name in VOID or (drawing or name in UNDRAWN) and m[4].endswith("/"):
+            continue
+        if name == "form" and stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr"):  # holds nothing there
             continue
         stack.append(element)
         if name in RAW:
@@ -169,14 +195,25 @@ class Lines:
         self.blank = True
 
 
-def _cells(table_: Element) -> Iterator[list[Element]]:
+def _rows(table_: Element, beside: list) -> Iterator[list[Element]]:
+    """The cells of each row; all else that is in the table goes to beside, None between two places."""
     for child in table_.children:
-        if isinstance(child, str) or child.hidden:
+        if isinstance(child, str):
+            beside.append(child)
+        elif child.hidden or child.name == "caption" and table_.name == "table":
             continue
-        if child.name == "tr":
-            yield [c for c in child.children if not isinstance(c, str) and not c.hidden and c.name in ("td", "th")]
+        elif child.name == "tr":
+            cells = []
+            beside.append(None)
+            for c in child.children:
+                cell = not isinstance(c, str) and c.name in ("td", "th")
+                (cells if cell else beside).append(c)
+            yield [c for c in cells if not c.hidden]
         elif child.name in ("tbody", "thead", "tfoot"):
-            yield from _cells(child)
+            beside.append(None)
+            yield from _rows(child, beside)
+        else:
+            beside.append(child)
 
 
 def _table(element: Element, lines: Lines) -> None:
@@ -185,8 +222,8 @@ def _table(element: Element, lines: Lines) -> None:
         if not isinstance(child, str) and child.name == "caption":
             _render(child, lines)
             lines.end()
-    rows = []
-    for row in _cells(element):
+    rows, beside = [], []
+    for row in _rows(element, beside):
         if any(c.name == "table" for cell in row for c in _below(cell)):
             rows.append([_Whole(cell) for cell in row])
             continue
@@ -211,10 +248,12 @@ def _table(element: Element, lines: Lines) -> None:
                 lines.end()
         elif any(row):
             lines.put("  ".join(cell.ljust(widths[i]) for i, cell in enumerate(row)))
-    for child in element.children:  # text that stands in a table but in no cell
-        if isinstance(child, str):
+    for child in beside:  # text that stands in a table but in no cell
+        if child is None:
+            lines.end()
+        elif isinstance(child, str):
             lines.text(child)
-        elif not child.hidden and child.name not in ("caption", "tr", "tbody", "thead", "tfoot", "colgroup"):
+        else:
             _render(child, lines)
     lines.end()
     lines.depth -= 1

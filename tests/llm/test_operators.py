@@ -50,6 +50,28 @@ def test_html():
     assert html.render("<table><tr><td>a<table><tr><td>b</table><td>c</table>") == "a\n\nb\n\nc"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<table><tr><form><td>x</td><td>y</td></form></tr></table>", "x  y"),
+        ("<table><tbody><form><tr><td>x</td></tr></form></tbody></table>", "x"),
+        ("<table><form><tr><td>x<td>y</form><tr><td>z</table>after", "x  y\nz\n\nafter"),
+        ("<table><tr>note<td>x</td><b>more</b></tr></table>", "x\nnotemore"),
+        ("<table><tbody>note<tr>a<td>x</tr><tr><i>b</i><td>y</table>", "x\ny\nnote\na\nb"),
+        ("<table><tr><span>s<td>x</table>", "x\ns"),
+        ("<table><div>d<tr><td>x</table>", "x\nd"),
+        ("<table><colgroup><col>c<tr><td>x</table>", "x\nc"),
+        ("<table><tr><template><td>no</td></template><td>x<template><td>no</template>y</table>", "xy"),
+        ("<svg><title>no</title><defs><text>no</text></defs><path/><text>a</text><text>b</text><desc>no</desc></svg>", "a b"),
+        ("<svg><defs/><text>a</text></svg>", "a"),
+        ("<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></semantics></math> holds", "so x=1 holds"),
+        ('<p aria-hidden="true">a<input type="hidden" value="no"><b type="hidden">b</b>', "ab"),
+    ],
+)
+def test_html_loses_no_visible_text(page, want):
+    assert html.render(page) == want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "<p>x", "u"), (2, "<p>x", "u")], "page_id long, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in html.extract_text(pages).collect()) == sorted([(1, None), (2, "x"), (2, "x")], key=str)
