@@ -4,10 +4,14 @@ Entities (e-mail addresses, IP addresses, cards, phone numbers, social security
 names after a title) are found by one pattern. Each is brought to a canonical form, so that forms
 of one entity share it, and gets the surrogate that a keyed digest of the form spells in the
 entity's own format: digits stay digits, case stays, separators stay; addresses stay valid; cards
-that pass the check digit still do; names keep title, gender and script. The same entity gets the
-same surrogate everywhere. A check over all distinct entities finds surrogates that two entities
+that pass the check digit still do; names keep title and gender, and Latin, Cyrillic or Greek script
+(names in other scripts get Latin surrogates). A name is any number of capitalised words and initials
+with the particles between them, or up to four words of a script without case. The same entity gets
+the same surrogate everywhere. Initials are letters moved by a keyed distance, for which distinctness
+within their alphabet holds without a check; particles stay. A check over all distinct entities finds surrogates that two entities
 share or that are real entities themselves; those get the digest of a further attempt until none
-is left, so distinct entities stay distinct.
+is left, so distinct entities stay distinct; surrogates of names and e-mail addresses grow longer with
+each attempt, so that free ones don't run out.
 
 Defined results: a null text stays null; a text without entities is unchanged; repeated rows give
 repeated results; extra columns are ignored by the query and kept by replace_pii.
@@ -15,6 +19,9 @@ repeated results; extra columns are ignored by the query and kept by replace_pii
 
 from __future__ import annotations
 
+import hashlib
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,19 +34,40 @@ KEY = "change-me"
 MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Señora", "Sra", "Doña", "Госпожа", "Κυρία")
 NEUTRAL = ("Dr", "Prof")
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join((*MALE, *FEMALE, *NEUTRAL))
+#: What stands inside names and stays as it is: particles, titles after the first, generations.
+_PARTICLE = "van|von|vom|zu|zum|zur|der|den|dem|de|del|della|di|da|das|dos|do|du|des|la|las|le|les|los|lo|af|av|ten|ter|te|bin|bint|ibn|ben|bat|al|el|y|ur"
+_STAYS = rf"(?:{_PARTICLE}|(?:{'|'.join(NEUTRAL)})\.?|Jr|Sr|II|III|IV)"
+_INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*"
+#: An apostrophe or hyphen joins what follows, but for the s of a genitive.
+_JOINED = r"(?:['’](?!s(?![\p{L}]))[\p{L}\p{M}]+|-[\p{L}\p{M}]+)*"
+#: Titles that are no given names end a name; another may follow them.
+_NO_TITLE = rf"(?!(?:{'|'.join(t for t in (*MALE, *FEMALE, *NEUTRAL) if t not in ('Don', 'Sir', 'Miss', 'Sr'))})(?![\p{{L}}]))"
+_CASED = rf"(?:{_INITIALS}|{_NO_TITLE}(?:\p{{Ll}}{{1,2}}['’])?[\p{{Lu}}\p{{Lt}}][\p{{L}}\p{{M}}]*{_JOINED})"
+_PARTICLES = rf"(?:(?:{_PARTICLE}) )*"
+_CASELESS = r"\p{Lo}[\p{L}\p{M}]*"
+_NAME = rf"(?:{_PARTICLES}{_CASED}(?: {_PARTICLES}{_CASED})*|{_CASELESS}(?: {_CASELESS}){{0,3}})"
+_PHONE = (
+    r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+    r"(?:\+|00)[1-9](?:[ ./()-]{0,2}[0-9]){6,14}",
+    r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}",
+    r"0[0-9](?:[ .-][0-9]{2}){4}",
+    r"(?:\(0[0-9]{1,5}\) ?|0[0-9]{1,5}[ /-])[0-9]{5,8}",
+    r"(?:\(0[0-9]{2,5}\) ?|0[0-9]{2,5}[ /-])[0-9]{2,4}(?:[ -][0-9]{2,4}){1,3}",
+    r"0[1-9][0-9]{7,10}",
+    r"1?[2-9][0-9]{2}[2-9][0-9]{6}",
+)
 KINDS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("card", r"(?<![0-9A-Za-z-])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9A-Za-z-])"),
+    ("card", r"(?<![0-9A-Za-z-])(?:(?:[0-9]{4}[ -]?){3}[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5})(?![0-9A-Za-z-])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
-    ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"),
-    ("name", rf"(?<![\p{{L}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME})?(?![\p{{L}}])"),
+    ("phone", rf"(?<![0-9A-Za-z+])(?:{'|'.join(rf'{p}(?![0-9A-Za-z])' for p in _PHONE)})"),
+    ("name", rf"(?<![\p{{L}}])(?:{_TITLE})\.? (?:(?:{'|'.join(NEUTRAL)})\.? )*{_NAME}(?![\p{{L}}\p{{M}}])"),
 )
 PATTERN = "|".join(p for _, p in KINDS)
-_PROBE = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+_PROBE = rf"[0-9@]|(?:{_TITLE})\.? \p{{L}}"
 #: Syllables and endings of surrogate names by script.
 _SYLLABLES = {
     "latin": ("ba", "do", "fe", "ga", "jo", "ka", "le", "mi", "no", "pe", "ra", "si", "ta", "ve", "wi", "zo"),
@@ -49,6 +77,26 @@ _SYLLABLES = {
 _ENDINGS = {"latin": ("n", "lia", "rt"), "cyrillic": ("н", "на", "в"), "greek": ("ς", "ρια", "κης")}
 
 
+def _alphabets() -> list[str]:
+    """Capital letters by alphabet; plain Latin ones apart from those with marks."""
+    out: dict[str, str] = {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if unicodedata.category(c) == "Lu":
+            kind = "ascii" if c.isascii() else unicodedata.name(c, "OTHER").split()[0]
+            out[kind] = out.get(kind, "") + c
+    return list(out.values())
+
+
+_ALPHABETS = _alphabets()
+
+
+def _initials(text: Column, key: str) -> Column:
+    """Each letter moved within its alphabet by a distance that the key gives, never by none."""
+    number = int(hashlib.sha256(f"{key}\u0001initial".encode()).hexdigest(), 16)
+    moved = [a[k:] + a[:k] for a in _ALPHABETS for k in [1 + number % max(len(a) - 1, 1)]]
+    return F.translate(text, "".join(_ALPHABETS), "".join(moved))
+
+
 def _digest(key: str, unit: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", F.lit(key), unit["kind"], unit["form"], attempt.cast("string")), 256)
 
@@ -64,10 +112,12 @@ def _gender(entity: Column) -> Column:
 
 def units(entity: Column, kind: Column) -> Column:
     """What of an entity is replaced as one: (kind, form, shown). Names give one unit for each word."""
-    words = F.slice(F.split(entity, " "), F.lit(2), F.lit(2))
-    single = F.size(words) == 1
+    words = F.split(F.regexp_extract(entity, "^[^ ]+ (.*)$", 1), " ")
     gender = _gender(entity)
-    name = F.transform(words, lambda w, i: F.struct(F.when(single | (i == 1), F.lit("last")).otherwise(F.concat(F.lit("first_"), gender)).alias("kind"), F.lower(w).alias("form"), w.alias("shown")))
+    plain = lambda w: F.when(w.rlike(rf"^{_STAYS}$"), "stays").when(w.rlike(rf"^{_INITIALS}$"), "initial")
+    last = F.array_max(F.transform(words, lambda w, i: F.when(plain(w).isNull(), i)))
+    kind_of_word = lambda w, i: F.coalesce(plain(w), F.when(i == last, F.lit("last")).otherwise(F.concat(F.lit("first_"), gender)))
+    name = F.transform(words, lambda w, i: F.struct(kind_of_word(w, i).alias("kind"), F.lower(w).alias("form"), w.alias("shown")))
     digits = F.regexp_replace(entity, "[^0-9]", "")
     form = F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(entity, " ", "")).otherwise(F.lower(entity))
     return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), form.alias("form"), entity.alias("shown"))))
@@ -112,13 +162,16 @@ def _ip(digest: Column) -> Column:
     return F.concat_ws(".", *[part(k) for k in range(4)])
 
 
-def _name(unit: Column, digest: Column) -> Column:
+def _name(unit: Column, digest: Column, attempt: Column) -> Column:
+    """Four syllables and one more for each further attempt, as far as the digest reaches."""
+    places = F.sequence(F.lit(1), F.least(attempt + 4, F.lit(64)).cast("int"))
+
     def made(script: str) -> Column:
         table_ = F.array(*[F.lit(x) for x in _SYLLABLES[script]])
-        part = lambda k: F.element_at(table_, F.conv(F.substr(digest, F.lit(k), F.lit(1)), 16, 10).cast("int") + 1)
+        part = lambda k: F.element_at(table_, F.conv(F.substr(digest, k, F.lit(1)), 16, 10).cast("int") + 1)
         m, f, n = _ENDINGS[script]
         end = F.when(unit["kind"] == "first_m", m).when(unit["kind"] == "first_f", f).otherwise(n)
-        return F.initcap(F.concat(*[part(k) for k in (1, 2, 3, 4)], end))
+        return F.initcap(F.concat(F.array_join(F.transform(places, part), ""), end))
 
     return F.when(unit["form"].rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(unit["form"].rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
@@ -128,10 +181,10 @@ def surrogate(unit: Column, attempt: Column, key: str = KEY, shown: Column | Non
     text = unit["form"] if shown is None else shown
     digest, kind = _digest(key, unit, attempt), unit["kind"]
     top = F.regexp_extract(text, r"\.[A-Za-z]{2,24}$", 0)
-    email = F.concat(_spelled(F.substr(text, F.lit(1), F.length(text) - F.length(top)), digest, F.lit(0)), top)
+    email = F.concat(F.right(_stream(digest, "abcdefghijklmnop"), attempt), _spelled(F.substr(text, F.lit(1), F.length(text) - F.length(top)), digest, F.lit(0)), top)
     phone = _spelled(text, digest, F.greatest(F.length(F.regexp_replace(text, "[^0-9]", "")) - 10, F.lit(0)))
     out = F.when(kind == "email", email).when(kind == "ip", _ip(digest)).when(kind == "card", _card(text, digest)).when(kind == "phone", phone)
-    return out.when(kind == "ssn", _spelled(text, digest, F.lit(0))).when(kind == "iban", _spelled(text, digest, F.lit(2))).otherwise(_name(unit, digest))
+    return out.when(kind == "ssn", _spelled(text, digest, F.lit(0))).when(kind == "iban", _spelled(text, digest, F.lit(2))).when(kind == "stays", text).when(kind == "initial", _initials(text, key)).otherwise(_name(unit, digest, attempt))
 
 
 def _entities(text: Column) -> Column:
@@ -165,7 +218,7 @@ def attempts(distinct: DataFrame, key: str = KEY, name=surrogate) -> DataFrame:
 def replace_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", key: str = KEY, name=surrogate) -> DataFrame:
     """The rows with every entity replaced, and counts, an array of (kind, n) columns as pii_<kind>."""
     body = F.col(f"`{text_col}`").cast("string")
-    distinct = stored(docs.select(F.explode(F.flatten(F.transform(_entities(body), lambda x: x["units"]))).alias("u")).select("u.kind", "u.form").distinct())
+    distinct = stored(docs.select(F.explode(F.flatten(F.transform(_entities(body), lambda x: x["units"]))).alias("u")).select("u.kind", "u.form").where("kind NOT IN ('stays', 'initial')").distinct())
     again = stored(attempts(distinct, key, name))
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), body.alias("_body")).withColumn("_found", _entities(F.col("_body")))

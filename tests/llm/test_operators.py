@@ -199,6 +199,46 @@ def test_pii_collisions_are_resolved(make):
     assert len(set(new.values())) == 10 and not any("@x.com" in t for t in new.values())
 
 
+@pytest.mark.parametrize(
+    ("kind", "entities"),
+    [
+        ("name", ["Mr John Michael Smith", "Mr John McDonald", "Mrs McDonald", "Dr O'Brien", "Dr D’Angelo", "Mr. J. Smith", "Mr. J.R.R. Tolkien", "Herr Dr. Karl-Heinz Müller", "Frau Anna von der Heide", "Señor Juan de la Cruz y Vega", "Monsieur d'Artagnan", "Mr Kim Jong-un", "Mr 田中", "Господин Иван П. Петров"]),
+        ("phone", ["+14145553519", "+33 1 23 45 67 89", "+33123456789", "01 23 45 67 89", "030 1234567", "(030) 1234567", "0171 12 34 567", "0301234567", "4145553519", "+1 (414) 555-3519", "0033 1 23 45 67 89"]),
+        ("card", ["3782 822463 10005", "378282246310005", "3782-822463-10005", "4111 1111 1111 1111"]),
+    ],
+)
+def test_pii_finds_each_form_whole(make, kind, entities):
+    for r in pii.replace_pii(make([f"so {e}, and" for e in entities])).collect():
+        old, new = entities[r["doc_id"]], r["text"]
+        assert new.startswith("so ") and new.endswith(", and") and r[f"pii_{kind}"] == 1, (old, new)
+        own = set(re.findall(r"\w+", old)[1:]) - {"Dr", "von", "der", "de", "la", "y", "d"} if kind == "name" else {old[-7:]}
+        assert not own & set(re.findall(r"\w+", new)) and not any(len(w) > 1 and w in new for w in own), (old, new)
+
+
+def test_pii_leaves_dates_and_genitives(make):
+    new = by_id(pii.replace_pii(make(["on 01.02.2024, 05-12-2023 and 2024-01-02", "Mr Smith's car and Mr Smith", "Mr A. Smith and Mr B. Smith", "Señor García y Señora López"])), "text")
+    assert new[0] == "on 01.02.2024, 05-12-2023 and 2024-01-02"
+    assert (m := re.fullmatch(r"Mr (\w+)'s car and Mr (\w+)", new[1])) and m[1] == m[2] != "Smith"
+    assert (m := re.fullmatch(r"Mr ([A-Z])\. (\w+) and Mr ([A-Z])\. (\w+)", new[2])) and m[2] == m[4] and m[1] != m[3] and m[1] != "A" and m[3] != "B"
+    assert (m := re.fullmatch(r"Señor (\w+) y Señora (\w+)", new[3])) and not {m[1], m[2]} & {"García", "López"}
+
+
+def test_pii_surrogates_never_run_out(spark, monkeypatch):
+    monkeypatch.setitem(pii._SYLLABLES, "latin", ("ba", "do") * 8)  # 16 names of four syllables for 30 last names
+    monkeypatch.setattr(pii, "stored", lambda df: df.localCheckpoint())
+    tries = [0]
+    name = lambda unit, attempt, key=pii.KEY, shown=None: (tries.append(tries[-1] + 1), pii.surrogate(unit, attempt, key, shown))[1]
+    distinct = spark.createDataFrame([("last", f"name{i}") for i in range(30)], "kind string, form string")
+    from pyspark.sql import functions as F
+
+    def bounded(unit, attempt, key=pii.KEY, shown=None):
+        assert tries[-1] < 20, "no free surrogates"
+        return name(unit, attempt if not isinstance(attempt, int) else F.lit(attempt), key, shown)
+
+    again = pii.attempts(distinct, name=bounded)
+    assert again.where("attempt > 0").count() >= 14
+
+
 def brute_secrets(text):
     out = []
     for rank, (_, pattern, group, least) in enumerate(secrets.BASE):
