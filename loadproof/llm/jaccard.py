@@ -413,6 +413,11 @@ def _mixed(postings: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles and component_id, the smallest id that links reach."""
+    return _classes(docs, id_col, text_col).drop("_key")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of near_duplicates with the digest of each row's text as _key."""
     spark = docs.sparkSession
     small_batches(spark)
     text = F.col(f"`{text_col}`").cast("string")
@@ -449,23 +454,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_text = texts.join(linked, "key", "left").select("key", F.coalesce("least", "low").alias("least"))
     sized = _sizes(docs)
     out = sized.join(of_text, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"), F.col("key").alias("_key"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with one document of each near-duplicate class: the one with the smallest id, once. Rows without id stay.
 
+    Rows are told by id and text: a row goes if its own text is in a class with a smaller id, or repeats
+    a row with the same id and text. Other texts of the same id stay, whatever becomes of that row.
+
     Only rows in whose slot an id is to go, or occurs repeatedly, take part in a join by id; the slots
     are at most SLOTS, so that all other rows stay where they are.
     """
-    found = stored(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), (F.col(id_col) != F.col("component_id")).alias("_goes")).where("_id IS NOT NULL"))
-    special = stored(found.groupBy("_id").agg(F.bool_or("_goes").alias("_goes"), F.count("*").alias("_n")).where("_goes OR _n > 1").select("_id", "_goes"))
+    goes = (F.col(id_col) != F.col("component_id")).alias("_goes")
+    found = stored(_classes(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "_key", goes).where("_id IS NOT NULL"))
+    special = stored(found.groupBy("_id", "_key").agg(F.bool_or("_goes").alias("_goes"), F.count("*").alias("_n")).where("_goes OR _n > 1").select("_id", "_key", "_goes"))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
     slots = F.broadcast(special.select(slot("_id").alias("_slot")).distinct())
     own = F.col(f"`{id_col}`").cast("long")
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
     untouched = docs.join(slots, slot(own) == F.col("_slot"), "left_anti")
-    looked_at = docs.join(slots, slot(own) == F.col("_slot"), "left_semi").join(special.where("_goes"), own == F.col("_id"), "left_anti")
-    once = looked_at.withColumn("_copy", F.row_number().over(Window.partitionBy(own).orderBy(own))).where(F.col("_copy").eqNullSafe(1) | own.isNull())
+    looked_at = docs.join(slots, slot(own) == F.col("_slot"), "left_semi").join(special.where("_goes"), (own == F.col("_id")) & (digest == F.col("_key")), "left_anti")
+    once = looked_at.withColumn("_copy", F.row_number().over(Window.partitionBy(own, digest).orderBy(own))).where(F.col("_copy").eqNullSafe(1) | own.isNull())
     return untouched.unionByName(once.drop("_copy"))
 
 

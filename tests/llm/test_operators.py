@@ -356,6 +356,12 @@ def test_jaccard_edge_cases(make):
     assert jaccard.near_duplicates(make([])).count() == 0
 
 
+def test_keep_one_tells_rows_by_id_and_text(make):
+    text, other = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    kept = jaccard.keep_one(make([text, text, other, other, "one", "two", "two"], [3, 5, 5, 5, 7, 7, 7]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, text), (5, other), (7, "one"), (7, "two")]
+
+
 def test_trie_equals_pairs():
     rng = random.Random(8)
     sets = [sorted(rng.sample(range(60), rng.randint(1, 30))) for _ in range(60)]
