@@ -32,6 +32,8 @@ POSITIVES, UNLABELLED = 3_000, 9_000
 #: Features kept, those most typical of the positives first; buckets that feature names hash to.
 FEATURES, BUCKETS = 4_096, 1 << 22
 LOCAL_WORDS = 300_000
+#: Longer words are scored like all others, but not remembered.
+CACHED_CHARS = 60
 HELD_OUT = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,7 +42,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def word_features(word: str) -> list[int]:
     """The word and its runs of five characters, ends marked, as hash buckets."""
     marked = f"^{word}$"
-    names = [marked, *(marked[i : i + 5] for i in range(len(marked) - 4))] if len(word) <= 60 else []
+    names = {marked, *(marked[i : i + 5] for i in range(len(marked) - 4))}
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names]
 
 
@@ -59,9 +61,11 @@ class Model:
             found: set[int] = set()
             for word in set(_WORD.findall((text or "").lower())):
                 if (kept := seen.get(word)) is None:
-                    if len(seen) >= LOCAL_WORDS:
-                        seen.clear()
-                    kept = seen[word] = tuple(f for f in word_features(word) if f in self.weights)
+                    kept = tuple(f for f in word_features(word) if f in self.weights)
+                    if len(word) <= CACHED_CHARS:
+                        if len(seen) >= LOCAL_WORDS:
+                            seen.clear()
+                        seen[word] = kept
                 if kept:
                     found.update(kept)
             if found:

@@ -90,6 +90,17 @@ def test_nnpu_learns_and_keeps_its_risk_up():
     assert toxicity.train([], pack(unlabelled), 0.2).scores(["awfulword"], {})[0] < 0.5
 
 
+def test_toxicity_without_spaces():
+    rng = random.Random(3)
+    plain = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    doc = lambda bad: rng.choices(plain, k=60) + rng.choices(["rottenslur", "nastyterm"], k=6 * bad)
+    pack = lambda texts: [np.array(sorted(toxicity.features(" ".join(t))), np.int32) for t in texts]
+    model = toxicity.train(pack([doc(True) for _ in range(60)]), pack([doc(rng.random() < 0.2) for _ in range(600)]), 0.2)
+    for join in (" ", ""):
+        s = model.scores([join.join(doc(True)) for _ in range(50)] + [join.join(doc(False)) for _ in range(50)], {})
+        assert (s[:50] > 0.5).mean() > 0.9 and (s[50:] < 0.5).mean() > 0.9
+
+
 def test_toxicity_rows(spark, make):
     docs = make(AWKWARD * 3)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
