@@ -2,7 +2,8 @@
 
 A unit (a whole document, or one of its lines) is brought to a canonical form: lower case, without
 copyright lines, equivalent spellings as one, punctuation and white space as single spaces. Its
-digest is joined to the digests of known licence texts and notices, a table of fixed size.
+digest is joined to the digests of known licence texts and notices, a table of fixed size: KNOWN, and
+the digests of full texts in license_digests.csv. Units are thinned first by words that known texts hold.
 
 Defined results: a null or empty text has no units; rows that repeat an id are pooled into one
 row, null ids among them; repeated lines count each time; extra columns are ignored.
@@ -10,6 +11,10 @@ row, null ids among them; repeated lines count each time; extra columns are igno
 
 from __future__ import annotations
 
+import csv
+import os
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +71,7 @@ SPELLINGS = (
 )
 #: A line that names a copyright holder; such lines aren't part of a licence.
 COPYRIGHT = r"(?im)^[^a-z\n]*(copyright\b|\(c\)|©)[^\n]*$"
-#: Every known text has it, so a unit without it matches none.
+#: Every text of KNOWN has it, so a unit without it matches none of them.
 ANCHOR = r"(?i)licen"
 
 
@@ -81,16 +86,43 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " "))
 
 
+#: Words that a spelling makes or takes away, so that a text may hold them otherwise than its canonical form.
+_CHANGED = re.compile(r".*licen[cs]e.*|organi[sz]ations?|merchant[ai]bility|non|infringement|noninfringement|https?|ver|v|version|and")
+
+
+def full_texts() -> list[tuple[str, str, str]]:
+    """(license, digest, word that the text holds) of the full texts."""
+    with open(os.path.join(os.path.dirname(__file__), "license_digests.csv"), newline="") as f:
+        return [tuple(row) for row in csv.reader(f)]
+
+
+def anchor(text: str) -> str:
+    """A string that each spelling of the text holds in lower case; empty where none is sure."""
+    words = re.findall(r"(?<![a-z0-9])[a-z]+(?![a-z0-9])", re.sub(COPYRIGHT, " ", text).lower())
+    if any(re.search("licen[cs]e", w) for w in words):
+        return "licen"
+    return max((w for w in words if w.isascii() and not _CHANGED.fullmatch(w)), key=len, default="")
+
+
+def _anchors(texts) -> str:
+    found = {anchor(t) for _, t in texts} | ({a for _, _, a in full_texts()} if texts is KNOWN else set())
+    return "" if "" in found else "|".join(sorted(found))
+
+
 def known(spark, texts=KNOWN) -> DataFrame:
     rows = spark.createDataFrame(list(texts), "license string, text string")
-    return rows.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    rows = rows.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    if texts is KNOWN:
+        rows = rows.union(spark.createDataFrame([x[:2] for x in full_texts()], "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts=KNOWN) -> DataFrame:
     """One row per id: the licence that the whole text is, how many lines are one, and which."""
     body = F.col(f"`{text_col}`").cast("string")
-    likely = docs.select(F.col(f"`{id_col}`").alias("id"), F.when(body.rlike(ANCHOR), body).alias("text"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(ANCHOR))
+    words = _anchors(texts)
+    likely = docs.select(F.col(f"`{id_col}`").alias("id"), F.when(F.lower(body).rlike(words), body).alias("text"))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.lower(x).rlike(words))
     units = likely.select("id", F.explode_outer(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))).alias("u"))
     digests = units.select("id", "u.whole", F.sha2(canonical(F.col("u.unit")), 256).alias("digest"))
     found = digests.join(F.broadcast(known(docs.sparkSession, texts)), "digest", "left")  # the known texts are a fixed table

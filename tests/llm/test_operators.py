@@ -39,6 +39,17 @@ def test_licenses(make):
     assert licenses.scan_licenses(make([])).count() == 0
 
 
+def test_full_license_texts(make):
+    files = {"GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Apache-2.0": "Apache-2.0"}
+    texts = [open(f"/usr/share/common-licenses/{f}").read() for f in files.values()]
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    bsd = open("/usr/share/common-licenses/BSD").read()
+    got = by_id(licenses.scan_licenses(make([*texts, "Copyright (c) 2001 A\n\n" + isc, bsd])), "whole_license")
+    assert [got[i] for i in range(len(got))] == [*files, "ISC", "BSD-3-Clause"]
+    own = by_id(licenses.scan_licenses(make(["Do as you please!", "x"]), texts=(("own", "do as you please"),)), "whole_license")
+    assert own == {0: "own", 1: None}
+
+
 def test_html():
     page = "<p>One <b>two</b>\n three<p>four<br>five<ul><li>a<li>b<ol start=3><li>c</ol></ul><table><tr><th>Name<th>N<tr><td>alpha<td>1</table><div hidden>no</div><div style='display : none'>no</div><pre> x\n  y</pre>&amp;&eacute;"
     assert html.render(page) == "One two three\n\nfour\nfive\n\n- a\n- b\n   3. c\n\nName   N\nalpha  1\n\n x\n  y\n\n&é"
