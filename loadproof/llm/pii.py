@@ -1,20 +1,31 @@
 """PII by surrogate generation, in built-in expressions only.
 
 Entities (e-mail addresses, IP addresses, cards, phone numbers, social security numbers, IBANs,
-names after a title) are found by one pattern. Each is brought to a canonical form, so that forms
+names after a title) are found by one pattern; where a document gives names with a title, their words
+are then found in that document without one too. Each is brought to a canonical form, so that forms
 of one entity share it, and gets the surrogate that a keyed digest of the form spells in the
 entity's own format: digits stay digits, case stays, separators stay; addresses stay valid; cards
 that pass the check digit still do; names keep title and gender, and Latin, Cyrillic or Greek script
 (names in other scripts get Latin surrogates). A name is any number of capitalised words and initials
 with the particles between them, or up to four words of a script without case. The same entity gets
 the same surrogate everywhere. Initials are letters moved by a keyed distance, for which distinctness
-within their alphabet holds without a check; particles stay. A check over all distinct entities finds surrogates that two entities
+within their alphabet holds without a check; particles stay.
+
+A person is one within a document: a given name after a title without gender, or without title, is
+that of the mention with one, and a word alone is the family name if it is one in any mention. Words of
+names are looked for without title as they are written, unless the document also holds the word in
+lower case.
+
+A check over all distinct entities finds surrogates that two entities
 share or that are real entities themselves; those get the digest of a further attempt until none
 is left, so distinct entities stay distinct; surrogates of names and e-mail addresses grow longer with
-each attempt, so that free ones don't run out.
+each attempt, and all others do from the ninth on, giving up their format, so that free ones don't run
+out and the check ends.
 
-Defined results: a null text stays null; a text without entities is unchanged; repeated rows give
-repeated results; extra columns are ignored by the query and kept by replace_pii.
+Defined results: a null text stays null; an empty text or one without entities is unchanged; texts of
+any length are taken whole; repeated rows, and rows that repeat an id, give each its own result, with one
+surrogate for one entity; an empty table gives no rows; extra columns are ignored by the query and kept by
+replace_pii, but for columns named as the counts are, which an error names.
 """
 
 from __future__ import annotations
@@ -29,7 +40,10 @@ from pyspark.sql import functions as F
 
 from loadproof.llm.common import stored, table
 
-KEY = "change-me"
+#: Where the query takes its key from, and what it takes for tests where none is set.
+KEY_CONF, TEST_KEY = "spark.loadproof.pii.key", "of tests alone"
+#: Attempts that keep the format; attempts after which the check gives up (a surrogate that never changes).
+KEEPS_FORMAT, MOST_ATTEMPTS = 8, 200
 #: Titles by gender, then the patterns of the kinds in the order tried.
 MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Señora", "Sra", "Doña", "Госпожа", "Κυρία")
@@ -58,7 +72,7 @@ _PHONE = (
     r"1?[2-9][0-9]{2}[2-9][0-9]{6}",
 )
 KINDS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*[A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9A-Za-z-])(?:(?:[0-9]{4}[ -]?){3}[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5})(?![0-9A-Za-z-])"),
@@ -67,6 +81,7 @@ KINDS = (
     ("name", rf"(?<![\p{{L}}])(?:{_TITLE})\.? (?:(?:{'|'.join(NEUTRAL)})\.? )*{_NAME}(?![\p{{L}}\p{{M}}])"),
 )
 PATTERN = "|".join(p for _, p in KINDS)
+_IS_NAME = rf"^(?:{_TITLE})\.? "
 _PROBE = rf"[0-9@]|(?:{_TITLE})\.? \p{{L}}"
 #: Syllables and endings of surrogate names by script.
 _SYLLABLES = {
@@ -110,17 +125,41 @@ def _gender(entity: Column) -> Column:
     return F.when(is_(MALE), "m").when(is_(FEMALE), "f").otherwise("n")
 
 
-def units(entity: Column, kind: Column) -> Column:
-    """What of an entity is replaced as one: (kind, form, shown). Names give one unit for each word."""
+def name_units(entity: Column) -> Column:
+    """A titled name's words as (kind, form, shown); kinds: first_<gender>, last, only_<gender> of a single one, initial, stays."""
     words = F.split(F.regexp_extract(entity, "^[^ ]+ (.*)$", 1), " ")
     gender = _gender(entity)
     plain = lambda w: F.when(w.rlike(rf"^{_STAYS}$"), "stays").when(w.rlike(rf"^{_INITIALS}$"), "initial")
-    last = F.array_max(F.transform(words, lambda w, i: F.when(plain(w).isNull(), i)))
-    kind_of_word = lambda w, i: F.coalesce(plain(w), F.when(i == last, F.lit("last")).otherwise(F.concat(F.lit("first_"), gender)))
-    name = F.transform(words, lambda w, i: F.struct(kind_of_word(w, i).alias("kind"), F.lower(w).alias("form"), w.alias("shown")))
+    places = F.array_compact(F.transform(words, lambda w, i: F.when(plain(w).isNull(), i)))
+    last = F.when(F.size(places) > 1, F.lit("last")).otherwise(F.concat(F.lit("only_"), gender))
+    kind = lambda w, i: F.coalesce(plain(w), F.when(i == F.array_max(places), last).otherwise(F.concat(F.lit("first_"), gender)))
+    return F.transform(words, lambda w, i: F.struct(kind(w, i).alias("kind"), F.lower(w).alias("form"), w.alias("shown")))
+
+
+def _resolved(unit: Column) -> Column:
+    """The unit with the kind that the document's names (_known) give it: one person, one kind."""
+    kinds = F.transform(F.filter("_known", lambda k: k["form"] == unit["form"]), lambda k: k["kind"])
+    one = lambda *wanted: F.get(F.filter(kinds, lambda k: k.isin(*wanted)), F.lit(0))
+    first = F.coalesce(one("first_m", "first_f"), one("first_n"))
+    own, is_last = unit["kind"], F.array_contains(kinds, "last")
+    kind = (
+        F.when(own == "first_n", F.coalesce(one("first_m", "first_f"), own))
+        .when(own.isin("alone", "only_n"), F.when(is_last, "last").otherwise(F.coalesce(first, F.lit("last"))))
+        .when(own == "only_m", F.when(is_last, "last").otherwise(F.coalesce(one("first_m"), one("first_n"), F.lit("last"))))
+        .when(own == "only_f", F.when(is_last, "last").otherwise(F.coalesce(one("first_f"), one("first_n"), F.lit("last"))))
+        .otherwise(own)
+    )
+    # a given name that another mention's title gives a gender has that gender here too
+    kind = F.when(kind == "first_n", F.coalesce(one("first_m", "first_f"), kind)).otherwise(kind)
+    return F.struct(kind.alias("kind"), unit["form"].alias("form"), unit["shown"].alias("shown"))
+
+
+def units(entity: Column, kind: Column) -> Column:
+    """What of an entity is replaced as one: (kind, form, shown). Names give one unit for each word."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
     form = F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(entity, " ", "")).otherwise(F.lower(entity))
-    return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), form.alias("form"), entity.alias("shown"))))
+    one = F.struct(kind.alias("kind"), form.alias("form"), entity.alias("shown"))
+    return F.when(kind == "name", F.transform(name_units(entity), _resolved)).when(kind == "alone", F.array(_resolved(one))).otherwise(F.array(one))
 
 
 def _stream(digest: Column, to: str) -> Column:
@@ -176,33 +215,50 @@ def _name(unit: Column, digest: Column, attempt: Column) -> Column:
     return F.when(unit["form"].rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(unit["form"].rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
 
-def surrogate(unit: Column, attempt: Column, key: str = KEY, shown: Column | None = None) -> Column:
+def surrogate(unit: Column, attempt: Column, key: str, shown: Column | None = None) -> Column:
     """The unit's surrogate in the format of what is shown; by default of its canonical form."""
     text = unit["form"] if shown is None else shown
     digest, kind = _digest(key, unit, attempt), unit["kind"]
     top = F.regexp_extract(text, r"\.[A-Za-z]{2,24}$", 0)
     email = F.concat(F.right(_stream(digest, "abcdefghijklmnop"), attempt), _spelled(F.substr(text, F.lit(1), F.length(text) - F.length(top)), digest, F.lit(0)), top)
     phone = _spelled(text, digest, F.greatest(F.length(F.regexp_replace(text, "[^0-9]", "")) - 10, F.lit(0)))
-    out = F.when(kind == "email", email).when(kind == "ip", _ip(digest)).when(kind == "card", _card(text, digest)).when(kind == "phone", phone)
-    return out.when(kind == "ssn", _spelled(text, digest, F.lit(0))).when(kind == "iban", _spelled(text, digest, F.lit(2))).when(kind == "stays", text).when(kind == "initial", _initials(text, key)).otherwise(_name(unit, digest, attempt))
-
-
-def _entities(text: Column) -> Column:
-    """Each match of the pattern with its kind and units."""
-    found = F.regexp_extract_all(F.when(text.rlike(_PROBE), text), F.lit(PATTERN), F.lit(0))
-    kinds = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
-    return F.transform(kinds, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), units(x["entity"], x["kind"]).alias("units")))
-
-
-def attempts(distinct: DataFrame, key: str = KEY, name=surrogate) -> DataFrame:
+    more = F.when(attempt >= KEEPS_FORMAT, F.concat(F.lit("-"), F.right(_stream(digest, "abcdefghijklmnop"), 2 * (attempt - KEEPS_FORMAT + 1)))).otherwise("")
+    of = lambda k, x: (kind == k, F.concat(x, more))
+    out = F.when(kind == "email", email).when(*of("ip", _ip(digest))).when(*of("card", _card(text, digest))).when(*of("phone", phone))
+    return out.when(*of("ssn", _spelled(text, digest, F.lit(0)))).when(*of("iban", _spelled(text, digest, F.lit(2)))).when(kind == "stays", text).when(kind == "initial", _initials(text, key)).otherwise(_name(unit, digest, attempt))
+
+
+def with_entities(rows: DataFrame) -> DataFrame:
+    """Adds to rows with _body: _pattern, and _found, each match of it with kind and units."""
+    body, none = F.col("_body"), F.array().cast("array<string>")
+    titled = F.regexp_extract_all(F.when(body.rlike(_PROBE), body), F.lit(PATTERN), F.lit(0))
+    rows = rows.withColumn("_titled", F.coalesce(titled, none))
+    named = F.array_distinct(F.filter("_titled", lambda e: e.rlike(_IS_NAME)))
+    known = F.filter(F.array_distinct(F.flatten(F.transform(named, name_units))), lambda k: ~k["kind"].isin("stays", "initial"))
+    rows = rows.withColumn("_known", known)
+    # words of these names that the document never writes small; scripts without case have no small form
+    forms = F.transform(F.filter("_known", lambda k: k["form"] != k["shown"]), lambda k: k["form"])
+    proper = F.array_except(forms, F.split(body, r"[^\p{L}\p{M}]+"))
+    words = F.array_distinct(F.transform(F.filter("_known", lambda k: (k["form"] == k["shown"]) | F.array_contains(F.col("_proper"), k["form"])), lambda k: k["shown"]))
+    rows = rows.withColumn("_proper", F.when(F.size("_known") > 0, proper)).withColumn("_alone", F.when(F.size("_known") > 0, words).otherwise(none))
+    longest = F.transform(F.sort_array(F.transform("_alone", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), lambda x: F.concat(F.lit("\\Q"), x["w"], F.lit("\\E")))
+    pattern = F.concat(F.lit(rf"{PATTERN}|(?<![\p{{L}}\p{{M}}\p{{N}}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    rows = rows.withColumn("_pattern", F.when(F.size("_alone") > 0, pattern).otherwise(PATTERN))
+    all_ = F.when(F.size("_alone") > 0, F.regexp_extract_all(body, F.col("_pattern"), F.lit(0))).otherwise(F.col("_titled"))
+    kinds = F.transform(all_, lambda e: F.struct(e.alias("entity"), F.coalesce(kind_of(e), F.lit("alone")).alias("kind")))
+    found = F.transform(kinds, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), units(x["entity"], x["kind"]).alias("units")))
+    return rows.withColumn("_found", found).drop("_titled", "_known", "_proper", "_alone")
+
+
+def attempts(distinct: DataFrame, key: str, name=surrogate) -> DataFrame:
     """(kind, form, attempt) of the units whose first surrogate is taken or real; distinct has (kind, form).
 
     Of units with one surrogate the least keeps it; the others try again against all that is taken.
     """
     group = F.regexp_replace("kind", "_[a-z]$", "")
     real = distinct.select(group.alias("g"), F.lower("form").alias("s")).distinct()
-    pending, taken, settled, attempt = distinct, real, None, 0
-    while True:
+    pending, taken, settled = distinct, real, None
+    for attempt in range(MOST_ATTEMPTS):
         tried = pending.withColumn("s", F.lower(name(F.struct("kind", "form"), F.lit(attempt), key))).withColumn("g", group)
         first = tried.groupBy("g", "s").agg(F.min(F.struct("kind", "form")).alias("owner"))
         free = first.join(taken, ["g", "s"], "left_anti")
@@ -212,30 +268,35 @@ def attempts(distinct: DataFrame, key: str = KEY, name=surrogate) -> DataFrame:
         settled = again.where("attempt > 0") if settled is None else settled.union(again)
         if pending.isEmpty():
             return settled
-        taken, attempt = taken.union(won.select("g", "s")), attempt + 1
+        taken = taken.union(won.select("g", "s"))
+    raise RuntimeError(f"no free surrogates after {MOST_ATTEMPTS} attempts")
 
 
-def replace_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", key: str = KEY, name=surrogate) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id", name=surrogate) -> DataFrame:
     """The rows with every entity replaced, and counts, an array of (kind, n) columns as pii_<kind>."""
+    names = docs.columns
+    if clash := sorted({f"pii_{k}" for k, _ in KINDS} & {c.lower() for c in names}):
+        raise ValueError(f"columns named as counts: {', '.join(clash)}")
     body = F.col(f"`{text_col}`").cast("string")
-    distinct = stored(docs.select(F.explode(F.flatten(F.transform(_entities(body), lambda x: x["units"]))).alias("u")).select("u.kind", "u.form").where("kind NOT IN ('stays', 'initial')").distinct())
+    each = F.explode(F.flatten(F.transform("_found", lambda x: x["units"]))).alias("u")
+    distinct = stored(with_entities(docs.select(body.alias("_body"))).select(each).select("u.kind", "u.form").where("kind NOT IN ('stays', 'initial')").distinct())
     again = stored(attempts(distinct, key, name))
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), body.alias("_body")).withColumn("_found", _entities(F.col("_body")))
+    rows = with_entities(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), body.alias("_body")))
     if again.isEmpty():
         rows = rows.withColumn("_more", F.lit(None).cast("map<string,int>"))
     else:  # rare: only the documents of these units learn of the further attempt, by a join on the id
-        use = rows.select(F.col(f"_row.`{id_col}`").alias("_id"), F.explode(F.flatten(F.transform("_found", lambda x: x["units"]))).alias("u")).select("_id", "u.kind", "u.form").distinct()
+        use = rows.select(F.col(f"_row.`{id_col}`").alias("_id"), each).select("_id", "u.kind", "u.form").distinct()
         more = use.join(again, ["kind", "form"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "form"), F.col("attempt")))).alias("_more"))
         rows = rows.join(more, F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_id")), "left").drop("_id")
     tried = lambda u: F.coalesce(F.try_element_at(F.col("_more"), F.concat_ws("\u0001", u["kind"], u["form"])), F.lit(0))
     as_units = lambda x: F.transform(x["units"], lambda u: name(u, tried(u), key, u["shown"]))
     fresh = F.transform("_found", lambda x: F.when(x["kind"] == "name", F.concat_ws(" ", F.substring_index(x["entity"], " ", 1), F.array_join(as_units(x), " "))).otherwise(F.array_join(as_units(x), "")))
-    gaps = F.split(F.when(F.size("_found") > 0, F.col("_body")), PATTERN, -1)
+    gaps = F.split(F.when(F.size("_found") > 0, F.col("_body")), F.col("_pattern"), -1)
     text = F.when(F.size("_found") > 0, F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), fresh.alias("s")), lambda x: F.array(x["g"], F.coalesce(x["s"], F.lit(""))))), "")).otherwise(F.col("_body"))
-    count = lambda k: F.size(F.filter("_found", lambda x: x["kind"] == k)).cast("long").alias(f"pii_{k}")
+    also = {"name": ("name", "alone")}
+    count = lambda k: F.size(F.filter("_found", lambda x: x["kind"].isin(*also.get(k, (k,))))).cast("long").alias(f"pii_{k}")
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], *[count(k) for k, _ in KINDS])
 
 
 def op7_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_CONF, TEST_KEY))

@@ -196,7 +196,7 @@ def test_scaled_floor(spark):
 
 def test_pii(make):
     text = "Mr. John Smith and Mrs Smith wrote to Bob.Jones@mail.example.com, bob.jones@mail.example.com from 10.20.30.40 or +1 (414) 555-3519 / 414-555-3519, card 4111 1111 1111 1111, ssn 123-45-6789; Господин Иван Петров."
-    rows = {r["doc_id"]: r for r in pii.replace_pii(make([text, text, None, "", "nothing here", "a@b 1.2.3 v1.2.3.4.5"])).collect()}
+    rows = {r["doc_id"]: r for r in pii.replace_pii(make([text, text, None, "", "nothing here", "a@b 1.2.3 v1.2.3.4.5"]), "k").collect()}
     new = rows[0]["text"]
     assert new == rows[1]["text"] and rows[2]["text"] is None and [rows[i]["text"] for i in (3, 4, 5)] == ["", "nothing here", "a@b 1.2.3 v1.2.3.4.5"]
     for gone in ("John", "Smith", "Jones", "jones", "10.20.30.40", "555-3519", "4111 1111", "123-45-6789", "Иван", "Петров"):
@@ -207,7 +207,7 @@ def test_pii(make):
     assert m[11][0] == "4" and sum(d if i % 2 == 0 else d * 2 % 10 + (d >= 5) for i, d in enumerate(digits)) % 10 == 0
     assert all(0 < int(x) < 255 for x in m[6].split("."))
     assert rows[0]["pii_name"] == 3 and rows[0]["pii_email"] == 2 and rows[0]["pii_phone"] == 2 and rows[0]["key"] == "x"
-    assert pii.replace_pii(make([])).count() == 0
+    assert pii.replace_pii(make([]), "k").count() == 0
 
 
 def test_pii_collisions_are_resolved(make):
@@ -216,8 +216,8 @@ def test_pii_collisions_are_resolved(make):
     texts = [f"mail {i}@x.com now" for i in range(10)]
 
     # few surrogates, so that several entities meet in one at first
-    wide = lambda unit, attempt, key=pii.KEY, shown=None: F.concat(F.pmod(F.xxhash64(unit["form"], attempt), F.lit(40)).cast("string"), F.lit("@y.com"))
-    new = by_id(pii.replace_pii(make(texts), name=wide), "text")
+    wide = lambda unit, attempt, key, shown=None: F.concat(F.pmod(F.xxhash64(unit["form"], attempt), F.lit(40)).cast("string"), F.lit("@y.com"))
+    new = by_id(pii.replace_pii(make(texts), "k", name=wide), "text")
     assert len(set(new.values())) == 10 and not any("@x.com" in t for t in new.values())
 
 
@@ -230,7 +230,7 @@ def test_pii_collisions_are_resolved(make):
     ],
 )
 def test_pii_finds_each_form_whole(make, kind, entities):
-    for r in pii.replace_pii(make([f"so {e}, and" for e in entities])).collect():
+    for r in pii.replace_pii(make([f"so {e}, and" for e in entities]), "k").collect():
         old, new = entities[r["doc_id"]], r["text"]
         assert new.startswith("so ") and new.endswith(", and") and r[f"pii_{kind}"] == 1, (old, new)
         own = set(re.findall(r"\w+", old)[1:]) - {"Dr", "von", "der", "de", "la", "y", "d"} if kind == "name" else {old[-7:]}
@@ -238,7 +238,7 @@ def test_pii_finds_each_form_whole(make, kind, entities):
 
 
 def test_pii_leaves_dates_and_genitives(make):
-    new = by_id(pii.replace_pii(make(["on 01.02.2024, 05-12-2023 and 2024-01-02", "Mr Smith's car and Mr Smith", "Mr A. Smith and Mr B. Smith", "Señor García y Señora López"])), "text")
+    new = by_id(pii.replace_pii(make(["on 01.02.2024, 05-12-2023 and 2024-01-02", "Mr Smith's car and Mr Smith", "Mr A. Smith and Mr B. Smith", "Señor García y Señora López"]), "k"), "text")
     assert new[0] == "on 01.02.2024, 05-12-2023 and 2024-01-02"
     assert (m := re.fullmatch(r"Mr (\w+)'s car and Mr (\w+)", new[1])) and m[1] == m[2] != "Smith"
     assert (m := re.fullmatch(r"Mr ([A-Z])\. (\w+) and Mr ([A-Z])\. (\w+)", new[2])) and m[2] == m[4] and m[1] != m[3] and m[1] != "A" and m[3] != "B"
@@ -247,20 +247,95 @@ def test_pii_leaves_dates_and_genitives(make):
 
 def test_pii_surrogates_never_run_out(spark, monkeypatch):
     monkeypatch.setitem(pii._SYLLABLES, "latin", ("ba", "do") * 8)  # 16 names of four syllables for 30 last names
-    monkeypatch.setattr(pii, "stored", lambda df: df.localCheckpoint())
+    monkeypatch.setattr(pii, "stored", lambda df: df.sparkSession.createDataFrame(df.collect(), df.schema))
     tries = [0]
-    name = lambda unit, attempt, key=pii.KEY, shown=None: (tries.append(tries[-1] + 1), pii.surrogate(unit, attempt, key, shown))[1]
+    name = lambda unit, attempt, key, shown=None: (tries.append(tries[-1] + 1), pii.surrogate(unit, attempt, key, shown))[1]
     distinct = spark.createDataFrame([("last", f"name{i}") for i in range(30)], "kind string, form string")
     from pyspark.sql import functions as F
 
-    def bounded(unit, attempt, key=pii.KEY, shown=None):
+    def bounded(unit, attempt, key, shown=None):
         assert tries[-1] < 20, "no free surrogates"
         return name(unit, attempt if not isinstance(attempt, int) else F.lit(attempt), key, shown)
 
-    again = pii.attempts(distinct, name=bounded)
+    again = pii.attempts(distinct, "k", name=bounded)
     assert again.where("attempt > 0").count() >= 14
 
 
+def test_pii_one_person_one_surrogate(make):
+    text = "Mr. John Smith met Dr. John Smith. John Smith left; Smith waved, and The Smiths did not. Mrs. John Miller and Mr Will Brown will come. Prof. John too."
+    (row,) = pii.replace_pii(make([text]), "k").collect()
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Dr\. (\w+) (\w+)\. (\w+) (\w+) left; (\w+) waved, and The Smiths did not\. Mrs\. (\w+) (\w+) and Mr (\w+) (\w+) will come\. Prof\. (\w+) too\.", row["text"])
+    assert m and m[1] == m[3] == m[5] == m[12] and m[2] == m[4] == m[6] == m[7] and m[8] not in (m[1], "John") and m[1].endswith("n") and m[8].endswith("lia")
+    assert not {m[i] for i in range(1, 13)} & {"John", "Smith", "Will", "Brown", "Miller"} and row["pii_name"] == 8
+
+
+def test_pii_ends_on_any_address_and_filled_space(spark, make):
+    from pyspark.sql import functions as F
+
+    got = by_id(pii.replace_pii(make(["mail _@-.com now", "a@b.co", "+@x.de -a@b.co", None, "", "x" * 200_000 + " bob@example.com"], [1, 1, 2, 3, None, 5]), "k"), "text")
+    assert "bob@" not in got[5] and got[5].startswith("x" * 200_000) and "a@b.co" not in got[2] and got[None] == ""
+    # all of a space is real: surrogates give up the format and stay distinct
+    full = spark.range(100).select(F.lit("ssn").alias("kind"), F.format_string("%02d", F.col("id").cast("int")).alias("form"))
+    again = pii.attempts(full, "k")
+    names = again.select(F.lower(pii.surrogate(F.struct("kind", "form"), F.col("attempt"), "k")).alias("s"))
+    assert again.count() == 100 == names.distinct().count() and again.where(F.col("attempt") < pii.KEEPS_FORMAT).isEmpty()
+    with pytest.raises(RuntimeError, match="no free surrogates"):
+        pii.MOST_ATTEMPTS, kept = 3, pii.MOST_ATTEMPTS
+        try:
+            pii.attempts(full, "k", name=lambda unit, attempt, key, shown=None: unit["form"])
+        finally:
+            pii.MOST_ATTEMPTS = kept
+    with pytest.raises(ValueError, match="pii_ip"):
+        pii.replace_pii(make(["a"]).withColumn("PII_IP", F.lit(1)), "k")
+
+
+def test_pii_equals_brute_force(make):
+    """Every kind, by patterns and rules written apart: what is replaced, by what form, one to one."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    pick = {
+        "email": lambda: rng.choice(["ann", "Bob.x", "c_d"]) + digits(2) + "@" + rng.choice(["mail.example.com", "x-y.org"]),
+        "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "card": lambda: " ".join(digits(4) for _ in range(4)),
+        "iban": lambda: "DE" + digits(2) + "".join(" " + digits(4) for _ in range(4)) + " " + digits(2),
+        "phone": lambda: f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{digits(4)}",
+        "name": lambda: rng.choice(["Mr. ", "Mrs. ", "Dr. "]) + rng.choice(["Ada", "Max", "Eva"]) + " " + rng.choice(["Kolm", "Priss", "Vandt", "Quell"]),
+    }
+    filler = ["so", "it", "was", "said", "42", "v1.2"]
+    pools = {k: [f() for _ in range(12)] for k, f in pick.items()}
+    texts, parts = [], []
+    for _ in range(60):
+        p = [(None, rng.choice(filler)) if rng.random() < 0.6 else (k := rng.choice([*pools]), rng.choice(pools[k])) for _ in range(rng.randint(1, 25))]
+        parts.append(p)
+        texts.append(" ; ".join(x for _, x in p))
+    rows = {r["doc_id"]: r for r in pii.replace_pii(make(texts), "k").collect()}
+    shape = lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", x)))
+    there, back = {}, {}
+    for i, p in enumerate(parts):
+        new = rows[i]["text"].split(" ; ")
+        assert len(new) == len(p)
+        for (k, old), got in zip(p, new, strict=True):
+            if k is None:
+                assert got == old
+                continue
+            if k == "name":
+                assert got.split()[0] == old.split()[0] and not set(got.split()[1:]) & set(old.split()[1:])
+                pairs = [("last", old.split()[2].lower(), got.split()[2].lower())]
+            else:
+                assert got != old and (k in ("ip",) or shape(got) == shape(old) or k == "email" and shape(got).endswith(shape(old)))
+                pairs = [(k, old.lower(), got.lower())]
+            for kind, a, b in pairs:
+                assert there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
+        for k in pick:
+            assert rows[i][f"pii_{k}"] == sum(x[0] == k for x in p)
+    for k in pick:
+        real = {x.lower() for x in pools[k]}
+        assert k == "name" or not real & {b for (kind, _), b in there.items() if kind == k}
+    again = {r["doc_id"]: r["text"] for r in pii.replace_pii(make(texts), "other").collect()}
+    assert any(again[i] != rows[i]["text"] for i in again)
+
+
 def brute_secrets(text):
     out = []
     for rank, (_, pattern, group, least) in enumerate(secrets.BASE):
