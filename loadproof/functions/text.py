@@ -44,18 +44,44 @@ def utc_text(ts: Column) -> Column:
 
 
 def canonical(df: DataFrame) -> Column:
-    """One text for a row that equal values always share: fixed forms for numbers and times, \\N for null."""
+    """One text for a row that equal rows share and unequal rows of the same types don't.
+
+    Each value is led by its length in bytes, so that no value can look like two; null has a mark of its
+    own. Floating-point values are written in full, zero without sign; times to the microsecond; maps in the
+    order of their keys.
+    """
 
     def one(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType | T.FloatType):
-            c = c.cast("decimal(38,6)").cast("string")
+            c = F.when(c == 0, F.lit("0.0")).otherwise(c.cast("string"))
         elif isinstance(f.dataType, T.TimestampType | T.TimestampNTZType):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.BinaryType):
             c = F.hex(c)
-        elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
-            c = F.to_json(F.struct(c))
-        return F.coalesce(c.cast("string"), F.lit("\\N"))
+        elif isinstance(f.dataType, T.MapType):
+            c = F.to_json(F.array_sort(F.map_entries(c)))
+        elif isinstance(f.dataType, T.ArrayType | T.StructType):
+            c = F.to_json(c)
+        c = c.cast("string")
+        return F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("~"))
+
+    return F.concat(*[one(f) for f in df.schema]) if df.columns else F.lit("")
+
+
+def json_text(col: Column, path: str) -> Column:
+    """The value at a path of a JSON text, as text; null where the path or the text is none."""
+    return F.get_json_object(col, path)
+
+
+def instant(text: Column) -> Column:
+    """A zoned time as an instant: `yyyy-MM-dd HH:mm:ss[.f]` followed by an offset or the name of a zone, after a space or not."""
+    zone = F.trim(F.regexp_extract(text, r"^\S+[ T][0-9:.]+ *(.*)$", 1))
+    at = F.regexp_extract(text, r"^(\S+[ T][0-9:.]+)", 1)
+    return F.try_to_timestamp(F.concat_ws(" ", at, F.nullif(zone, F.lit(""))))
+
 
-    return F.concat_ws("|", *[one(f) for f in df.schema])
+def same_items(a: Column, b: Column, kind: str) -> Column:
+    """Equality of collections: of a `set` by distinct members, of a `multiset` by members and how often, of a `sequence` in order."""
+    form = {"set": lambda x: F.array_sort(F.array_distinct(x)), "multiset": F.array_sort, "sequence": lambda x: x}[kind]
+    return form(a).eqNullSafe(form(b))

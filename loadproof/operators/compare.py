@@ -20,9 +20,11 @@ def table_counts(tables: Mapping[str, DataFrame], total: str | None = "TOTAL") -
 
 
 def content_checksum(df: DataFrame) -> DataFrame:
-    """(n, checksum): sums of a digest prefix of each row, so order is nothing and repeated rows count."""
-    part = F.conv(F.substring(F.md5(canonical(df)), 1, 8), 16, 10).cast("decimal(38,0)")
-    return df.select(part.alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum("h"), F.lit(0)).cast("decimal(38,0)").cast("string").alias("checksum"))
+    """(n, checksum): two sums over all rows of 60 bits each of a row's digest, so order is nothing and repeated rows count."""
+    part = lambda at: F.conv(F.substring("d", at, 15), 16, 10).cast("decimal(20,0)")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").cast("string")
+    rows = df.select(F.md5(canonical(df)).alias("d")).select(part(1).alias("a"), part(17).alias("b"))
+    return rows.agg(F.count("*").alias("n"), F.concat_ws("-", total("a"), total("b")).alias("checksum"))
 
 
 def checksums(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -30,15 +32,18 @@ def checksums(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def count_agreement(counts: DataFrame, hashed: DataFrame) -> DataFrame:
-    """Counts asked for separately against counts of hashed rows; a table on one side alone disagrees."""
+    """Counts asked for separately (table, n) against counts of hashed rows; a table on one side alone disagrees.
+
+    With counts that the dump's maker states, a table whose file was cut short disagrees.
+    """
     joined = counts.select("table", F.col("n").alias("counted")).join(hashed.select("table", F.col("n").alias("hashed")), "table", "full_outer")
     return joined.select("table", "counted", "hashed", F.col("counted").eqNullSafe(F.col("hashed")).alias("agree"))
 
 
 def schema_fingerprint(tables: Mapping[str, DataFrame], spark) -> DataFrame:
-    """Tagged rows of the tables' columns; a table of as many rows as there are columns."""
-    rows = [("#ATTR", name, f.name, f.dataType.simpleString(), f.nullable) for name, df in tables.items() for f in df.schema] + [("#CLASS", name, "", "", True) for name in tables]
-    return spark.createDataFrame(rows, "tag string, table string, item string, kind string, nullable boolean")
+    """(tag, table, item, detail): tables and their columns with place and type; of as many rows as there are columns."""
+    rows = [("#ATTR", name, f.name, f"{i} {f.dataType.simpleString()}") for name, df in tables.items() for i, f in enumerate(df.schema)] + [("#CLASS", name, "", "") for name in tables]
+    return spark.createDataFrame(rows, "tag string, table string, item string, detail string")
 
 
 def fingerprint(catalog: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], users: DataFrame) -> DataFrame:
@@ -65,11 +70,15 @@ def data_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def compare(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame]) -> DataFrame:
-    """For each table counts and checksums of source and target and whether they are the same."""
+    """For each table counts and checksums of source and target, how many columns differ in name, place or type, and whether all is the same."""
     s, t = checksums(source), checksums(target)
     joined = s.toDF("table", "n_source", "sum_source").join(t.toDF("table", "n_target", "sum_target"), "table", "full_outer")
-    same = F.col("n_source").eqNullSafe(F.col("n_target")) & F.col("sum_source").eqNullSafe(F.col("sum_target"))
-    return joined.withColumn("same", same)
+    spark = s.sparkSession
+    # as many rows as there are columns
+    other = diff(schema_fingerprint(source, spark), schema_fingerprint(target, spark), ["tag", "table", "item"]).groupBy("table").agg(F.count("*").alias("n_other"))
+    out = joined.join(F.broadcast(other), "table", "left").withColumn("schema_diffs", F.coalesce("n_other", F.lit(0))).drop("n_other")
+    same = F.col("n_source").eqNullSafe(F.col("n_target")) & F.col("sum_source").eqNullSafe(F.col("sum_target")) & (F.col("schema_diffs") == 0)
+    return out.withColumn("same", same)
 
 
 def auth_fingerprint(users: DataFrame, grants: DataFrame, tables: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Dependency graphs as edge tables (child, parent, kind), for tables of any size.
 
+A node may be a name, or a struct of owner and name, which orders and joins like any value.
 kind: `inherits` edges are hard, all others soft. A node is cyclic if it lies in a cycle of two or
 more nodes or has an edge to itself. Loops write each round to the shared folder, so that plans
 stay short and a lost executor costs one round.
@@ -7,14 +8,20 @@ stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from loadproof.sources.scratch import stored
+from loadproof.sources.catalog import identity
+from loadproof.sources.scratch import new_path, stored, until_exit
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every path of one or more edges (child, parent); paths double each round."""
+    """(src, dst) for every path of one or more edges (child, parent); paths double each round.
+
+    The result has a row for each pair, so it is for shallow hierarchies, which ask for these rows.
+    """
     paths = stored(edges.select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct())
     n = paths.count()
     while True:
@@ -25,31 +32,73 @@ def closure(edges: DataFrame) -> DataFrame:
         n = more
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have edges both ways: what remains holds every cycle."""
-    left = stored(edges.where("child <> parent").select("child", "parent").distinct())
-    n = left.count()
-    while n:
-        left = stored(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
-        if (less := left.count()) == n:
-            break
-        n = less
-    return left
+def _noted(df: DataFrame, flag: Column) -> tuple[DataFrame, int]:
+    """The frame stored, and in how many of its rows the flag holds, counted as they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count_if(flag).alias("n")))
+    return out, seen.get["n"]
+
+
+def _lows(edges: DataFrame) -> DataFrame:
+    """(node, f, b): for every node of the edges the least node that it reaches and the least that reaches it.
+
+    Both ways at once, with one row for each node and direction (node, way, low, jump): low falls to the least
+    low of the next nodes, of the node that jump points at and of the node low itself; jump, at first any next node,
+    doubles its distance each round. Rounds grow with the logarithm of the length of rings and chains, rows never.
+    """
+    ways = edges.select(F.lit("f").alias("way"), F.col("child").alias("node"), F.col("parent").alias("next")).union(edges.select(F.lit("b"), "parent", "child"))
+    ways = stored(ways)
+    ends = ways.select("way", "node").union(ways.select("way", "next")).distinct()
+    jump = ways.groupBy("way", "node").agg(F.max("next").alias("jump"))
+    state = stored(ends.join(jump, ["way", "node"], "left").select("way", "node", F.col("node").alias("low"), F.coalesce("jump", "node").alias("jump")))
+    changed = 1
+    while changed:
+        of = state.select("way", F.col("node").alias("at"), F.col("low").alias("at_low"), F.col("jump").alias("at_jump"))
+        # who asks whom: next nodes and the two pointers
+        asks = ways.select("way", "node", F.col("next").alias("at"), F.lit(0).alias("kind")).union(state.select("way", "node", "jump", F.lit(1))).union(state.where("low <> node").select("way", "node", "low", F.lit(0)))
+        told = asks.join(of, ["way", "at"]).groupBy("way", "node").agg(F.min("at_low").alias("told"), F.max(F.when(F.col("kind") == 1, F.col("at_jump"))).alias("further"))
+        new = state.join(told, ["way", "node"], "left").select("way", "node", F.col("low").alias("was"), F.least("low", "told").alias("low"), F.coalesce("further", "jump").alias("jump"))
+        state, changed = _noted(new, F.col("was") != F.col("low"))
+    pick = lambda w: F.min(F.when(F.col("way") == w, F.col("low"))).alias(w)
+    return state.groupBy("node").agg(pick("f"), pick("b"))
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    """Edges both of whose ends have edges in and out; others lie in no cycle. Twice, as most graphs are shallow."""
+    for _ in range(2):
+        edges = edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")
+    return edges
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(cycle, node) of nodes that reach each other, two or more, named by the least.
+
+    A node whose least reached and least reaching node are one is in that node's component. The others go on, with
+    the edges between nodes alike in both, as the two ends of an edge within a component are.
+    """
+    left, out = stored(_between(edges.where("child <> parent").select("child", "parent").distinct())), []
+    while not left.isEmpty():
+        lows = stored(_lows(left))
+        out.append(lows.where("f = b").select(F.col("f").alias("cycle"), "node"))
+        rest = lows.where("f <> b")
+        ends = lambda side, rest=rest: rest.select(F.col("node").alias(side), F.struct("f", "b").alias(f"{side}_lows"))
+        left = left.join(ends("child"), "child").join(ends("parent"), "parent").where("child_lows = parent_lows").select("child", "parent")
+        left = stored(_between(left))
+    if not out:
+        return edges.select(F.col("child").alias("cycle"), F.col("child").alias("node")).where("false")
+    found = reduce(DataFrame.union, out)
+    return found.join(found.where("cycle <> node").select("cycle").distinct(), "cycle", "left_semi")
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """(node) of every cyclic node; the closure is taken of the trimmed edges alone."""
-    own = edges.where("child = parent").select(F.col("child").alias("node"))
-    rest = closure(_trimmed(edges)).where("src = dst").select(F.col("src").alias("node"))
-    return own.union(rest).distinct()
+    """(node) of every cyclic node."""
+    return edges.where("child = parent").select(F.col("child").alias("node")).union(_components(edges).select("node")).distinct()
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """(cycle, node): nodes that reach each other, named by the least of them; self edges are cycles of one."""
-    paths = closure(_trimmed(edges))
-    back = paths.join(paths.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    own = edges.where("child = parent").select(F.col("child").alias("src"), F.col("child").alias("dst"))
-    return back.union(own).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("cycle")).select("cycle", "node")
+    own = edges.where("child = parent").select(F.col("child").alias("cycle"), F.col("child").alias("node"))
+    return _components(edges).union(own).groupBy("node").agg(F.min("cycle").alias("cycle")).select("cycle", "node")
 
 
 def precedence(edges: DataFrame, cyclic: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -64,21 +113,28 @@ def precedence(edges: DataFrame, cyclic: DataFrame, nodes: DataFrame) -> DataFra
 
 
 def level_sets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): the longest path to a node without parents; null for nodes that a cycle keeps from any level."""
-    left = stored(edges.select("child", "parent").distinct())
-    open_ = stored(nodes.select("node").distinct())
-    placed, level = None, 0
-    while not open_.isEmpty():
-        blocked = left.select(F.col("child").alias("node")).distinct()
-        front = stored(open_.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)))
-        if front.isEmpty():
-            rest = open_.withColumn("level", F.lit(None).cast("int"))
-            return rest if placed is None else placed.union(rest)
-        placed = front if placed is None else placed.union(front)
-        left = stored(left.join(front.select(F.col("node").alias("parent")), "parent", "left_anti").select("child", "parent"))
-        open_ = stored(open_.join(front.select("node"), "node", "left_anti"))
-        level += 1
-    return placed if placed is not None else open_.withColumn("level", F.lit(None).cast("int"))
+    """(node, level): the longest path to a node without parents; null for nodes that a cycle keeps from any level.
+
+    Each round takes the edges to placed parents away and writes what is left, with the nodes that become free by
+    it: children of the last edges that are children of none now. Placed nodes are in one growing table.
+    """
+    spark, nodes = nodes.sparkSession, stored(nodes.select("node").distinct())
+    placed, level = new_path(spark), 0
+    left, more = _noted(edges.select("child", "parent").distinct(), F.lit(True))
+    front = nodes.join(left.select(F.col("child").alias("node")), "node", "left_anti")
+    schema = front.withColumn("level", F.lit(0)).schema
+    while True:
+        seen = Observation()
+        front.select("node", F.lit(level).alias("level")).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{placed}/level={level}")
+        if not seen.get["n"] or not more:
+            break
+        last = spark.read.schema(schema).parquet(f"{placed}/level={level}").select(F.col("node").alias("parent"))
+        before, (left, more) = left, _noted(left.join(last, "parent", "left_anti").select("child", "parent"), F.lit(True))
+        free = before.select(F.col("child").alias("node")).distinct().join(left.select(F.col("child").alias("node")), "node", "left_anti")
+        front, level = free.join(nodes, "node", "left_semi"), level + 1
+    until_exit(spark, placed)
+    found = reduce(DataFrame.union, (spark.read.schema(schema).parquet(f"{placed}/level={n}") for n in range(level + 1)))
+    return nodes.join(found, "node", "left").select("node", "level")
 
 
 def check_levels(levels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,34 +151,42 @@ def ancestors(inherits: DataFrame) -> DataFrame:
 
 
 def owned_constraints(constraints: DataFrame, above: DataFrame) -> DataFrame:
-    """Constraints less those that a class above has under the same name."""
-    inherited = constraints.alias("c").join(above, F.col("c.table") == F.col("node")).select(F.col("c.table"), F.col("c.name"), "ancestor")
-    owned = constraints.select(F.col("table").alias("ancestor"), "name").distinct()
-    return constraints.join(inherited.join(owned, ["ancestor", "name"]).select("table", "name").distinct(), ["table", "name"], "left_anti")
+    """Constraints ([owner,] table, name) less those that a class above has under the same name; above has nodes as the tables are."""
+    key = identity(constraints)
+    at = F.struct(*key) if len(key) > 1 else F.col("table")
+    rows = constraints.withColumn("_at", at)
+    inherited = rows.select("_at", "name").join(above.select(F.col("node").alias("_at"), "ancestor"), "_at")
+    owned = rows.select(F.col("_at").alias("ancestor"), "name").distinct()
+    return rows.join(inherited.join(owned, ["ancestor", "name"]).select("_at", "name").distinct(), ["_at", "name"], "left_anti").drop("_at")
 
 
 def index_columns(index_keys: DataFrame) -> DataFrame:
-    """(table, index, columns) with the key columns of each index in order; gaps in key_order close up."""
-    return index_keys.groupBy("table", "index").agg(F.transform(F.array_sort(F.collect_list(F.struct("key_order", "column"))), lambda x: x["column"]).alias("columns"))
+    """([owner,] table, index, columns) with the key columns of each index in order; gaps in key_order close up."""
+    return index_keys.groupBy(*identity(index_keys), "index").agg(F.transform(F.array_sort(F.collect_list(F.struct("key_order", "column"))), lambda x: x["column"]).alias("columns"))
 
 
 def key_positions(index_keys: DataFrame) -> DataFrame:
     """Each key column with its position within the index, from 1."""
-    return index_keys.withColumn("position", F.row_number().over(Window.partitionBy("table", "index").orderBy("key_order")))
+    return index_keys.withColumn("position", F.row_number().over(Window.partitionBy(*identity(index_keys), "index").orderBy("key_order")))
 
 
 def resolve_edges(references: DataFrame, index_keys: DataFrame, indexes: DataFrame) -> DataFrame:
-    """(child, name, parent, child_columns, parent_columns) of references (table, constraint, parent[, parent_index]).
+    """(child, name, parent, child_columns, parent_columns) of references ([owner,] table, constraint, [parent_owner,] parent[, parent_index]).
 
-    The parent's columns are those of the index that the reference names, else of its primary key;
+    With owners in all three frames, tables of one name under two owners are two, and the result has child_owner and
+    parent_owner too. The parent's columns are those of the index that the reference names, else of its primary key;
     a reference whose columns don't pair up comes out with paired = false.
     """
+    owned = all("owner" in df.columns for df in (references, index_keys, indexes))
+    one = lambda df: df if owned else df.withColumn("owner", F.lit("")).withColumn("parent_owner", F.lit(""))
+    references, index_keys, indexes = one(references), one(index_keys), one(indexes)
     cols = index_columns(index_keys)
-    pk = indexes.where("is_primary_key").groupBy("table").agg(F.min("index").alias("pk"))
+    pk = indexes.where("is_primary_key").groupBy(F.col("owner").alias("parent_owner"), F.col("table").alias("parent")).agg(F.min("index").alias("pk"))
     refs = references if "parent_index" in references.columns else references.withColumn("parent_index", F.lit(None).cast("string"))
-    named = refs.join(pk.withColumnRenamed("table", "parent"), "parent", "left").withColumn("parent_index", F.coalesce("parent_index", "pk"))
-    child = cols.select("table", F.col("index").alias("constraint"), F.col("columns").alias("child_columns"))
-    parent = cols.select(F.col("table").alias("parent"), F.col("index").alias("parent_index"), F.col("columns").alias("parent_columns"))
-    out = named.join(child, ["table", "constraint"], "left").join(parent, ["parent", "parent_index"], "left")
+    named = refs.join(pk, ["parent_owner", "parent"], "left").withColumn("parent_index", F.coalesce("parent_index", "pk"))
+    child = cols.select("owner", "table", F.col("index").alias("constraint"), F.col("columns").alias("child_columns"))
+    parent = cols.select(F.col("owner").alias("parent_owner"), F.col("table").alias("parent"), F.col("index").alias("parent_index"), F.col("columns").alias("parent_columns"))
+    out = named.join(child, ["owner", "table", "constraint"], "left").join(parent, ["parent_owner", "parent", "parent_index"], "left")
     paired = F.coalesce(F.size("child_columns") == F.size("parent_columns"), F.lit(False))
-    return out.select(F.col("table").alias("child"), F.col("constraint").alias("name"), "parent", "child_columns", "parent_columns", paired.alias("paired"))
+    owners = [F.col("owner").alias("child_owner"), F.col("parent_owner")] if owned else []
+    return out.select(*owners, F.col("table").alias("child"), F.col("constraint").alias("name"), "parent", "child_columns", "parent_columns", paired.alias("paired"))

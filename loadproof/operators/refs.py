@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ def _anti(child: DataFrame, parent: DataFrame, edge: Edge, how: str = "left_anti
     # the child's key columns must be complete before the join: rows with nulls are no orphans and would pile up in one task
     examined = child.where(complete_key(edge.child_columns))
     keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(edge.parent_columns)])
-    on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_p{i}") for i, c in enumerate(edge.child_columns)))
+    on = reduce(and_, (F.col(c) == F.col(f"_p{i}") for i, c in enumerate(edge.child_columns)))
     return examined.join(keys, on, how)
 
 
@@ -48,21 +49,38 @@ def first_offender(orphans: DataFrame, key: str) -> DataFrame:
     return orphans.groupBy("edge").agg(F.countDistinct("fk_values").alias("distinct_values"), F.min(key).alias("first_key"), F.min_by("fk_values", F.struct(key, "fk_values")).alias("first_value"))
 
 
+#: Parents' keys that may be sent to all: at most so many, and so many bytes.
+SENT_KEYS, SENT_BYTES = 4_000_000, 128 << 20
+
+
 def fk_check_multi(child: DataFrame, parents: Mapping[str, DataFrame], edges: Sequence[Edge]) -> DataFrame:
-    """(edge, rows_checked, orphans) of several edges of one child, with one scan of it.
+    """(edge, rows_checked, orphans) of several edges of one child.
 
-    Keys are counted first: the child's rows shrink to one for each combination of its foreign keys'
-    values, then each edge flags the combinations without parent.
+    Parents whose keys are measured to be small are sent to all and looked up in one scan of the child,
+    which then needs no shuffle. For each other parent the child's keys are counted first, so what is shuffled
+    is a row for each distinct key. Keys compare as the columns' types do, an int with a decimal by value.
     """
-    cols = sorted({c for e in edges for c in e.child_columns})
-    flat = child.select(*cols)
-    pairs = F.explode(F.array(*[F.struct(F.lit(e.name).alias("edge"), F.array(*[F.col(c).cast("string") for c in e.child_columns]).alias("k")) for e in edges]))
-    # per edge and key value: counted before any row is shuffled
-    keys = flat.select(pairs.alias("x")).select("x.edge", "x.k").where(~F.exists("k", lambda v: v.isNull())).groupBy("edge", "k").agg(F.count("*").alias("n"))
-    known = reduce(
-        DataFrame.unionByName, (parents[e.parent].select(F.lit(e.name).alias("edge"), F.array(*[F.col(p).cast("string") for p in e.parent_columns]).alias("k"), F.lit(1).alias("hit")).distinct() for e in edges)
-    )
-    return keys.join(known, ["edge", "k"], "left").groupBy("edge").agg(F.sum("n").alias("rows_checked"), F.sum(F.when(F.col("hit").isNull(), F.col("n")).otherwise(0)).alias("orphans"))
+    keys = {e.name: parents[e.parent].select(*[F.col(p).alias(f"_{i}") for i, p in enumerate(e.parent_columns)]).where(complete_key([f"_{i}" for i in range(len(e.parent_columns))])) for e in edges}
+    bytes_ = lambda df: F.coalesce(F.sum(F.octet_length(F.concat_ws("", *df.columns)) + 16), F.lit(0))
+    sizes = reduce(DataFrame.unionByName, (k.agg(F.count("*").alias("n"), bytes_(k).alias("b")).select(F.lit(name).alias("edge"), "n", "b") for name, k in keys.items()))
+    small = {r["edge"] for r in sizes.where((F.col("n") <= SENT_KEYS) & (F.col("b") <= SENT_BYTES)).collect()}  # one row for each edge
+    parts = []
+    if sent := [e for e in edges if e.name in small]:
+        rows, sums = child.select(*sorted({c for e in sent for c in e.child_columns})), []
+        for n, e in enumerate(sent):
+            known = keys[e.name].distinct().toDF(*[f"_{n}_{i}" for i in range(len(e.parent_columns))]).withColumn(f"_hit{n}", F.lit(1))
+            rows = rows.join(F.broadcast(known), reduce(and_, (F.col(c) == F.col(f"_{n}_{i}") for i, c in enumerate(e.child_columns))), "left")
+            whole = complete_key(e.child_columns)
+            sums.append(F.struct(F.lit(e.name).alias("edge"), F.count(F.when(whole, 1)).alias("rows_checked"), F.count(F.when(whole & F.col(f"_hit{n}").isNull(), 1)).alias("orphans")))
+        parts.append(rows.agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x")).select("x.*"))
+    for e in edges:
+        if e.name not in small:
+            counted = child.where(complete_key(e.child_columns)).groupBy(*e.child_columns).agg(F.count("*").alias("_n"))
+            known = keys[e.name].distinct().withColumn("_hit", F.lit(1))
+            on = reduce(and_, (F.col(c) == F.col(f"_{i}") for i, c in enumerate(e.child_columns)))
+            n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+            parts.append(counted.join(known, on, "left").agg(n("_n").alias("rows_checked"), n(F.when(F.col("_hit").isNull(), F.col("_n"))).alias("orphans")).select(F.lit(e.name).alias("edge"), "rows_checked", "orphans"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def repair_drop_orphans(child: DataFrame, parent: DataFrame, edge: Edge) -> DataFrame:

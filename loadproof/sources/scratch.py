@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's own folder; one of ours only where it names none."""
+    """The cluster's own folder, from spark.checkpoint.dir; a folder of ours only where one machine is all there is."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", folder := tempfile.mkdtemp(prefix="spark-loadproof-", dir="/tmp"))
     return folder.rstrip("/")
 
@@ -19,7 +21,25 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/loadproof-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a table that only this application reads deleted when the application ends."""
+    files, target = _files(spark, path)
+    files.deleteOnExit(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, target = _files(spark, path)
+    files.delete(target, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts lineage: written to the shared folder and read again."""
-    df.write.parquet(path := new_path(df.sparkSession))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts lineage: written to the shared folder and read again; the copy goes when the application ends."""
+    spark = df.sparkSession
+    df.write.parquet(path := new_path(spark))
+    until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)

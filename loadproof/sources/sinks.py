@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadproof.functions.text import human_bytes  # noqa: F401 - part of the sinks' reports
-from loadproof.sources.scratch import stored
+from loadproof.sources.scratch import remove
 
 
 class LoadRejected(ValueError):
@@ -16,17 +18,49 @@ class LoadRejected(ValueError):
 
 
 def load_table(good: DataFrame, rejects: DataFrame, target: str, partition_by: Sequence[str] = (), file_col: str | None = None) -> int:
-    """Publishes a table if no row was rejected, in place of what an earlier attempt left; returns its rows.
+    """Publishes a table, all or nothing, in place of what was published before; returns its rows.
 
-    Rows are staged first, so the decision is made on the very rows that are published.
+    The rows are written beside the published version first. Only if that is done and no row was rejected
+    is one record added that names the new version, by the rename of one file; until then, and after any failure,
+    readers see the old version whole. read_table reads what is published; retire deletes older versions.
     """
-    if not rejects.isEmpty():
-        first = rejects.select(*([file_col] if file_col else []), "reason").first()
-        raise LoadRejected(f"{target}: {', '.join(map(str, first))}")
-    staged = stored(good)
-    writer = staged.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
-    return staged.count()
+    spark, version = good.sparkSession, f"v-{uuid.uuid4().hex}"
+    writer = good.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path := f"{target}/{version}")
+    first = rejects.select(*([file_col] if file_col else []), "reason").limit(1).collect()
+    if first:
+        remove(spark, path)
+        raise LoadRejected(f"{target}: {', '.join(map(str, first[0]))}")
+    n = spark.read.schema(good.schema).parquet(path).count()
+    seq = max((r["seq"] for r in _published(spark, target)), default=0) + 1
+    spark.createDataFrame([(seq, version, n)], _RECORD).coalesce(1).write.mode("append").json(f"{target}/published")
+    return n
+
+
+_RECORD = "seq long, version string, n long"
+
+
+def _published(spark: SparkSession, target: str) -> list:
+    """The records of published versions, one for each load."""
+    try:
+        return spark.read.schema(_RECORD).json(f"{target}/published").orderBy("seq", "version").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def read_table(spark: SparkSession, target: str) -> DataFrame:
+    """The published version of a table that load_table wrote."""
+    if not (records := _published(spark, target)):
+        raise ValueError(f"{target}: nothing is published")
+    return spark.read.parquet(f"{target}/{records[-1]['version']}")
+
+
+def retire(spark: SparkSession, target: str) -> None:
+    """Deletes all but the published version; for when no reader is at an older one."""
+    for record in _published(spark, target)[:-1]:
+        remove(spark, f"{target}/{record['version']}")
 
 
 def partition_column(kind: str, col: str, spec: Mapping | Sequence | int) -> Column:

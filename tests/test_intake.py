@@ -84,7 +84,7 @@ def test_checksum_is_of_rows_not_order(spark):
     a = spark.createDataFrame([(1, 0.5, None), (2, 1.5, "x"), (2, 1.5, "x")], "k long, v double, s string")
     assert compare.content_checksum(a).first() == compare.content_checksum(a.orderBy(F.desc("k")).repartition(3)).first()
     assert compare.content_checksum(a).first() != compare.content_checksum(a.dropDuplicates()).first()
-    assert tuple(compare.content_checksum(a.where("false")).first()) == (0, "0")
+    assert tuple(compare.content_checksum(a.where("false")).first()) == (0, "0-0")
     assert values(compare.data_diff(a, a.dropDuplicates()), "k", "side") == [(2, "only_a")]
     assert compare.compare({"a": a}, {"a": a}).first()["same"] is True
 
@@ -151,8 +151,20 @@ def test_dump_files(spark, tmp_path):
     assert values(bad, "reason")[0] == ("name: not a int",)
     with pytest.raises(sinks.LoadRejected):
         sinks.load_table(good, bad, str(tmp_path / "t"))
-    assert not (tmp_path / "t").exists()
-    assert sinks.load_table(region, region.where("false").withColumn("reason", F.lit("")), str(tmp_path / "t")) == 4
+    assert not [x for x in (tmp_path / "t").rglob("*.parquet")]
+    none = region.where("false").withColumn("reason", F.lit(""))
+    assert sinks.load_table(region, none, str(tmp_path / "t")) == 4
+    with pytest.raises(sinks.LoadRejected):
+        sinks.load_table(region, bad, str(tmp_path / "t"))
+    broken = region.withColumn("id", F.when(F.col("id") == 3, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.load_table(broken, none, str(tmp_path / "t"))
+    assert sinks.read_table(spark, str(tmp_path / "t")).count() == 4  # neither failure touched what is published
+    assert sinks.load_table(region.where("id < 3"), none, str(tmp_path / "t")) == 2
+    sinks.retire(spark, str(tmp_path / "t"))
+    assert sinks.read_table(spark, str(tmp_path / "t")).count() == 2
+    with pytest.raises(ValueError, match="nothing is published"):
+        sinks.read_table(spark, str(tmp_path / "u"))
     assert values(dump.scan_statements(spark, str(own / "demo_schema")), "table", "name", "kind") == [("c", "fk_c_t", "FOREIGN KEY"), ("t", "pk_t_id", "PRIMARY KEY")]
 
 
@@ -165,6 +177,140 @@ def test_typed_literals(spark):
     assert sorted(r["reason"] for r in bad.collect())[0].startswith("2 values for 6") and bad.count() == 2
 
 
+def test_long_literals_and_statements(spark, tmp_path):
+    long = "it''s {x} 漢🙂" * 100_000
+    rows = spark.createDataFrame([(f"1 '{long}' {{'{long}','b'}}",), ("1 'open {}",), ("1 'a' {'b'",), ("1 'a' {1} x",)], "line string")
+    good, bad = dump.decode_rows(rows, {"i": "int", "t": "string", "s": "sequence<string>"})
+    (row,) = good.collect()
+    assert row["t"] == long.replace("''", "'") == row["s"][0] and row["s"][1] == "b"
+    assert sorted(r["reason"].split(";")[0] for r in bad.collect()) == ["4 values for 3 columns", "an open quote or bracket", "an open quote or bracket"]
+    path = tmp_path / "schema"
+    path.write_text("ALTER CLASS [dba].[t] " + "[ ADD X] " * 100_000 + "ADD CONSTRAINT [k] UNIQUE([a]);\nSELECT " + "x " * 500_000 + ";")
+    assert values(dump.scan_statements(spark, str(path)), "table", "name", "kind") == [(" add x", "k", "UNIQUE")]
+
+
+def test_objects_meet_their_headers_by_split(spark, tmp_path):
+    """Many splits of one file, some without header; the plan deals no whole file to one task."""
+    lines, want = [], []
+    for h in range(40):
+        lines.append(f"%class [o].[t{h}] ([a])")
+        for i in range((h * 7) % 23):
+            lines.append(f"{h * 100 + i}")
+            want.append((f"t{h}", str(h * 100 + i)))
+    (tmp_path / "x_objects").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (dump.SENT_HEADERS, 0):
+            kept, dump.SENT_HEADERS = dump.SENT_HEADERS, most
+            rows = dump.scan_objects(spark, str(tmp_path / "x_objects"))
+            dump.SENT_HEADERS = kept
+            assert sorted((r["cls"], r["line"]) for r in rows.collect()) == sorted(want)
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            joins = [x for x in plan.split("\n") if "Join" in x]
+            assert joins and ("BroadcastHashJoin [file" in joins[0] if most else "[file" in joins[0] and ", at#" in joins[0] and "Broadcast" not in joins[0])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_checksums_tell_rows_apart(spark):
+    one = lambda rows, schema: compare.content_checksum(spark.createDataFrame(rows, schema)).first()["checksum"]
+    text, num = "a string, b string", "a double"
+    pairs = [
+        (text, [("a|b", "c")], [("a", "b|c")]),
+        (text, [("1:a", "b")], [("1", "a1:b")]),
+        (text, [(None, "x")], [("\\N", "x")]),
+        (text, [(None, "x")], [("~", "x")]),
+        (text, [("", "x")], [(None, "x")]),
+        (num, [(1e-8,)], [(2e-8,)]),
+        (num, [(float("nan"),)], [(None,)]),
+        (num, [(1e300,)], [(1.0000000000000002e300,)]),
+        ("a array<string>", [(["a", None],)], [(["a"],)]),
+    ]
+    for schema, x, y in pairs:
+        assert one(x, schema) != one(y, schema)
+    assert one([(0.0,)], num) == one([(-0.0,)], num)
+    assert one([({"a": 1, "b": 2},)], "m map<string,int>") == one([({"b": 2, "a": 1},)], "m map<string,int>")
+
+
+def test_multi_edge_compares_values_of_mixed_types(spark):
+    child = spark.createDataFrame([(1, 1.0), (2, 7.0), (3, None)], "k long, d double").selectExpr("k", "cast(d as decimal(10,2)) d", "cast(k as string) s")
+    parents = {"p": spark.createDataFrame([(1,), (1,), (None,), (2,), (3,)], "id int"), "q": spark.createDataFrame([("1",), ("2",)], "id string")}
+    edges = [Edge("ed", "c", ("d",), "p", ("id",)), Edge("es", "c", ("s",), "q", ("id",))]
+    for most in (refs.SENT_KEYS, 0):
+        kept, refs.SENT_KEYS = refs.SENT_KEYS, most
+        got = refs.fk_check_multi(child, parents, edges)
+        refs.SENT_KEYS = kept
+        assert values(got) == [("ed", 2, 1), ("es", 3, 1)]
+        assert refs.fk_orphans(child, parents["p"], edges[0]).count() == 1
+
+
+def test_graphs_equal_brute_force(spark):
+    import random
+
+    for seed in range(2):
+        rng = random.Random(seed)
+        n = 40
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range((30, 70)[seed])} | {(100 + i, 100 + (i + 1) % 40) for i in range(40)} | {(200 + i, 199 + i) for i in range(1, 30)} | {(300 + i, 301 + i) for i in range(30)}
+        reach = {}
+        for a in {x for e in edges for x in e}:
+            seen, todo = set(), [a]
+            while todo:
+                for b in [y for x, y in edges if x == todo[-1] and y not in seen] or (todo.pop(), [])[1]:
+                    seen.add(b)
+                    todo.append(b)
+            reach[a] = seen
+        frame = spark.createDataFrame([(*e, "fk") for e in sorted(edges)], "child long, parent long, kind string")
+        want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach if a in reach[a]}
+        assert {r["node"]: r["cycle"] for r in graph.cycles(frame).collect()} == want
+        assert {r["node"] for r in graph.cyclic_nodes(frame).collect()} == set(want)
+        levels, blocked = {}, {a for a in reach if reach[a] & set(want) or a in want}
+
+        def level(a, levels=levels, edges=edges):
+            if a not in levels:
+                levels[a] = max((1 + level(p) for c, p in edges if c == a), default=0)
+            return levels[a]
+
+        nodes = spark.createDataFrame([(a,) for a in reach], "node long")
+        assert {r["node"]: r["level"] for r in graph.level_sets(nodes, frame).collect()} == {a: None if a in blocked else level(a) for a in reach}
+
+
+def test_owners_are_told_apart(spark):
+    node = "struct<owner:string,name:string>"
+    edges = spark.createDataFrame([(("a", "t"), ("b", "t"), "fk"), (("b", "t"), ("a", "t"), "fk"), (("c", "t"), ("a", "t"), "fk")], f"child {node}, parent {node}, kind string")
+    assert sorted((r["node"]["owner"], r["cycle"]["owner"]) for r in graph.cycles(edges).collect()) == [("a", "a"), ("b", "a")]
+    constraints = spark.createDataFrame([("x", "t", "k"), ("y", "t", "k"), ("y", "u", "k")], "owner string, table string, name string")
+    above = graph.ancestors(spark.createDataFrame([(("y", "u"), ("y", "t"))], "child struct<owner:string,table:string>, parent struct<owner:string,table:string>"))
+    assert values(graph.owned_constraints(constraints, above), "owner", "table") == [("x", "t"), ("y", "t")]
+
+
+def test_times_json_and_collections(spark):
+    from loadproof.functions.text import instant, json_text, same_items, utc_text
+
+    rows = spark.createDataFrame([("2024-01-01 09:00:00 Asia/Seoul", "2024-01-01 00:00:00.0+00:00"), ("2024-01-01 09:00:00.5 +09:00", "2023-12-31 19:00:00.5 -05:00"), ("2024-01-01 09:00:00", "no time")], "a string, b string")
+    assert [r[0] for r in rows.select(instant(F.col("a")).eqNullSafe(instant(F.col("b")))).collect()] == [True, True, False]
+    assert rows.limit(1).select(utc_text(instant(F.col("a")))).first()[0] == "2024-01-01T00:00:00Z"
+    js = spark.createDataFrame([('{"a": {"b": [1, 2]}, "e": []}',), ("no json",), (None,)], "j string")
+    assert [(r[0], r[1]) for r in js.select(json_text(F.col("j"), "$.a.b[1]"), json_text(F.col("j"), "$.e")).collect()] == [("2", "[]"), (None, None), (None, None)]
+    c = spark.createDataFrame([([2, 1, 1], [1, 2, 2]), ([1, 2], [2, 1]), (None, None), ([], None)], "a array<int>, b array<int>")
+    got = [tuple(r) for r in c.select(*[same_items(F.col("a"), F.col("b"), k) for k in ("set", "multiset", "sequence")]).collect()]
+    assert got == [(True, False, False), (True, True, False), (True, True, True), (False, False, False)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from loadproof.sources import scratch
+
+    class Elsewhere:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: "spark://host:7077" if key == "spark.master" else default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Elsewhere)
+    kept = scratch.stored(spark.range(3))
+    assert kept.count() == 3 and compare.schema_fingerprint({"t": kept}, spark).count() == 2
+
+
 def test_sinks_and_catalog(spark, tmp_path):
     df = spark.range(45).withColumn("p", sinks.partition_column("range", "id", [("a", 10), ("b", 20), ("c", None)]))
     declared = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "part string")
@@ -176,7 +322,7 @@ def test_sinks_and_catalog(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "x")).count() == 4
     classes = spark.createDataFrame([("dba", "a", "CLASS", False), ("dba", "a__p__p1", "CLASS", False), ("dba", "v", "VCLASS", False), ("dba", "s", "CLASS", True)], catalog.FRAMES["classes"])
     assert values(catalog.user_tables(classes), "table") == [("a",)]
-    attributes = spark.createDataFrame([("a", "ref", "b")], catalog.FRAMES["object_attributes"])
+    attributes = spark.createDataFrame([("dba", "a", "ref", "b")], catalog.FRAMES["object_attributes"])
     kept, skipped = catalog.gate_tables(classes, attributes, skip=True)
     assert skipped.first()["detail"] == "ref -> b" and kept.count() == 3
     with pytest.raises(ValueError, match="a \\(ref -> b\\)"):
