@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from loadproof.llm import bpe, components, decontaminate, html, jaccard, langid, licenses, pii, queries, secrets, topk, toxicity
+from loadproof.llm import bpe, common, components, decontaminate, html, jaccard, langid, licenses, pii, queries, secrets, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 AWKWARD = [None, "", " ", "\n\n", "word", "a b c d e f g h i j", "a b c d e f g h i j", "é🙂 " * 20_000, "x" * 100_000]
@@ -101,6 +101,36 @@ def test_nnpu_learns_and_keeps_its_risk_up():
     assert toxicity.train([], pack(unlabelled), 0.2).scores(["awfulword"], {})[0] < 0.5
 
 
+def test_risk_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+
+    def sample(n, k=7):
+        rows = [np.flatnonzero(rng.random(k) < 0.4) for _ in range(n)]
+        return np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows]), n
+
+    p, u, w = sample(9), sample(20), rng.normal(size=8)
+    x = lambda s: np.array([[*(j in s[0][s[1] == i] for j in range(7)), 1] for i in range(s[2])], float)
+    z_p, z_u, prior = x(p) @ w, x(u) @ w, 0.3
+    pos, g_pos, inner, g_inner = toxicity.risk(w, p, u, prior)
+    # the estimator as published: pi * mean l(z, +1) over P, and mean l(z, -1) over U less pi times the same over P
+    assert np.isclose(pos, prior * np.log1p(np.exp(-z_p)).mean()) and np.isclose(inner, np.log1p(np.exp(z_u)).mean() - prior * np.log1p(np.exp(z_p)).mean())
+    for i in range(8):
+        step = np.eye(8)[i] * 1e-6
+        up, down = toxicity.risk(w + step, p, u, prior), toxicity.risk(w - step, p, u, prior)
+        assert np.isclose((up[0] - down[0]) / 2e-6, g_pos[i], atol=1e-6) and np.isclose((up[2] - down[2]) / 2e-6, g_inner[i], atol=1e-6)
+
+
+def test_toxicity_counts_in_spark_as_in_memory(spark, make):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "ff"], k=12) + ["vile"] * (3 * (i % 4 == 0))) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(make([*texts, texts[5]], [*range(120), 5]), labels)
+    learn = [i for i in range(120) if common.py_fold(i, toxicity.HELD_OUT)]
+    pack = lambda ids: [np.array(sorted(toxicity.features(texts[i])), np.int32) for i in ids]
+    want = toxicity.train(pack([i for i in learn if i % 4 == 0]), pack(learn), sum(i % 4 == 0 for i in learn) / len(learn))
+    assert model.weights.keys() == want.weights.keys() and np.allclose([model.weights[f] for f in want.weights], [*want.weights.values()]) and np.isclose(model.bias, want.bias)
+
+
 def test_toxicity_without_spaces():
     rng = random.Random(3)
     plain = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
@@ -138,6 +168,46 @@ def test_crf_forward_backward_is_exact():
         assert len(got[0]) == 0 and np.allclose(got[1], want, atol=1e-6) and np.allclose(got[2], want, atol=1e-6)
 
 
+def test_crf_training_reaches_the_least_loss():
+    """No small step from the trained weights lowers the loss, with all labellings summed one by one."""
+    import itertools
+
+    rng = random.Random(1)
+    words = {"x": ["ab", "ac", "zz"], "y": ["de", "df", "zz"]}
+    sequences = [[(rng.choice(words[y]), y) for y in rng.choices("xy", k=rng.randint(1, 3))] for _ in range(12)]
+    decay, total = 0.5, sum(map(len, sequences))
+    model = langid.train(sequences, epochs=1500, rate=0.02, decay=decay)
+    vocabulary = sorted({w for s in sequences for w, _ in s})
+
+    def loss(weights, moves, start):
+        out = 0.0
+        for s in sequences:
+            emit = [sum(weights[f] for f in langid.features(w)) for w, _ in s]
+            path = lambda ys, emit=emit: start[ys[0]] + sum(moves[a, b] for a, b in itertools.pairwise(ys)) + sum(e[y] for e, y in zip(emit, ys, strict=True))
+            every = [path(ys) for ys in itertools.product(range(2), repeat=len(s))]
+            out += np.logaddexp.reduce(every) - path(["xy".index(y) for _, y in s])
+        used = sorted({f for w in vocabulary for f in langid.features(w)})
+        return (out + decay * len(sequences) * ((weights[used] ** 2).sum() + (moves**2).sum() + (start**2).sum()) / 2) / total
+
+    least = loss(model.weights, model.moves, model.start)
+    used, turn = langid.features("ab") + langid.features("zz"), np.random.default_rng(2)
+    for _ in range(12):
+        w = model.weights.astype(float).copy()
+        w[used] += turn.normal(size=(len(used), 2)) * 0.02
+        assert loss(w, model.moves + turn.normal(size=(2, 2)) * 0.02, model.start + turn.normal(size=2) * 0.02) > least
+
+
+def test_language_votes_equal_word_by_word(spark, make):
+    model = langid.Crf(["a", "b"], np.random.default_rng(3).normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.array([[0.5, -0.5], [-0.3, 0.4]]), np.zeros(2))
+    texts = ["one two three", "Four, five; six seven eight", "\u00bd \u00b2 \u2167 12", "x\u00b2y", "nine"]
+    got = by_id(langid.predict(make(texts), model), "lang_pred", "score")
+    for i, t in enumerate(texts):
+        p = by_id(langid.label_words(make([t]), model), "words")[0]
+        share = sum(w["p"] if w["lang"] == "a" else 1 - w["p"] for w in p) / max(len(p), 1)
+        assert got[i] == ("und", 0.0) if not p else got[i][0] == "ab"[share < 0.5] and math.isclose(got[i][1], max(share, 1 - share), abs_tol=1e-6)
+    assert got[2] == ("und", 0.0)
+
+
 def test_language_id(spark, make):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
@@ -459,6 +529,15 @@ def test_keep_one_tells_rows_by_id_and_text(make):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, text), (5, other), (7, "one"), (7, "two")]
 
 
+def test_copies_of_one_text_are_not_one_task(spark, make, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    text, n = "a b c d e f g h i j k l", 200
+    docs = make([text] * n + [f"w{i} " * 7 for i in range(n)], range(1, 2 * n + 1))
+    got = by_id(jaccard.near_duplicates(docs), "n_shingles", "component_id")
+    assert all(got[i] == (8, 1) for i in range(1, n + 1)) and all(got[i] == (1, i) for i in range(n + 1, 2 * n + 1))
+    assert jaccard.keep_one(docs.withColumnsRenamed({"key": "slot", "source": "row"})).count() == n + 1
+
+
 def test_trie_equals_pairs():
     rng = random.Random(8)
     sets = [sorted(rng.sample(range(60), rng.randint(1, 30))) for _ in range(60)]
