@@ -11,7 +11,7 @@ cut from the sample and spliced, half of them from several languages, so that sw
 Scoring runs over whole texts: words are laid in blocks, the blocks' transfer matrices are chained
 within each document, and all blocks are then filled in at once, which is exact.
 
-Defined results: null texts and texts without letters give `und` with score 0; without a single
+Defined results: null texts and texts without letters (numerals of any kind are none) give `und` with score 0; without a single
 document to learn from every text gives `und`; ties go to the first language in order; repeated
 rows give repeated results; null ids are scored and never learned from; extra columns are ignored.
 """
@@ -19,6 +19,8 @@ rows give repeated results; null ids are scored and never learned from; extra co
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +36,9 @@ HELD_OUT, OF = 2, 4
 DOCS, SEGMENTS, WORDS, SPLICED = 300, 8, 12, 3
 BUCKETS, LOCAL_WORDS, STEP, SALTS = 1 << 17, 200_000, 64, 64
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters that Python counts to words, but that are numbers: fractions, powers, Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -223,14 +227,14 @@ def segments_of(lang: str, text: str | None) -> list[tuple[str, list[str]]]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS) -> Crf | None:
     """The model learned from documents outside the held-out fold, at most so many for each language."""
-    every = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    learn = every.select("id", "lang").where((fold("id", OF) != HELD_OUT) & F.col("lang").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
+    every = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).withColumn("h", F.xxhash64("text"))
+    learn = every.select("id", "lang", "h").where((fold("id", OF) != HELD_OUT) & F.col("lang").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
     # the first by hash of each salted part, then the first of those: a language that most documents have is no single group
-    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id", "h"))
     part = learn.withColumn("r", place("lang", "salt")).where(F.col("r") <= per_language)
-    chosen = part.withColumn("r", place("lang")).where(F.col("r") <= per_language).select("id", "lang").distinct()
-    # at most per_language rows for each language, so the side may be sent to all
-    rows = every.join(F.broadcast(chosen), ["id", "lang"]).where(F.col("text").isNotNull())
+    chosen = part.withColumn("r", place("lang")).where(F.col("r") <= per_language).select("id", "lang", "h").distinct()
+    # at most per_language rows for each language, so the side may be sent to all; repeated rows count once
+    rows = every.join(F.broadcast(chosen), ["id", "lang", "h"]).groupBy("id", "lang", "h").agg(F.min("text").alias("text")).where(F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
