@@ -19,6 +19,9 @@ A text's set holds its distinct 5-word shingles as 60-bit hashes. Two sets link
 
 Tries of one task hold a bounded block of sets; nothing about all documents reaches the driver.
 
+Texts are told by 128-bit digests and shingles by 60-bit hashes; in the first step alone texts are numbered by
+64-bit hashes, and of two with one number in a run the second isn't counted there.
+
 Defined results: a null text or one without words has an empty set and is its own component;
 with fewer than five words the whole sequence is the one shingle; equal texts are linked;
 a null id is left out of the smallest id but its row is kept; rows that repeat an id share its
@@ -28,10 +31,11 @@ component where their texts do; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadproof.llm.common import small_batches, stored, table
@@ -42,8 +46,12 @@ SIZE, NEED, OF = 5, 75, 100
 RUN, BLOCK, PART_BYTES = 2_000_000, 128, 64_000_000
 #: The most texts of a family whose pairs are tried family-wise.
 FAMILY = 4096
+#: How many times larger the blocks of larger families are.
+WIDE = 16
 #: Tokens whose frequency rank every worker holds; slots of the filter that thins out texts before the exact join.
 RANKED, SLOTS = 2_000_000, 1 << 21
+#: A text with more than one in so many rows has its answer sent to all.
+HOT = 1000
 #: Bits of the filter that tells tokens that occur once.
 BITS = 1 << 25
 
@@ -404,7 +412,8 @@ def _mixed(postings: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame
     large = rows.where(F.col("size") > FAMILY)
     counts = large.groupBy("token").agg(F.count("*").alias("m"))
     by_token = large.join(counts, "token").select(F.col("token").cast("string").cast("binary").alias("grp"), F.col("token").alias("first"), "key", "label", "m")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    # a larger family's blocks are larger, so that its members are copied less often
+    blocks = F.ceil(F.col("m") / F.when(F.col("first").isNull(), BLOCK).otherwise(WIDE * BLOCK)).cast("int")
     members = moderate.union(by_token).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = members.select("grp", "first", "key", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("grp", "first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "label")
@@ -423,11 +432,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`").cast("string")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     docs = docs.withColumns({"key": F.unhex(F.md5("text")), "sid": F.xxhash64("text")})
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, rows_ = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PART_BYTES) + 1)
 
     # one row for each distinct text: its least id is the row by which it is fetched again
-    texts = stored(docs.groupBy("key").agg(F.min("id").alias("low"), F.min("sid").alias("sid")))
+    texts = stored(docs.groupBy("key").agg(F.min("id").alias("low"), F.min("sid").alias("sid"), F.count("*").alias("m")))
     chosen = stored(texts.join(_candidates(docs, parts), "sid", "left_semi").select("low", F.col("key").alias("chosen"), F.pmod("sid", F.lit(SLOTS)).alias("slot")))
     # at most SLOTS rows, whatever the input; they spare most other texts the shuffle of the exact join
     slots = chosen.select("slot").distinct()
@@ -451,32 +460,44 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     low = texts.select("key", "low")
     least = labels.join(low, F.col("node") == F.col("key")).groupBy("label").agg(F.min("low").alias("least"))
     linked = labels.join(least, "label").select(F.col("node").alias("key"), "least")
-    of_text = texts.join(linked, "key", "left").select("key", F.coalesce("least", "low").alias("least"))
+    of_text = texts.join(linked, "key", "left").select("key", "m", F.coalesce("least", "low").alias("least"))
     sized = _sizes(docs)
-    out = sized.join(of_text, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"), F.col("key").alias("_key"))
+    # texts with more than a thousandth of all rows are at most a thousand: their answer is sent to all, and their rows,
+    # which would meet in one task, are dealt at random instead
+    hot = F.broadcast(of_text.where(F.col("m") > rows_ // HOT).select(F.col("key").alias("_hot"), F.col("least").alias("_hot_least")))
+    spread = F.unhex(F.md5(F.monotonically_increasing_id().cast("string")))
+    dealt = sized.join(hot, F.col("key") == F.col("_hot"), "left").withColumn("_by", F.when(F.col("_hot").isNull(), F.col("key")).otherwise(spread))
+    out = dealt.join(of_text.select(F.col("key").alias("_by"), "least"), "_by", "left")
+    least = F.when(F.col("n") == 0, F.col("id")).when(F.col("_hot").isNotNull(), F.col("_hot_least")).otherwise(F.col("least"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), least.alias("component_id"), F.col("key").alias("_key"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with one document of each near-duplicate class: the one with the smallest id, once. Rows without id stay.
 
     Rows are told by id and text: a row goes if its own text is in a class with a smaller id, or repeats
-    a row with the same id and text. Other texts of the same id stay, whatever becomes of that row.
+    a row with the same id and text (one of these stays). Other texts of the same id stay, whatever becomes of
+    that row. Columns of any name are kept; an empty table gives an empty one.
 
     Only rows in whose slot an id is to go, or occurs repeatedly, take part in a join by id; the slots
     are at most SLOTS, so that all other rows stay where they are.
     """
-    goes = (F.col(id_col) != F.col("component_id")).alias("_goes")
-    found = stored(_classes(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "_key", goes).where("_id IS NOT NULL"))
-    special = stored(found.groupBy("_id", "_key").agg(F.bool_or("_goes").alias("_goes"), F.count("*").alias("_n")).where("_goes OR _n > 1").select("_id", "_key", "_goes"))
+    goes = (F.col("id") != F.col("component")).alias("goes")
+    found = stored(_classes(docs, id_col, text_col).toDF("id", "n", "component", "key").select("id", "key", goes).where("id IS NOT NULL"))
+    special = stored(found.groupBy("id", "key").agg(F.bool_or("goes").alias("goes"), F.count("*").alias("n")).where("goes OR n > 1").withColumnsRenamed({"id": "sid", "key": "skey"}))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = F.broadcast(special.select(slot("_id").alias("_slot")).distinct())
-    own = F.col(f"`{id_col}`").cast("long")
-    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    untouched = docs.join(slots, slot(own) == F.col("_slot"), "left_anti")
-    looked_at = docs.join(slots, slot(own) == F.col("_slot"), "left_semi").join(special.where("_goes"), (own == F.col("_id")) & (digest == F.col("_key")), "left_anti")
-    once = looked_at.withColumn("_copy", F.row_number().over(Window.partitionBy(own, digest).orderBy(own))).where(F.col("_copy").eqNullSafe(1) | own.isNull())
-    return untouched.unionByName(once.drop("_copy"))
+    slots = F.broadcast(special.select(slot("sid").alias("slot")).distinct())
+    names = docs.columns
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(text)).alias("key"))
+    untouched = rows.join(slots, slot("id") == F.col("slot"), "left_anti")  # rows without id have a slot too, but are in no special row
+    looked_at = rows.join(slots, slot("id") == F.col("slot"), "left_semi")
+    told = looked_at.where("id IS NOT NULL").join(special, (F.col("id") == F.col("sid")) & (F.col("key") == F.col("skey")), "left")
+    single = told.where("goes IS NULL")
+    # partial aggregates keep one row of each repeated one in a task, however many there are
+    once = told.where("NOT goes").groupBy("id", "key").agg(F.first("row").alias("row"))
+    parts = [untouched, looked_at.where("id IS NULL"), single, once]
+    return reduce(DataFrame.union, (p.select("row") for p in parts)).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
