@@ -7,7 +7,9 @@ offsets in the original text.
 
 Defined results: null or empty texts have no words and no hits; items without words have no
 windows; repeated rows give repeated results; a repeated or shared window counts for each item
-that has it; null item ids are left out; extra columns are ignored.
+that has it; null item ids are left out; texts of any length are scanned whole; an empty benchmark hits
+nothing, and no documents give no rows; extra columns are ignored by benchmark_hits and kept by
+drop_contaminated, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,18 +17,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadproof.llm.common import filter_texts, small_batches, table
+from loadproof.llm.common import filter_texts, small_batches, stored, table
 
 #: Words in a window.
 WINDOW = 10
-#: Characters of benchmark text that one automaton takes; a larger benchmark is scanned in
-#: several blocks, so what a worker holds doesn't grow with it.
+#: Characters of benchmark text that one automaton takes; a larger benchmark, as measured, is scanned in
+#: parts, a pass for each, so what the driver and a worker hold doesn't grow with it.
 BLOCK_CHARS = 4_000_000
 
 #: Bytes to words: A-Z to lower case; other ASCII that is no digit or letter to a space.
@@ -78,61 +81,67 @@ def scan(text: str | None, machine) -> tuple[int, np.ndarray, list[int]]:
     return len(tokens), np.flatnonzero(np.cumsum(cover[:-1]) > 0).astype(np.int32), sorted(items)
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[list[tuple[int, str]]]:
-    """The benchmark in lists of at most limit characters; an item is never cut."""
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
-    out, chars = [[]], 0
-    for item, text in rows.toLocalIterator():
-        if out[-1] and chars + len(text) > limit:
-            out.append([])
-            chars = 0
-        out[-1].append((item, text))
-        chars += len(text)
-    return out
+def parts_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> tuple[DataFrame, int]:
+    """(item, text, part) of the items that have both, and the number of parts; measured, so that a part has about limit characters. An item is never cut."""
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna()
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-chars // limit))
+    return rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
 
 
-def benchmark_hits(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS
-) -> DataFrame:
-    """One row per document: id, n_words, hit (numbers of the words hit), items (ids of items found)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, item_col, item_text_col, block_chars)]
+def _scanned(rows: DataFrame, items: DataFrame, part: int, size: int) -> DataFrame:
+    """(id, n_words, hit, items) of (id, text) against one part, whose automaton each task builds once."""
+    small_batches(rows.sparkSession)
+    # about the limit in characters, by the count of parts_of
+    held = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(F.col("part") == part).select("item", "text").toLocalIterator()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(parts[0].value, size) if len(parts) == 1 else None
+        machine = automaton(held.value, size)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if len(parts) == 1:
-                rows = [scan(t, machine) for t in texts]
-            else:  # a block at a time over the batch: one automaton is held
-                rows = [(len(words(t)), np.empty(0, np.int32), []) for t in texts]
-                for part in parts:
-                    one = automaton(part.value, size)
-                    rows = [(n, np.union1d(h, g), sorted({*i, *j})) for (n, h, i), (_, g, j) in zip(rows, (scan(t, one) for t in texts), strict=True)]
+            found = [scan(t, machine) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], schema=HITS
+                [batch.column(0), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.list_(pa.int32())), pa.array([r[2] for r in found], pa.list_(pa.int64()))], schema=HITS
             )
 
-    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, n_words long, hit array<int>, items array<long>").withColumnRenamed("id", id_col)
+    return rows.select("id", "text").mapInArrow(run, "id long, n_words long, hit array<int>, items array<long>")
+
+
+def _in_parts(rows: DataFrame, items: DataFrame, n: int, size: int) -> DataFrame:
+    """(id, n_words, hit, items) by a pass for each part, for ids that are unique; only rows with hits meet again."""
+    first, *others = (_scanned(rows, items, k, size) for k in range(n))
+    more = reduce(DataFrame.union, others).where(F.size("items") > 0)
+    merged = more.groupBy(F.col("id").alias("_id")).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(f"_{c}") for c in ("hit", "items")])
+    joined = first.join(merged, F.col("id") == F.col("_id"), "left")
+    both = lambda c: F.when(F.col("_id").isNull(), F.col(c)).otherwise(F.array_sort(F.array_union(c, f"_{c}"))).alias(c)
+    return joined.select("id", "n_words", both("hit"), both("items"))
+
+
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """One row per document: id, n_words, hit (numbers of the words hit), items (ids of items found)."""
+    items, n = parts_of(benchmark, item_col, item_text_col, block_chars)
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    if n == 1:
+        return _scanned(picked.withColumnRenamed("own", "id"), items, 0, size).withColumnRenamed("id", id_col)
+    rows = stored(picked.withColumn("id", F.monotonically_increasing_id()))
+    found = _in_parts(rows, items, n, size).join(rows.select("id", "own"), "id")
+    return found.select(F.col("own").alias(id_col), "n_words", "hit", "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows whose text has no window of any item, all columns kept."""
-    parts = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks(benchmark, item_col, item_text_col, block_chars)]
+    items, n = parts_of(benchmark, item_col, item_text_col, block_chars)
+    if n > 1:
+        names = docs.columns
+        rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("id")))
+        hits = _in_parts(rows, items, n, size).where(F.size("items") > 0).select("id")
+        return rows.join(hits, "id", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.select("item", "text").toLocalIterator()])
 
     def start():
-        one = automaton(parts[0].value, size) if len(parts) == 1 else None
-
-        def passes(texts: list[str | None]) -> list[bool]:
-            clean = [True] * len(texts)
-            for part in parts:
-                machine = one if len(parts) == 1 else automaton(part.value, size)
-                clean = [c and not scan(t, machine)[2] for c, t in zip(clean, texts, strict=True)]
-            return clean
-
-        return passes
+        machine = automaton(held.value, size)
+        return lambda texts: [not scan(t, machine)[2] for t in texts]
 
     return filter_texts(docs, text_col, start)
 
