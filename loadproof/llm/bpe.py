@@ -1,38 +1,41 @@
 """BPE encoding and decoding over a table of distinct words.
 
-A word here is the text between two spaces. A space that is followed by a non-space always begins
-a new piece of byte-level BPE, so the ids of a text are the ids of its words, joined by position;
-texts in which a space is followed by white space or by the end are cut only where that holds.
-The distinct words are counted over all documents; those that occur at least twice, the most
-frequent first up to a fixed bound, are encoded once, in Spark, and sent out as one table whose
-size that bound proves. What is left (words that occur once, very long words, and words beyond the
-bound) is encoded where it occurs, once for each run of documents: sending such a word to another
-machine and back would move more than it saves. Decoding joins ids to the vocabulary's pieces, a
-table of fixed size.
-
-Defined results: a null text counts as empty (no ids); repeated rows give repeated results; extra
-columns are ignored; the special token's string is one id, as the library has it by default.
+A word here is the text between two spaces, with the space before it. A space that is followed by a
+non-space always begins a new piece of byte-level BPE, so the ids of a text are the ids of its words, joined by
+position; texts in which a space is followed by white space or by the end are cut only where that holds.
+
+1. Texts are split in Spark; each chunk of up to 2 ** CHUNK rows, which lie together in the input, reports its distinct words.
+2. Each distinct word of all chunks is encoded once. Its ids are joined to the vocabulary's pieces, and the
+   pieces, joined in order, are the word's decoded bytes.
+3. Words are joined back to their chunks by the word, and meet the chunk's texts: sorted together, words
+   first, so a task holds the words of one chunk and streams its texts, which take ids and bytes by position.
+
+Chunks are told by the place of rows in their partition. Should a lost task's rows come in another order when
+they are read again, a word that its chunk then lacks is encoded where it stands; the result is the same.
+
+Defined results: a null text counts as empty (no ids); empty tables give no rows; words and texts of any length are
+taken whole; repeated rows give repeated results; extra columns of any name are ignored; the special
+token's string is one id, as the library has it by default.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadproof.llm.common import small_batches, stored, table
 
-#: The most words in the table that every worker holds, and the most characters of one of them.
-TABLE_WORDS, WORD_CHARS = 500_000, 48
-#: Distinct words that a task gathers before it passes their counts on, or encodes before it forgets them.
-LOCAL_WORDS = 300_000
+#: Rows of one chunk, as a power of two; distinct words that a task gathers before it passes them on.
+CHUNK, LOCAL_WORDS = 14, 300_000
+#: Bytes of text in one partition of the last step.
+PART_BYTES = 64_000_000
 
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
@@ -80,30 +83,35 @@ class Codec:
             ids = self.slow.encode(chunk, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def text(self, text: str, known: dict[str, bytes], local: dict[str, bytes]) -> bytes:
-        """The ids of a whole text from its words' ids, by position."""
-        out: list[bytes] = []
+    def parts(self, text: str) -> list[str]:
+        """The words of a text in order; special tokens stand as parts of their own."""
+        out: list[str] = []
         for part in self.split.split(text) if self.split and any(s in text for s in self.special) else [text]:
             if part in self.special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
-                continue
-            words = _CUT.split(part) if _ODD.search(part) else part.split(" ")
-            out.append(self.word(words[0]) if words[0] else b"")
-            got = list(map(known.get, words[1:]))
-            if None in got:
-                for i, ids in enumerate(got):
-                    if ids is None:
-                        w = words[i + 1]
-                        if (ids := local.get(w)) is None:
-                            if len(local) >= LOCAL_WORDS:
-                                local.clear()
-                            ids = local[w] = self.word(" " + w)
-                        got[i] = ids
-            out += got
-        return b"".join(out)
-
-    def decode(self, packed: bytes) -> str:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+                out.append(part)
+            elif part:
+                first, *rest = _CUT.split(part) if _ODD.search(part) else part.split(" ")
+                out += [first, *(" " + w for w in rest)] if first else [" " + w for w in rest]
+        return out
+
+    def ids(self, part: str) -> bytes:
+        return np.array([self.special[part]], "<u4").tobytes() if part in self.special else self.word(part)
+
+    def bytes_of(self, packed: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+    def text(self, text: str, known: dict[str, tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+        """Ids and decoded bytes of a whole text from its words' own, by position; words that aren't known become so."""
+        parts = self.parts(text)
+        got = list(map(known.get, parts))
+        if None in got:
+            for i, one in enumerate(got):
+                if one is None:
+                    if (one := known.get(parts[i])) is None:
+                        ids = self.ids(parts[i])
+                        one = known[parts[i]] = (ids, self.bytes_of(ids))
+                    got[i] = one
+        return b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
 
 
 @lru_cache(maxsize=2)
@@ -117,92 +125,115 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct words and how often they occur, over all documents; counted in each task before the shuffle."""
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(token, piece) of the tokenizer file, pieces as hexadecimal bytes: a table of the size of the vocabulary."""
+    pieces = codec(path).pieces
+    return spark.createDataFrame(pa.table({"token": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array([x.hex() for x in pieces], pa.string())}))
+
+
+def _joined(rows: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
+    """(keys, bytes) of (keys, ids): ids joined to their pieces, pieces joined in order; an unknown id is an error."""
+    each = rows.select(*keys, F.posexplode_outer("ids").alias("at", "token"))
+    with_piece = each.join(F.broadcast(pieces), "token", "left")  # the vocabulary has a fixed size
+    piece = F.when(F.col("token").isNull(), "").otherwise(F.coalesce("piece", F.raise_error(F.concat(F.lit("unknown id "), F.col("token").cast("string")))))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", piece.alias("piece")))), lambda x: x["piece"])
+    return with_piece.groupBy(*keys).agg(F.unhex(F.array_join(in_order, "")).alias("bytes"))
+
+
+def _chunk() -> Column:
+    return F.shiftright(F.monotonically_increasing_id(), CHUNK)
+
+
+def word_table(docs: DataFrame, path: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(chunk, word) of the distinct words of each chunk, and (word, ids, bytes) of all distinct words, each encoded and decoded once."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counts: Counter) -> pa.RecordBatch:
-            kept = {w: n for w, n in counts.items() if len(w) <= WORD_CHARS}
-            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
-
-        counts: Counter = Counter()
+        c, seen, at = codec(path), set(), None
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array([at] * len(seen), pa.int64()), pa.array(list(seen), pa.string())], names=["chunk", "word"])
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if seen and (chunk != at or len(seen) > LOCAL_WORDS):
+                    yield rows()
+                    seen = set()
+                at = chunk
                 if text:
-                    counts.update((_CUT.split(text) if _ODD.search(text) else text.split(" "))[1:])
-                if len(counts) > LOCAL_WORDS:
-                    yield rows(counts)
-                    counts = Counter()
-        if counts:
-            yield rows(counts)
-
-    return docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def word_table(docs: DataFrame, path: str, text_col: str = "text", most: int = TABLE_WORDS) -> dict[str, bytes]:
-    """The table of distinct words with their ids: those that occur twice or more, at most so many."""
-    counts = stored(word_counts(docs, text_col).where("n > 1"))
-    least, total = 2, 0
-    capped = F.least("n", F.lit(10_000)).alias("n")
-    for n, words in sorted(((r[0], r[1]) for r in counts.groupBy(capped).count().collect()), reverse=True):
-        if (total := total + words) > most:
-            least = n + 1
-            break
+                    seen.update(c.parts(text))
+        if seen:
+            yield rows()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([c.word(" " + w) for w in words], pa.binary())], names=["word", "ids"])
+            ids = [np.frombuffer(c.ids(w), "<i4") for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
-    encoded = counts.where(F.col("n") >= least).select("word").mapInArrow(run, "word string, ids binary").toArrow()
-    return dict(zip(encoded.column(0).to_pylist(), encoded.column(1).to_pylist(), strict=True))
+    pairs = stored(docs.select(_chunk().alias("chunk"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "chunk long, word string"))
+    ids = stored(pairs.select("word").distinct().mapInArrow(encoded, "word string, ids array<int>"))
+    return pairs, ids.join(_joined(ids, ["word"], vocabulary(docs.sparkSession, path)), "word")
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, most: int = TABLE_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     path = path or default_path()
-    known = spark.sparkContext.broadcast(word_table(docs, path, text_col, most))
+    pairs, words = word_table(docs, path, text_col)
+    text = F.col(f"`{text_col}`").cast("string")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PART_BYTES) + 1)
+    none = F.lit(None)
+    of_words = pairs.join(words, "word").select("chunk", F.lit(0).alias("kind"), none.cast("long").alias("id"), F.col("word").alias("text"), "ids", "bytes")
+    of_texts = docs.select(_chunk().alias("chunk"), F.lit(1).alias("kind"), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), none.cast("array<int>").alias("ids"), none.cast("binary").alias("bytes"))
+    met = of_words.unionByName(of_texts).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
     fields = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32()))] if keep_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, words, local = codec(path), known.value, {}
+        c, known, at = codec(path), {}, None
         for batch in batches:
-            packed = [c.text(t, words, local) if t else b"" for t in batch.column(1).to_pylist()]
-            cols = [
-                batch.column(0),
-                pa.array([len(p) // 4 for p in packed], pa.int64()),
-                pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
-                pa.array([hashlib.sha256(c.decode(p).encode()).hexdigest() for p in packed], pa.string()),
-            ]
-            if keep_ids:
-                cols.append(pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))
-
-    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+            chunk, kind, ids, text = (batch.column(i).to_pylist() for i in range(4))
+            n_words = kind.count(0)
+            if n_words:
+                flat = batch.column(4)
+                values, ends = flat.flatten().to_numpy().astype("<u4"), flat.offsets.to_numpy()
+                packed = [values[a - ends[0] : b - ends[0]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                pieces = batch.column(5).to_pylist()
+            rows = []
+            for i in range(len(kind)):
+                if chunk[i] != at:
+                    known, at = {}, chunk[i]
+                if kind[i] == 0:
+                    known[text[i]] = (packed[i], pieces[i])
+                else:
+                    rows.append((ids[i], *(c.text(text[i], known) if text[i] else (b"", b""))))
+            if rows:
+                cols = [
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([len(r[1]) // 4 for r in rows], pa.int64()),
+                    pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string()),
+                    pa.array([hashlib.sha256(r[2].decode("utf-8", "replace").encode()).hexdigest() for r in rows], pa.string()),
+                ]
+                if keep_ids:
+                    cols.append(pa.array([np.frombuffer(r[1], "<i4") for r in rows], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))
+
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return out.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return met.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per input row: id and the text of its ids; null ids give an empty text, an unknown id an error."""
-    small_batches(rows.sparkSession)
-    path = path or default_path()
+    """One row per input row: id and the text of its ids, by a join to the vocabulary; null ids give an empty text, an unknown id an error."""
+    spark = rows.sparkSession
+    small_batches(spark)
+    # stored, so that the number that tells rows apart is one
+    picked = stored(rows.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
         for batch in batches:
-            texts = [c.decode(np.array(ids or [], "<u4").tobytes()) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b.decode("utf-8", "replace") for b in batch.column(2).to_pylist()], pa.string())], names=["id", "text"])
 
-    picked = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
-    return picked.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return _joined(picked, ["row", "id"], vocabulary(spark, path or default_path())).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
 def op5_bpe_encoding(spark, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), default_path(), keep_ids=False)
-
-

@@ -220,26 +220,42 @@ def test_language_id(spark, make):
     assert by_id(langid.predict(make(["abc"]), None), "lang_pred") == {0: "und"} and langid.fit(docs.where("false")) is None
 
 
-def test_bpe_equals_the_library(make):
+@pytest.mark.parametrize("chunk", [bpe.CHUNK, 2])
+def test_bpe_equals_the_library(make, monkeypatch, chunk):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    monkeypatch.setattr(bpe, "LOCAL_WORDS", 50)
     own = Tokenizer.from_file(bpe.default_path())
     rng = random.Random(5)
     parts = [*"aàb '\n\t12.#€漢🙂É²ªß\u0085\x1c", " ", "  ", " \n", "<|endoftext|>", "'s", "the ", " the"]
     texts = AWKWARD + ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(400)]
-    docs = make(texts)
-    for most in (bpe.TABLE_WORDS, 3):  # most words in the table, then almost none
-        rows = bpe.encode(docs, most=most).collect()
-        assert len(rows) == len(texts)
-        for r in rows:
-            ids = own.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
-            assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
-            assert r["decoded_sha256"] == hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    docs = make(texts).withColumnsRenamed({"key": "chunk", "source": "kind"})
+    rows = bpe.encode(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = own.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     back = by_id(bpe.decode(bpe.encode(docs)), "text")
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
     assert bpe.encode(make([])).count() == 0
 
 
+def test_bpe_rows(spark, make, monkeypatch):
+    twice = [r["n_tokens"] for r in bpe.encode(make(["a b", "a b", "c"], [1, 1, None])).collect()]
+    assert sorted(twice) == [1, 2, 2]
+    ids = spark.createDataFrame([(1, [0, 1]), (1, None), (2, [])], "doc_id long, ids array<int>")
+    assert sorted(r["text"] for r in bpe.decode(ids).collect()) == ["", "", bpe.codec(bpe.default_path()).bytes_of(np.array([0, 1], "<u4").tobytes()).decode()]
+    with pytest.raises(Exception, match="unknown id 999999"):
+        bpe.decode(spark.createDataFrame([(1, [999_999])], "doc_id long, ids array<int>")).collect()
+    # rows that come back in another order find words missing in their chunk, and give the same
+    want = sorted(tuple(r) for r in bpe.encode(make(["a b", "c d", "e f"]), keep_ids=False).collect())
+    real = bpe.word_table
+    monkeypatch.setattr(bpe, "word_table", lambda *a: (real(*a)[0].where("word = 'a'"), real(*a)[1]))
+    assert sorted(tuple(r) for r in bpe.encode(make(["a b", "c d", "e f"]), keep_ids=False).collect()) == want
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-9, 9, 6)]) for i in range(400)] + [(7, [1.0] * 6), (401, None), (402, [None] * 6), (403, [math.nan] * 6), (404, [math.inf] * 6), (405, []), (406, [1.0] * 3), (None, [1.0] * 6)]
