@@ -4,22 +4,27 @@ A page is cut into tags and text by one pattern, built into a tree with HTML's i
 open paragraph ends before a block, a list item before the next, table parts nest as they must),
 and rendered: text that is visible, blocks on lines of their own, paragraphs and headings with a
 blank line around them, list items with bullet or number and indent, table cells aligned to the
-widest of their column, preformatted text as it is.
+widest of their column, over as many columns and rows as they span, preformatted text as it is. Each step
+goes forward once, so that the time grows with the page's length, whatever is in it.
 
 Hidden are: head matter, scripts, styles, templates and comments; lists to choose from and text areas;
 what stands in for objects, frames, canvas, audio and video; what svg and math don't draw themselves
 (titles, descriptions, definitions, annotations); inputs of type="hidden"; and elements with the
-hidden attribute or an inline style of display:none or visibility:hidden. All other text comes out: what stands in a
+hidden attribute, an inline style of display:none or visibility:hidden, or a rule with one of these in a style
+sheet of the page whose selector is a name, a class, an id, or a name with one of these. All other text comes out: what stands in a
 table but in no cell follows the table.
 
 Defined results: a null page gives null; an empty page, or one without visible text, gives an empty
-text; broken mark-up never fails: unknown end tags are ignored, what is open at the end is closed;
-repeated rows give repeated results; extra columns are ignored.
+text; broken mark-up never fails: unknown end tags are ignored, what is open at the end is closed, and a tag
+that the page ends within shows nothing, as in browsers; pages of any length are taken whole; an empty table gives no
+rows; repeated rows and ids give repeated results; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -65,49 +70,97 @@ BARRIER = frozenset({"table", "td", "th", "html"})
 #: Nested tables that are laid out as such.
 DEEP = 20
 
-_TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[!?/][^>]*(?:>|\Z))", re.S)
+#: A tag's last group is empty if the page ends within it.
+_TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_STYLE = re.compile(r"<style\b[^>]*+>(.*?)(?:</style\b|\Z)", re.I | re.S)
+_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|[{};]|[^{};/]++|/", re.S)
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?", re.I)
+
+
+def hiding_rules(page: str) -> set[str]:
+    """Selectors `name`, `.class`, `#id`, `name.class`, `name#id` that style sheets hide whatever the medium; names in lower case."""
+    out: set[str] = set()
+    for sheet in _STYLE.finditer(page):
+        held, depth, selector, at_rule = [], 0, "", 0
+        for m in _CSS.finditer(sheet[1]):
+            token = m[0]
+            if token.startswith("/*"):
+                continue
+            if token == "{":
+                depth += 1
+                if depth == 1:
+                    selector, at_rule = "".join(held), "".join(held).lstrip().startswith("@")
+                held = []
+            elif token == "}":
+                if depth == 1 and not at_rule and _NONE.search("".join(held)):
+                    out |= {(s[1] or "").lower() + (s[2] or "") for x in selector.split(",") if (s := _SELECTOR.fullmatch(x.strip())) and s[0]}
+                depth, held = max(depth - 1, 0), []
+            elif token == ";" and depth == 0:
+                held = []
+            else:
+                held.append(token)
+    return out
 
 
 class Element:
-    __slots__ = ("attrs", "children", "drawing", "hidden", "in_p", "in_table", "name")
+    __slots__ = ("attrs", "children", "drawing", "has_table", "hidden", "in_p", "in_table", "name")
 
     def __init__(self, name: str, attrs: dict[str, str], hidden: bool, parent: Element | None = None):
-        self.name, self.attrs, self.hidden, self.children = name, attrs, hidden, []
+        self.name, self.attrs, self.hidden, self.children, self.has_table = name, attrs, hidden, [], False
         self.in_table = name == "table" or parent is not None and parent.in_table
         self.in_p = name == "p" or parent is not None and parent.in_p
         self.drawing = name if name in UNDRAWN else parent.drawing if parent and name not in HTML_AGAIN else ""
 
 
+class Open:
+    """The elements that are open, with the places of each name, so that the nearest of a name is found at once."""
+
+    def __init__(self, root: Element):
+        self.stack, self.places = [root], {root.name: [0]}
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, at: int) -> None:
+        """Closes all from a place on."""
+        for element in self.stack[at:]:
+            self.places[element.name].pop()
+        del self.stack[at:]
+
+    def last(self, names) -> int:
+        """The place of the innermost element with one of the names; 0, the root's, if there is none."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+
 def build(page: str) -> Element:
     """The tree of a page: elements and strings."""
     root = Element("html", {}, False)
-    stack, at, end = [root], 0, len(page)
+    open_, at, end = Open(root), 0, len(page)
+    stack, rules = open_.stack, hiding_rules(page)
 
     def add(text: str) -> None:
         if text and not stack[-1].hidden:
             stack[-1].children.append(entities.unescape(text) if "&" in text else text)
 
     def close(names, barriers) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                # an element of the kind further out ends too, as a cell does with its row
-                while i > 1 and stack[i - 1].name in names:
-                    i -= 1
-                del stack[i:]
-                return
-            if stack[i].name in barriers:
-                return
-
-    def back_to(names) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i + 1 :]
-                return
-            if stack[i].name == "template":
-                return
+        i = open_.last(names)
+        if i and i > open_.last(barriers):
+            # an element of the kind further out ends too, as a cell does with its row
+            while i > 1 and stack[i - 1].name in names:
+                i -= 1
+            open_.cut(i)
+
+    def hides(name: str, attrs: dict[str, str]) -> bool:
+        if "hidden" in attrs or name == "input" and attrs.get("type") == "hidden" or _NONE.search(attrs.get("style", "")):
+            return True
+        if not rules:
+            return False
+        marks = [f".{c}" for c in attrs.get("class", "").split()] + ([f"#{attrs['id']}"] if attrs.get("id") else [])
+        return name in rules or any(m in rules or name + m in rules for m in marks)
 
     while at < end:
         m = _TAG.search(page, at)
@@ -116,18 +169,16 @@ def build(page: str) -> Element:
             break
         add(page[at : m.start()])
         at = m.end()
-        if not (name := m[3]):
+        if not (name := m[3]) or not m[5]:
             continue
         name = name.lower()
         if m[2]:
             if name == "p" and not stack[-1].in_p:
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name == "template" or stack[i].name in BARRIER and name not in BARRIER and name not in ("tr", "tbody", "thead", "tfoot", "template"):
-                    break
+            i = open_.last((name,))
+            inner = ("template",) if name in BARRIER or name in ("tr", "tbody", "thead", "tfoot", "template") else ("template", *BARRIER - {"html"})
+            if i and i >= open_.last(inner):
+                open_.cut(i)
             continue
         if name == "html":
             continue
@@ -135,30 +186,38 @@ def build(page: str) -> Element:
             close({"p"}, {"template", "td", "th", "table", "caption", "button"})
         if name in IMPLIED:
             close(*IMPLIED[name])
-        if name in CONTEXT and stack[-1].in_table:
-            back_to(CONTEXT[name])
+        if name in CONTEXT and stack[-1].in_table and (i := open_.last(CONTEXT[name])) > open_.last(("template",)):
+            open_.cut(i + 1)
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             stack[-1].children.append(row := Element("tr", {}, stack[-1].hidden, stack[-1]))
-            stack.append(row)
+            open_.push(row)
         attrs = {a[0].lower(): a[1] or a[2] or a[3] or "" for a in _ATTR.findall(m[4])} if m[4] and not m[4].isspace() else {}
         drawing = stack[-1].drawing
-        hidden = stack[-1].hidden or name in HIDDEN or name in UNDRAWN.get(drawing, ()) or bool(attrs) and ("hidden" in attrs or name == "input" and attrs.get("type") == "hidden" or bool(_NONE.search(attrs.get("style", ""))))
+        hidden = stack[-1].hidden or name in HIDDEN or name in UNDRAWN.get(drawing, ()) or bool(attrs or rules) and hides(name, attrs)
         if drawing == "svg" and name == "text":
             stack[-1].children.append(" ")  # texts of a drawing stand apart
         stack[-1].children.append(element := Element(name, attrs, hidden, stack[-1]))
+        if name == "table":
+            for holder in reversed(stack):  # those further out know already
+                if holder.has_table:
+                    break
+                holder.has_table = True
         if name in VOID or (drawing or name in UNDRAWN) and m[4].endswith("/"):
             continue
         if name == "form" and stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr"):  # holds nothing there
             continue
-        stack.append(element)
+        open_.push(element)
         if name in RAW:
-            closing = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            closing = _CLOSING[name].search(page, at)
             add(page[at : closing.start() if closing else end])
             at = closing.end() if closing else end
-            stack.pop()
+            open_.cut(len(stack) - 1)
     return root
 
 
+_CLOSING = {name: re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I) for name in RAW}
+
+
 class Lines:
     """Lines under way: text joins the open line; breaks and blank lines are asked for and made once."""
 
@@ -216,6 +275,39 @@ def _rows(table_: Element, beside: list) -> Iterator[list[Element]]:
             beside.append(child)
 
 
+def _span(cell: Element, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "").strip()
+    return min(max(int(value), 1), most) if value.isascii() and value.isdecimal() and len(value) < 9 else 1
+
+
+def _placed(rows: list[list[tuple[Element, str]]]) -> list[list[tuple[int, int, str]]]:
+    """The cells of each row as (first column, columns, text): each goes to the first columns that no cell from above fills."""
+    out, above = [], []  # above: (first, end, rows to come), by first; neighbours that end together are one
+    for row in rows:
+        line, filled, col, k = [], [], 0, 0
+        for cell, text in row:
+            while k < len(above) and above[k][0] <= col:
+                col = max(col, above[k][1])
+                k += 1
+            wide, high = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
+            line.append((col, wide, text))
+            if high > 1:
+                filled.append((col, col + wide, high))
+            col += wide
+        out.append(line)
+        left = []
+        for first, end, n in sorted(filled + above):
+            if n > 1:
+                if left and left[-1][1] == first and left[-1][2] == n - 1:
+                    left[-1] = (left[-1][0], end, n - 1)
+                else:
+                    left.append((first, end, n - 1))
+        above = left
+    # columns in which no cell begins are none
+    starts = sorted({col for line in out for col, _, _ in line})
+    return [[(a := bisect.bisect_left(starts, col), max(bisect.bisect_left(starts, col + wide) - a, 1), text) for col, wide, text in line] for line in out]
+
+
 def _table(element: Element, lines: Lines) -> None:
     lines.depth += 1
     for child in element.children:
@@ -224,8 +316,8 @@ def _table(element: Element, lines: Lines) -> None:
             lines.end()
     rows, beside = [], []
     for row in _rows(element, beside):
-        if any(c.name == "table" for cell in row for c in _below(cell)):
-            rows.append([_Whole(cell) for cell in row])
+        if any(cell.has_table for cell in row):
+            rows.append(row)
             continue
         cells = []
         for cell in row:
@@ -233,21 +325,31 @@ def _table(element: Element, lines: Lines) -> None:
             part.depth = lines.depth
             _render(cell, part)
             part.end()
-            cells.append(" ".join(x.strip() for x in part.out if x))
+            cells.append((cell, " ".join(x.strip() for x in part.out if x)))
         rows.append(cells)
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            if isinstance(cell, str):
-                widths += [0] * (i + 1 - len(widths))
-                widths[i] = max(widths[i], len(cell))
-    for row in rows:
-        if row and isinstance(row[0], _Whole):  # a layout table: cells stand below each other
+    flat = [row if row and isinstance(row[0], tuple) else [] for row in rows]
+    placed = _placed(flat)
+    widths = [0] * (1 + max((col for line in placed for col, _, _ in line), default=0))
+    for line in placed:
+        for col, wide, text in line:
+            if wide == 1:
+                widths[col] = max(widths[col], len(text))
+    at = [0, *itertools.accumulate(w + 2 for w in widths)]
+    for line in placed:  # a cell over several columns that is longer than they are widens the last of them
+        for col, wide, text in line:
+            if wide > 1 and (more := len(text) - (at[col + wide] - at[col] - 2)) > 0:
+                widths[col + wide - 1] += more
+                at = [0, *itertools.accumulate(w + 2 for w in widths)]
+    for row, line in zip(rows, placed, strict=True):
+        if row and not isinstance(row[0], tuple):  # a layout table: cells stand below each other
             for cell in row:
-                _render(cell.cell, lines)
+                _render(cell, lines)
                 lines.end()
-        elif any(row):
-            lines.put("  ".join(cell.ljust(widths[i]) for i, cell in enumerate(row)))
+        elif any(text for _, _, text in line):
+            shown = ""
+            for col, _, text in line:
+                shown += " " * (at[col] - len(shown)) + text
+            lines.put(shown)
     for child in beside:  # text that stands in a table but in no cell
         if child is None:
             lines.end()
@@ -259,18 +361,6 @@ def _table(element: Element, lines: Lines) -> None:
     lines.depth -= 1
 
 
-class _Whole:
-    def __init__(self, cell: Element):
-        self.cell = cell
-
-
-def _below(element: Element) -> Iterator[Element]:
-    stack = [c for c in element.children if not isinstance(c, str)]
-    while stack:
-        yield (e := stack.pop())
-        stack += [c for c in e.children if not isinstance(c, str)]
-
-
 def _render(root: Element, lines: Lines) -> None:
     """Depth first, without recursion but for tables, whose cells are rendered apart."""
     stack: list = [(root, "in", 0)]
@@ -287,6 +377,8 @@ def _render(root: Element, lines: Lines) -> None:
         name = node.name
         if what == "out":
             lines.space() if name in SPACED else lines.end()
+            if name == "li":
+                lines.mark = ""  # of an item that shows nothing
             if name in ("ul", "ol", "menu", "dir", "dd", "blockquote"):
                 lines.indent = number
             continue

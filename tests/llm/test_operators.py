@@ -83,6 +83,86 @@ def test_html_loses_no_visible_text(page, want):
     assert html.render(page) == want
 
 
+@pytest.mark.parametrize("part", ["<a ", "<a '", '<a "', "</span>", "<div></b>", "<!--", "<p <p>", "<td colspan=1000>", "<td rowspan=9>x", "&", "<style>{", "<li>", "<table><tr><td>", "<a b='>", "<title>x", "{}", "<b><table></b>"])
+def test_html_takes_time_by_length(part):
+    import time
+
+    for page in (part, "<table><span>" + part, "<style>" + part):
+        took = []
+        for size in (60_000, 1_000_000):
+            text = page + part * (size // len(part))
+            began = time.process_time()
+            html.render(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 60 * max(took[0], 0.02)
+    if part == "<a ":
+        assert took[1] < 2
+
+
+def test_html_spans_and_style_sheets():
+    page = "<table><tr><th colspan=2>Names<th>N<tr><td rowspan=2>a<td>b<td>1<tr><td>c<td>22<tr><td colspan=3>a rather long closing line</table>"
+    assert html.render(page) == "Names  N\na  b   1\n   c   22\na rather long closing line"
+    sheet = "<style>p{color:red} .x, div#y, aside {display : none} @media print {em{display:none}} /* b{display:none} */ p .z{display:none}</style>"
+    assert html.render(sheet + "<p>a<i class='w x'>no</i><em>b</em><b>c</b></p><div id=y>no</div><p id=y>d</p><aside>no</aside><p class=z>e") == "abc\n\nd\n\ne"
+    assert html.render("text <a href='cut") == "text" and html.render("") == ""
+
+
+def test_html_equals_a_plain_renderer():
+    """Random pages made together with what they show: blocks, inline elements, lists, tables, what is hidden."""
+    rng, number = random.Random(21), iter(range(10**9))
+    word = lambda: f"w{next(number)}"
+
+    def inline(depth):
+        mark, shown = [], []
+        for _ in range(rng.randint(1, 4)):
+            w, kind = word(), rng.random()
+            if kind < 0.5:
+                mark.append(w)
+                shown.append(w)
+            elif kind < 0.6:
+                mark.append(rng.choice([f"<script>{w}</script>", f"<b hidden>{w}</b>", f"<i style='display:none'>{w}</i>", f"<!--{w}-->", f"<span class=h>{w}</span>"]))
+            elif depth:
+                m, t = inline(depth - 1)
+                name = rng.choice(["b", "i", "span", "a href='x>y'"])
+                mark.append(f"<{name}>{m}</{name.split()[0]}>")
+                shown.append(t)
+        return " ".join(mark), " ".join(x for x in shown if x)
+
+    def block(depth):
+        """Mark-up and lines; None is a blank line asked for."""
+        kind = rng.choice(["p", "div", "ul", "ol", "table", "nest", "h2"])
+        if kind in ("p", "div", "h2"):
+            m, t = inline(2)
+            end = "" if kind == "p" and rng.random() < 0.5 else f"</{kind}>"
+            gap = [None] if kind != "div" else []
+            return f"<{kind}>{m}{end}", [*gap, *([t] if t else []), *gap]
+        if kind in ("ul", "ol"):
+            items = [inline(1) for _ in range(rng.randint(1, 4))]
+            lead = (lambda i: "- ") if kind == "ul" else (lambda i: f"{i + 1}. ")
+            pad = 2 if kind == "ul" else 4
+            lines = [lead(i).rjust(pad) + t for i, (_, t) in enumerate(items) if t]
+            return f"<{kind}>" + "".join(f"<li>{m}" for m, _ in items) + f"</{kind}>", [None, *lines, None]
+        if kind == "table":
+            cells = [[inline(1) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 4))]
+            widths = [max((len(r[i][1]) for r in cells if i < len(r)), default=0) for i in range(3)]
+            lines = ["  ".join(t.ljust(widths[i]) for i, (_, t) in enumerate(r)).rstrip() for r in cells if any(t for _, t in r)]
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{m}" for m, _ in r) for r in cells) + "</table>", [None, *lines, None]
+        inner = [block(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+        return "<section>" + "".join(m for m, _ in inner) + "</section>", [x for _, lines in inner for x in lines]
+
+    for _ in range(300):
+        parts = [block(2) for _ in range(rng.randint(1, 5))]
+        lines, blank = [], False
+        for x in (y for _, ls in parts for y in ls):
+            if x is None:
+                blank = True
+            else:
+                lines += ([""] if blank and lines else []) + [x]
+                blank = False
+        page = "<style>.h{display:none}</style>" + "".join(m for m, _ in parts)
+        assert html.render(page) == "\n".join(lines).strip("\n"), page
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "<p>x", "u"), (2, "<p>x", "u")], "page_id long, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in html.extract_text(pages).collect()) == sorted([(1, None), (2, "x"), (2, "x")], key=str)
@@ -220,26 +300,26 @@ def test_language_id(spark, make):
     assert by_id(langid.predict(make(["abc"]), None), "lang_pred") == {0: "und"} and langid.fit(docs.where("false")) is None
 
 
-@pytest.mark.parametrize("chunk", [bpe.CHUNK, 2])
-def test_bpe_equals_the_library(make, monkeypatch, chunk):
+@pytest.mark.parametrize("encode", [bpe.encode, lambda docs: bpe.encode(docs, most=3), bpe.encode_by_join], ids=["table", "small_table", "join"])
+def test_bpe_equals_the_library(make, monkeypatch, encode):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    monkeypatch.setattr(bpe, "CHUNK", 5)
     monkeypatch.setattr(bpe, "LOCAL_WORDS", 50)
     own = Tokenizer.from_file(bpe.default_path())
     rng = random.Random(5)
     parts = [*"aàb '\n\t12.#€漢🙂É²ªß\u0085\x1c", " ", "  ", " \n", "<|endoftext|>", "'s", "the ", " the"]
     texts = AWKWARD + ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(400)]
     docs = make(texts).withColumnsRenamed({"key": "chunk", "source": "kind"})
-    rows = bpe.encode(docs).collect()
+    rows = encode(docs).collect()
     assert len(rows) == len(texts)
     for r in rows:
         ids = own.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    back = by_id(bpe.decode(bpe.encode(docs)), "text")
+    back = by_id(bpe.decode(encode(docs)), "text")
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
-    assert bpe.encode(make([])).count() == 0
+    assert encode(make([])).count() == 0
 
 
 def test_bpe_rows(spark, make, monkeypatch):
@@ -251,9 +331,9 @@ def test_bpe_rows(spark, make, monkeypatch):
         bpe.decode(spark.createDataFrame([(1, [999_999])], "doc_id long, ids array<int>")).collect()
     # rows that come back in another order find words missing in their chunk, and give the same
     want = sorted(tuple(r) for r in bpe.encode(make(["a b", "c d", "e f"]), keep_ids=False).collect())
-    real = bpe.word_table
-    monkeypatch.setattr(bpe, "word_table", lambda *a: (real(*a)[0].where("word = 'a'"), real(*a)[1]))
-    assert sorted(tuple(r) for r in bpe.encode(make(["a b", "c d", "e f"]), keep_ids=False).collect()) == want
+    real = bpe.chunk_words
+    monkeypatch.setattr(bpe, "chunk_words", lambda *a: (real(*a)[0].where("word = 'a'"), real(*a)[1]))
+    assert sorted(tuple(r) for r in bpe.encode_by_join(make(["a b", "c d", "e f"]), keep_ids=False).collect()) == want
 
 
 def test_top_k_equals_brute_force(spark):
