@@ -1,32 +1,43 @@
 """Exact top-k inner product search by dual-tree traversal of cover trees.
 
-Candidates are dealt to shards and queries to blocks, both of bounded size. Each pair of a shard
-and a block is one group, in which both sides become cover trees: a node has a centre, the radius
-that covers its points, and children whose centres lie apart by half the radius. A pair of nodes
-is pruned when <q, r> + |q| R_r + |r| R_q + R_q R_r, the most any of its points can score, is
-below the worst k-th score in the query node. The groups' k best meet in a rank over each query.
+1. Centres are fitted on a bounded sample of the candidates (at most SAMPLE vectors, CELLS centres of a length, lengths as
+   the sample has them). Every vector goes to the cell of its nearest centre, and every cell's radius is measured over all its
+   vectors. A cell of many vectors is split into shards of bounded size.
+2. Each query is searched in one shard of its own cell. Its k-th best score there is a bound for all that follows.
+3. A query goes on to the shards of those cells alone whose ball can hold as much: <q, c> + |q| R. Nothing else is copied,
+   candidates never are. A task holds one shard and streams its queries, in blocks of neighbours.
+
+A shard and a block both become cover trees: a node has a centre, the radius that covers its points, and
+children whose centres lie apart by half the radius. A pair of nodes is pruned when
+<q, r> + |q| R_r + |r| R_q + R_q R_r, the most any of its points can score, is below the worst k-th score in
+the query node. The shards' k best meet in a rank over each query.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
-only vectors of the same length are compared; a query is a distinct (id, vector), its own id is
+only vectors of the same length are compared; empty tables give no rows; a query is a distinct (id, vector), its own id is
 no candidate; each row is a candidate, so repeated rows appear repeatedly; ties go to the smaller
-id; scores beyond a long are held at its bounds; null ids are left out; extra columns are ignored.
+id; scores beyond a long are held at its bounds; null ids are left out; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadproof.llm.common import table
+from loadproof.llm.common import small_batches, stored, table
 
 K, EVERY, SCALE = 5, 50, 256
-#: Numbers in one shard of candidates and one block of queries, points in a leaf, children of a node.
-SHARD, BLOCK, LEAF, FAN = 1 << 18, 1 << 17, 128, 16
+#: Numbers in one shard of candidates, queries in a block, points in a leaf, children of a node.
+SHARD, BLOCK, LEAF, FAN = 1 << 22, 1024, 128, 16
+#: Cells whose sizes may be sent to all.
+SENT_CELLS = 100_000
+#: Vectors that centres are fitted on; the most centres of a length, and the numbers that a cell should hold at least.
+SAMPLE, CELLS, CELL = 8192, 256, 1 << 17
 
 
 class Node:
@@ -59,11 +70,11 @@ def _products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.array([[min(max(x, -(2**63)), 2**63 - 1) for x in v] for v in whole], np.int64)
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int = K) -> list[list[tuple[int, int]]]:
-    """For each query its k best (score, id), by score downward, then id."""
+def search(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int = K, least: np.ndarray | None = None, tree: Node | None = None) -> list[list[tuple[int, int]]]:
+    """For each query its k best (score, id), by score downward, then id; lower scores than a query's least may be missing."""
     best: list[list[tuple[int, int]]] = [[] for _ in q]  # heaps of (score, -id)
-    worst = np.full(len(q), -np.inf)
-    start = (Node(q, np.arange(len(q)), q.mean(0)), Node(r, np.arange(len(r)), r.mean(0)))
+    worst = np.full(len(q), -np.inf) if least is None else least.copy()
+    start = (Node(q, np.arange(len(q)), q.mean(0)), tree or Node(r, np.arange(len(r)), r.mean(0)))
 
     def bounds(some: list[Node], others: list[Node]) -> np.ndarray:
         """The most that points of each pair of nodes can score, with room for rounding."""
@@ -105,35 +116,157 @@ def search(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k
     return [[(s, -i) for s, i in sorted(h, reverse=True)] for h in best]
 
 
+_TYPES = {ord("h"): "<i2", ord("i"): "<i4", ord("d"): "<f8"}
+
+
+def pack(v: np.ndarray) -> bytes:
+    """A vector of whole numbers in the smallest of three types, named by its first byte."""
+    most = np.abs(v).max()
+    kind = b"h" if most < 1 << 15 else b"i" if most < 1 << 31 else b"d"
+    return kind + v.astype(_TYPES[kind[0]]).tobytes()
+
+
+def unpack(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, _TYPES[x[0]], offset=1).astype(float)
+
+
+def centres_of(sample: list[np.ndarray], n: int) -> dict[int, np.ndarray]:
+    """Centres for each length in the sample, for n vectors in all, by a few rounds of means."""
+    out, rng = {}, np.random.Generator(np.random.PCG64(5))
+    for dim in sorted({len(v) for v in sample}):
+        points = np.array([v for v in sample if len(v) == dim])
+        wanted = min(CELLS, len(points), max(1, n * len(points) // len(sample) * dim // CELL))
+        centres = points[rng.permutation(len(points))[:wanted]]
+        for _ in range(6):
+            own = _nearest(points, centres)[0]
+            counts = np.bincount(own, minlength=wanted)
+            centres = np.array([points[own == i].mean(0) if counts[i] else centres[i] for i in range(wanted)])
+        out[dim] = centres
+    return out
+
+
+def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point and the distance to it, measured by differences."""
+    own = np.argmin((centres**2).sum(1) - 2 * points @ centres.T, axis=1)
+    return own, np.sqrt(((points - centres[own]) ** 2).sum(1))
+
+
+_PLACED = "id long, dim int, cell int, away double, mark long, x binary"
+
+
+def _place(vectors: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """(id, dim, cell, away, mark, x) of (id, v): cell 0 around the origin for lengths without centres; mark tells vectors of one id."""
+    held = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, n = batch.column(1).flatten().to_numpy(), np.diff(batch.column(1).offsets.to_numpy())
+            rows = np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
+            cell, away = np.zeros(len(n), np.int32), np.zeros(len(n))
+            for dim in np.unique(n):
+                at = np.flatnonzero(n == dim)
+                cell[at], away[at] = _nearest(np.array([rows[i] for i in at]), held.value.get(int(dim), np.zeros((1, dim))))
+            packed = [pack(v) for v in rows]
+            mark = [int.from_bytes(hashlib.blake2b(x, digest_size=7).digest(), "little") for x in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(cell), pa.array(away), pa.array(mark, pa.int64()), pa.array(packed, pa.binary())], names=["id", "dim", "cell", "away", "mark", "x"])
+
+    return vectors.mapInArrow(run, _PLACED)
+
+
+def _shard_searches(candidates: DataFrame, queries: DataFrame, parts: int, k: int) -> DataFrame:
+    """(query_id, mark, vec_id, score) of candidates and queries in shards (dim, cell, shard, ord, id, mark, x, least)."""
+    key = ["dim", "cell", "shard"]
+    rows = candidates.select(*key, F.lit(0).alias("side"), "ord", "id", "mark", "x", "least").unionByName(queries.select(*key, F.lit(1).alias("side"), "ord", "id", "mark", "x", "least"))
+    rows = rows.repartition(parts, *key).sortWithinPartitions(*key, "side", "ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, points, block, tree = None, [], [], [], None
+
+        def found() -> pa.RecordBatch:
+            out = []
+            for (i, mark, _, _), best in zip(block, search(np.array([b[0] for b in block]), np.array([b[2] for b in block]), ids, points, k, np.array([b[3] for b in block]), tree), strict=True):
+                out += [(i, mark, c, s) for s, c in best]
+            cols = list(zip(*out, strict=True)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["query_id", "mark", "vec_id", "score"])
+
+        for batch in batches:
+            for dim, cell, shard, side, _, i, mark, x, least in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
+                if (dim, cell, shard) != at:
+                    if block:
+                        yield found()
+                    at, ids, points, block, tree = (dim, cell, shard), [], [], [], None
+                if side == 0:
+                    ids.append(i)
+                    points.append(unpack(x))
+                elif len(ids):
+                    if tree is None:
+                        ids, points = np.array(ids), np.array(points)
+                        tree = Node(points, np.arange(len(points)), points.mean(0))
+                    block.append((i, mark, unpack(x), least))
+                    if len(block) == BLOCK:
+                        yield found()
+                        block = []
+        if block:
+            yield found()
+
+    return rows.mapInArrow(run, "query_id long, mark long, vec_id long, score long")
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
     """(query_id, rank, vec_id, score) over vectors of whole numbers held as doubles."""
-    good = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    spark = candidates.sparkSession
+    small_batches(spark)
+    id_, vector = F.col(f"`{id_col}`"), F.col(f"`{vector_col}`").cast("array<double>")
 
     def take(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias(vector_col)).where(good).toDF("id", "v")
-
-    c, q = take(candidates), take(queries).distinct()
-    n, dim = c.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    n_q = q.count()
-    shards, blocks = max(1, -(-n * dim // SHARD)), max(1, -(-n_q * dim // BLOCK))
-    dealt = lambda seed, m: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    c = c.select("id", "v", F.size("v").alias("dim"), dealt(1, shards).alias("shard"), every(blocks).alias("block"))
-    q = q.select("id", "v", F.size("v").alias("dim"), dealt(2, blocks).alias("block"), every(shards).alias("shard"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, int, int]] = []
-        if left.num_rows and right.num_rows:
-            flat = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-            ids, qs, vs = right.column("id").to_numpy(), flat(right), flat(left)
-            for number, found in enumerate(search(ids, qs, left.column("id").to_numpy(), vs, k)):
-                mark = int.from_bytes(hashlib.blake2b(qs[number].tobytes(), digest_size=7).digest(), "little")
-                rows += [(int(ids[number]), mark, i, s) for s, i in found]
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.table([pa.array(x, pa.int64()) for x in cols], names=["query_id", "mark", "vec_id", "score"])
-
-    keys = ("shard", "block", "dim")
-    found = c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, "query_id long, mark long, vec_id long, score long")
+        good = F.col("v").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+        return df.select(id_.cast("long").alias("id"), vector.alias("v")).where(good)
+
+    c, q = take(candidates), take(queries)
+    n = c.count()
+    sample = [np.array(r["v"]) for r in c.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
+    centres = centres_of(sample, n) if sample else {}
+    placed = stored(_place(c, centres))
+    asked = stored(_place(q, centres).dropDuplicates(["id", "dim", "mark"]))
+    sizes = stored(placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") * F.col("dim") / SHARD).cast("int").alias("shards"), F.max("away").alias("radius")))
+    total = sizes.agg(F.coalesce(F.sum("shards"), F.lit(0)), F.count("*")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total[0])
+    # a row for each cell: at most CELLS for each length of the sample, and one for each rarer length
+    cells = F.broadcast(sizes) if total[1] <= SENT_CELLS else sizes
+    shard_of = lambda: F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard")
+    key, rest = ["dim", "cell"], ["id", "mark", "x"]
+    dealt = placed.join(cells, key).select(*key, shard_of(), F.col("away").alias("ord"), *rest, F.lit(None).cast("double").alias("least"))
+    nothing = F.lit(float("-inf"))
+    own = asked.join(cells, key).select(*key, shard_of(), F.col("away").alias("ord"), *rest, nothing.alias("least"))
+    first = stored(_shard_searches(dealt, own, parts, k))
+    bound = first.groupBy(F.col("query_id").alias("id"), "mark").agg(F.count("*").alias("n"), F.min("score").alias("score")).select("id", "mark", F.when(F.col("n") >= k, F.col("score")).cast("double").alias("least"))
+    known = {(r["dim"], r["cell"]): r["radius"] for r in sizes.where(F.col("dim").isin(sorted(centres))).collect()}  # at most CELLS for each length of the sample
+    balls = spark.sparkContext.broadcast({d: (x, np.array([known.get((d, i), -1.0) for i in range(len(x))])) for d, x in centres.items()})
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query with the cells whose ball can hold as much as its least score; all cells of a length without centres."""
+        for batch in batches:
+            out = []
+            for i, dim, mark, x, least in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if dim in balls.value:
+                    (centre, radius), v = balls.value[dim], unpack(x)
+                    length = np.sqrt(v @ v) * (1 + 1e-12)
+                    inner = centre @ v
+                    top = inner + length * radius * (1 + 1e-12)
+                    top += 1e-9 * (np.abs(top) + length * np.sqrt((centre**2).sum(1))) + 1e-6
+                    out.append(np.flatnonzero((radius >= 0) & ~(top < least)).tolist())
+                else:
+                    out.append([0])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(5)), pa.array(out, pa.list_(pa.int32()))], names=["id", "dim", "mark", "x", "least", "cells"])
+
+    bounded = asked.join(bound, ["id", "mark"], "left").withColumn("least", F.coalesce("least", nothing))
+    reached = bounded.select("id", "dim", "mark", "x", "least").mapInArrow(reach, "id long, dim int, mark long, x binary, least double, cells array<int>")
+    home = asked.select("id", "dim", "mark", F.col("cell").alias("own"))
+    pairs = reached.join(home, ["id", "dim", "mark"]).select(*rest, "dim", "least", "own", F.explode("cells").alias("cell")).join(cells, key)
+    every = pairs.select(*key, "own", *rest, "least", "shards", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    every = every.where((F.col("own") != F.col("cell")) | (F.col("shard") != F.pmod(F.xxhash64("id"), F.col("shards"))))
+    onward = every.select(*key, "shard", F.col("own").cast("double").alias("ord"), *rest, "least")
+    found = first.unionByName(_shard_searches(dealt, onward, parts, k))
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

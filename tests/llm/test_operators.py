@@ -336,7 +336,11 @@ def test_bpe_rows(spark, make, monkeypatch):
     assert sorted(tuple(r) for r in bpe.encode_by_join(make(["a b", "c d", "e f"]), keep_ids=False).collect()) == want
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k_equals_brute_force(spark, monkeypatch, small):
+    if small:  # many cells, each of several shards
+        monkeypatch.setattr(topk, "CELL", 300)
+        monkeypatch.setattr(topk, "SHARD", 60)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-9, 9, 6)]) for i in range(400)] + [(7, [1.0] * 6), (401, None), (402, [None] * 6), (403, [math.nan] * 6), (404, [math.inf] * 6), (405, []), (406, [1.0] * 3), (None, [1.0] * 6)]
     rows += [(500 + i, [2.0**40] * 6) for i in range(3)]
@@ -354,6 +358,27 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_top_k_prunes_cells_of_grouped_vectors(spark, monkeypatch):
+    """Vectors in groups that point apart: a query is copied to few of the cells, and nothing is lost."""
+    monkeypatch.setattr(topk, "CELL", 800)
+    rng = np.random.default_rng(4)
+    groups = rng.integers(-2000, 2000, (20, 8))
+    rows = [(i, [float(x) for x in groups[i % 20] + rng.integers(-20, 20, 8)]) for i in range(2000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    sent, real = [], topk._shard_searches
+    monkeypatch.setattr(topk, "_shard_searches", lambda c, q, *a: (sent.append((q.count(), c.select("dim", "cell", "shard").distinct().count())), real(c, q, *a))[1])
+    got = {}
+    for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    points = np.array([v for _, v in rows])
+    for q in range(0, 2000, 50):
+        scores = points @ points[q]
+        want = sorted(((-int(scores[i]), i) for i in range(2000) if i != q))[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    (seeds, _), (onward, shards) = sent
+    assert seeds == 40 and shards >= 15 and onward < 0.4 * seeds * shards
+
+
 def test_scaled_floor(spark):
     values = [0.1, -0.1, 1.0, -1.0, 0.00390625, -0.00390625, 1e30]
     got = spark.createDataFrame([(values,)], "v array<double>").select(topk.scaled("v").alias("v")).first()["v"]
