@@ -4,14 +4,16 @@ A word here is the text between two spaces, with the space before it. A space th
 non-space always begins a new piece of byte-level BPE, so the ids of a text are the ids of its words, joined by
 position; texts in which a space is followed by white space or by the end are cut only where that holds.
 
-1. Texts are split in Spark; each chunk of up to 2 ** CHUNK rows, which lie together in the input, reports its distinct words.
-2. Each distinct word of all chunks is encoded once. Its ids are joined to the vocabulary's pieces, and the
-   pieces, joined in order, are the word's decoded bytes.
-3. Words are joined back to their chunks by the word, and meet the chunk's texts: sorted together, words
-   first, so a task holds the words of one chunk and streams its texts, which take ids and bytes by position.
+Distinct words are counted over all documents. Those that occur at least twice, the most frequent first up to a
+fixed bound, are encoded once, in Spark; their ids are joined to the vocabulary's pieces, and the pieces, joined
+in order, are the words' decoded bytes. That table, whose size the bound proves, is sent out, and a text takes ids and
+bytes from it by position. What is left (words that occur once, very long words, and words beyond the bound) is
+encoded where it occurs, once for each run of documents: sending such a word to another machine and back
+moves more than it saves.
 
-Chunks are told by the place of rows in their partition. Should a lost task's rows come in another order when
-they are read again, a word that its chunk then lacks is encoded where it stands; the result is the same.
+encode_by_join is the same with joins alone and without a bound: chunks of texts report their distinct words, each
+distinct word is encoded once, and words are joined back to their chunks and meet the chunks' texts. It
+moves several times the input where most words are rare; the README has the figures.
 
 Defined results: a null text counts as empty (no ids); empty tables give no rows; words and texts of any length are
 taken whole; repeated rows give repeated results; extra columns of any name are ignored; the special
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 
 from loadproof.llm.common import small_batches, stored, table
 
+#: The most words in the table that every worker holds, and the most characters of one of them.
+TABLE_WORDS, WORD_CHARS = 500_000, 48
 #: Rows of one chunk, as a power of two; distinct words that a task gathers before it passes them on.
 CHUNK, LOCAL_WORDS = 14, 300_000
 #: Bytes of text in one partition of the last step.
@@ -100,16 +105,18 @@ class Codec:
     def bytes_of(self, packed: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
-    def text(self, text: str, known: dict[str, tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-        """Ids and decoded bytes of a whole text from its words' own, by position; words that aren't known become so."""
+    def text(self, text: str, known: dict[str, tuple[bytes, bytes]], local: dict[str, tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+        """Ids and decoded bytes of a whole text from its words' own, by position; words not known are kept in local."""
         parts = self.parts(text)
         got = list(map(known.get, parts))
         if None in got:
             for i, one in enumerate(got):
                 if one is None:
-                    if (one := known.get(parts[i])) is None:
+                    if (one := local.get(parts[i])) is None:
+                        if len(local) >= LOCAL_WORDS:
+                            local.clear()
                         ids = self.ids(parts[i])
-                        one = known[parts[i]] = (ids, self.bytes_of(ids))
+                        one = local[parts[i]] = (ids, self.bytes_of(ids))
                     got[i] = one
         return b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
 
@@ -144,8 +151,95 @@ def _chunk() -> Column:
     return F.shiftright(F.monotonically_increasing_id(), CHUNK)
 
 
-def word_table(docs: DataFrame, path: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(chunk, word) of the distinct words of each chunk, and (word, ids, bytes) of all distinct words, each encoded and decoded once."""
+def _encoded(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids, bytes) of distinct words: ids by the tokenizer, bytes by the join to the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            ids = [np.frombuffer(c.ids(w), "<i4") for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    ids = stored(words.select("word").mapInArrow(run, "word string, ids array<int>"))
+    return ids.join(_joined(ids, ["word"], vocabulary(words.sparkSession, path)), "word")
+
+
+def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """Distinct words of up to WORD_CHARS characters and how often they occur, over all documents; counted in each task before the shuffle."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(counts: Counter) -> pa.RecordBatch:
+            kept = {w: n for w, n in counts.items() if len(w) <= WORD_CHARS}
+            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
+
+        c, counts = codec(path), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    counts.update(c.parts(text))
+                if len(counts) > LOCAL_WORDS:
+                    yield rows(counts)
+                    counts = Counter()
+        if counts:
+            yield rows(counts)
+
+    return docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_table(docs: DataFrame, path: str, text_col: str = "text", most: int = TABLE_WORDS) -> dict[str, tuple[bytes, bytes]]:
+    """The table of distinct words with their ids and bytes: those that occur twice or more, at most so many."""
+    counts = stored(word_counts(docs, path, text_col).where("n > 1"))
+    least, total = 2, 0
+    capped = F.least("n", F.lit(10_000)).alias("n")
+    for n, words in sorted(((r[0], r[1]) for r in counts.groupBy(capped).count().collect()), reverse=True):
+        if (total := total + words) > most:
+            least = n + 1
+            break
+    got = _encoded(counts.where(F.col("n") >= least), path).toArrow()
+    ids = got.column(1).combine_chunks()
+    values, ends = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    packed = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return dict(zip(got.column(0).to_pylist(), zip(packed, got.column(2).to_pylist(), strict=True), strict=True))
+
+
+def _fields(keep_ids: bool) -> tuple[list, str]:
+    fields = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32()))] if keep_ids else [])]
+    return fields, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+
+
+def _batch(ids: list[int], made: list[tuple[bytes, bytes]], fields: list) -> pa.RecordBatch:
+    """Result rows from documents' ids, packed token ids and decoded bytes."""
+    cols = [
+        pa.array(ids, pa.int64()),
+        pa.array([len(p) // 4 for p, _ in made], pa.int64()),
+        pa.array([hashlib.sha256(p).hexdigest() for p, _ in made], pa.string()),
+        pa.array([hashlib.sha256(b.decode("utf-8", "replace").encode()).hexdigest() for _, b in made], pa.string()),
+    ]
+    if len(fields) > len(cols):
+        cols.append(pa.array([np.frombuffer(p, "<i4") for p, _ in made], pa.list_(pa.int32())))
+    return pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))
+
+
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, most: int = TABLE_WORDS) -> DataFrame:
+    """One row per document: id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids."""
+    spark: SparkSession = docs.sparkSession
+    small_batches(spark)
+    path = path or default_path()
+    held = spark.sparkContext.broadcast(word_table(docs, path, text_col, most))
+    fields, schema = _fields(keep_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, known, local = codec(path), held.value, {}
+        for batch in batches:
+            yield _batch(batch.column(0).to_pylist(), [c.text(t, known, local) if t else (b"", b"") for t in batch.column(1).to_pylist()], fields)
+
+    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return out.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def chunk_words(docs: DataFrame, path: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(chunk, word) of the distinct words of each chunk of rows that lie together, and (word, ids, bytes) of all distinct words."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,23 +256,20 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text") -> tuple[Data
         if seen:
             yield rows()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch in batches:
-            ids = [np.frombuffer(c.ids(w), "<i4") for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
     pairs = stored(docs.select(_chunk().alias("chunk"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "chunk long, word string"))
-    ids = stored(pairs.select("word").distinct().mapInArrow(encoded, "word string, ids array<int>"))
-    return pairs, ids.join(_joined(ids, ["word"], vocabulary(docs.sparkSession, path)), "word")
+    return pairs, _encoded(pairs.distinct().select("word").distinct(), path)
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """One row per document: id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids."""
+def encode_by_join(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """As encode, with joins alone.
+
+    A chunk's words and texts are sorted together, words first, so a task holds the words of one chunk and streams its
+    texts. Chunks are told by the place of rows in their partition; should a lost task's rows come in another order
+    when they are read again, a word that its chunk then lacks is encoded where it stands, with the same result.
+    """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     path = path or default_path()
-    pairs, words = word_table(docs, path, text_col)
+    pairs, words = chunk_words(docs, path, text_col)
     text = F.col(f"`{text_col}`").cast("string")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PART_BYTES) + 1)
@@ -186,38 +277,23 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     of_words = pairs.join(words, "word").select("chunk", F.lit(0).alias("kind"), none.cast("long").alias("id"), F.col("word").alias("text"), "ids", "bytes")
     of_texts = docs.select(_chunk().alias("chunk"), F.lit(1).alias("kind"), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), none.cast("array<int>").alias("ids"), none.cast("binary").alias("bytes"))
     met = of_words.unionByName(of_texts).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
-    fields = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32()))] if keep_ids else [])]
+    fields, schema = _fields(keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, known, at = codec(path), {}, None
+        c, known, local, at = codec(path), {}, {}, None
         for batch in batches:
-            chunk, kind, ids, text = (batch.column(i).to_pylist() for i in range(4))
-            n_words = kind.count(0)
-            if n_words:
-                flat = batch.column(4)
-                values, ends = flat.flatten().to_numpy().astype("<u4"), flat.offsets.to_numpy()
-                packed = [values[a - ends[0] : b - ends[0]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                pieces = batch.column(5).to_pylist()
-            rows = []
-            for i in range(len(kind)):
-                if chunk[i] != at:
-                    known, at = {}, chunk[i]
-                if kind[i] == 0:
-                    known[text[i]] = (packed[i], pieces[i])
+            rows, made = [], []
+            for chunk, kind, own, text, ids, piece in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if chunk != at:
+                    known, local, at = {}, {}, chunk
+                if kind == 0:
+                    known[text] = (np.array(ids, "<u4").tobytes(), piece)
                 else:
-                    rows.append((ids[i], *(c.text(text[i], known) if text[i] else (b"", b""))))
+                    rows.append(own)
+                    made.append(c.text(text, known, local) if text else (b"", b""))
             if rows:
-                cols = [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([len(r[1]) // 4 for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string()),
-                    pa.array([hashlib.sha256(r[2].decode("utf-8", "replace").encode()).hexdigest() for r in rows], pa.string()),
-                ]
-                if keep_ids:
-                    cols.append(pa.array([np.frombuffer(r[1], "<i4") for r in rows], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))
-
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+                yield _batch(rows, made, fields)
+
     return met.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
