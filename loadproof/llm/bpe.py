@@ -39,6 +39,8 @@ from loadproof.llm.common import small_batches, stored, table
 TABLE_WORDS, WORD_CHARS = 500_000, 48
 #: Rows of one chunk, as a power of two; distinct words that a task gathers before it passes them on.
 CHUNK, LOCAL_WORDS = 14, 300_000
+#: Words outside the table that a task remembers.
+CACHED_WORDS = 100_000
 #: Bytes of text in one partition of the last step.
 PART_BYTES = 64_000_000
 
@@ -105,20 +107,33 @@ class Codec:
     def bytes_of(self, packed: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
-    def text(self, text: str, known: dict[str, tuple[bytes, bytes]], local: dict[str, tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    def text(self, text: str, known: dict[str, bytes], local: dict[str, bytes]) -> tuple[bytes, bytes]:
         """Ids and decoded bytes of a whole text from its words' own, by position; words not known are kept in local."""
         parts = self.parts(text)
-        got = list(map(known.get, parts))
+        got: list = list(map(known.get, parts))
         if None in got:
+            long = False
             for i, one in enumerate(got):
                 if one is None:
                     if (one := local.get(parts[i])) is None:
-                        if len(local) >= LOCAL_WORDS:
-                            local.clear()
                         ids = self.ids(parts[i])
-                        one = local[parts[i]] = (ids, self.bytes_of(ids))
+                        one = packed(ids, self.bytes_of(ids))
+                        if len(one) > 1:
+                            long = True
+                        else:
+                            if len(local) >= CACHED_WORDS:
+                                local.clear()
+                            one = local[parts[i]] = one[0]
                     got[i] = one
-        return b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
+            if long:
+                got = [x for one in got for x in (one if type(one) is list else (one,))]
+        return b"".join([x[1 : 1 + 4 * x[0]] for x in got]), b"".join([x[1 + 4 * x[0] :] for x in got])
+
+
+def packed(ids: bytes, decoded: bytes) -> list[bytes]:
+    """A word's ids and bytes as one value (number of ids, ids, bytes), which takes half the memory of two; several for more than 255 ids."""
+    runs = [ids[i : i + 1020] for i in range(0, len(ids), 1020)] or [b""]
+    return [bytes([len(r) // 4]) + r + (b"" if k else decoded) for k, r in enumerate(runs)]
 
 
 @lru_cache(maxsize=2)
@@ -187,8 +202,8 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     return docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(docs: DataFrame, path: str, text_col: str = "text", most: int = TABLE_WORDS) -> dict[str, tuple[bytes, bytes]]:
-    """The table of distinct words with their ids and bytes: those that occur twice or more, at most so many."""
+def word_table(docs: DataFrame, path: str, text_col: str = "text", most: int = TABLE_WORDS) -> dict[str, bytes]:
+    """The table of distinct words with their ids and bytes, packed: those that occur twice or more, at most so many."""
     counts = stored(word_counts(docs, path, text_col).where("n > 1"))
     least, total = 2, 0
     capped = F.least("n", F.lit(10_000)).alias("n")
@@ -199,8 +214,8 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", most: int = T
     got = _encoded(counts.where(F.col("n") >= least), path).toArrow()
     ids = got.column(1).combine_chunks()
     values, ends = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-    packed = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return dict(zip(got.column(0).to_pylist(), zip(packed, got.column(2).to_pylist(), strict=True), strict=True))
+    values_ = (packed(values[a:b].tobytes(), x)[0] for a, b, x in zip(ends[:-1], ends[1:], got.column(2).to_pylist(), strict=True))
+    return dict(zip(got.column(0).to_pylist(), values_, strict=True))  # up to WORD_CHARS characters are at most 192 ids
 
 
 def _fields(keep_ids: bool) -> tuple[list, str]:
@@ -287,7 +302,8 @@ def encode_by_join(docs: DataFrame, path: str | None = None, id_col: str = "doc_
                 if chunk != at:
                     known, local, at = {}, {}, chunk
                 if kind == 0:
-                    known[text] = (np.array(ids, "<u4").tobytes(), piece)
+                    if len(ids) < 256:
+                        known[text] = packed(np.array(ids, "<u4").tobytes(), piece)[0]
                 else:
                     rows.append(own)
                     made.append(c.text(text, known, local) if text else (b"", b""))
