@@ -672,6 +672,16 @@ def list_partition_load(spark, d):
     return sinks.read_table(spark, target).groupBy(F.col("list").cast("int").alias("list")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT 8::BIGINT partitions, 8::BIGINT populated, count(*) n FROM orders")
+def hash_partition_load(spark, d):
+    """Orders loaded in eight hash partitions: every row in one of them, and none of them empty."""
+    rows = read(spark, d, "orders").select("o_orderkey", sinks.partition_column("hash", "o_orderkey", 8).alias("part"))
+    sinks.load_table(rows, rows.limit(0).withColumn("reason", F.lit("")), target := new_path(spark), ["part"])
+    until_exit(spark, target)
+    counts = profile.partition_counts(sinks.read_table(spark, target), "part", spark.createDataFrame([(f"p{i}",) for i in range(8)], "part string"))
+    return counts.agg(F.count("*").alias("partitions"), F.count_if("populated").alias("populated"), F.sum("n").alias("n"))
+
+
 @query("""SELECT event_id, regexp_extract(props, '"k": ([0-9]+)', 1) k, CAST(NULL AS VARCHAR) other FROM events""")
 def json_path_values(spark, d):
     return read(spark, d, "events").select("event_id", json_text(F.col("props"), "$.k").alias("k"), json_text(F.col("props"), "$.none.of").alias("other"))
