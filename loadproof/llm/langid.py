@@ -37,12 +37,17 @@ DOCS, SEGMENTS, WORDS, SPLICED = 300, 8, 12, 3
 BUCKETS, LOCAL_WORDS, STEP, SALTS = 1 << 17, 200_000, 64, 64
 
 #: Characters that Python counts to words, but that are numbers: fractions, powers, Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    if not low.isascii():
+        # in the pattern, each of so many characters would be tried for each character of the text
+        for c in _NUMBERS.intersection(set(low)):
+            low = low.replace(c, " ")
+    return _WORD.findall(low)
 
 
 def features(word: str) -> list[int]:
