@@ -41,13 +41,18 @@ _NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodeda
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> list[str]:
+def _lowered(text: str | None) -> str:
+    """The text in lower case, with a space for each numeral, so that places stay."""
     low = (text or "").lower()
     if not low.isascii():
         # in the pattern, each of so many characters would be tried for each character of the text
         for c in _NUMBERS.intersection(set(low)):
             low = low.replace(c, " ")
-    return _WORD.findall(low)
+    return low
+
+
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(_lowered(text))
 
 
 def features(word: str) -> list[int]:
@@ -280,7 +285,7 @@ def label_words(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache, rows = held.value, {}, []
         for batch in batches:
-            texts = [(t or "").lower() for t in batch.column(1).to_pylist()]
+            texts = list(map(_lowered, batch.column(1).to_pylist()))
             found = [
                 [{"start": w.start(), "word": w[0], "lang": m.labels[int(q.argmax())], "p": float(q.max())} for w, q in zip(_WORD.finditer(t), p, strict=True)]
                 for t, p in zip(texts, m.label(texts, cache, rows), strict=True)
