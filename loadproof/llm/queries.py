@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loadproof.llm import bpe, decontaminate, html, jaccard, langid, licenses, pii, secrets, topk, toxicity
+from loadproof.llm import bpe, decontaminate, html, jaccard, langid, licenses, minhash, pii, secrets, topk, toxicity
 
 QUERIES = {
     "op2_html_extraction": html.op2_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op8_secret_scans": secrets.op8_secret_scans,
+    "op11_minhash_near_dedup": minhash.op11_minhash_near_dedup,
 }
 
 ORACLES = {
