@@ -57,12 +57,12 @@ _MUL = _RNG.integers(0, 2**64, BINS, dtype=_U) | _U(1)
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A row of BINS values for each set, which must not be empty: the least hash of each bin, empty bins densified."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if len(sets) else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     # a set's hashes ascend, and with them its bins, so the first of each bin is its least
     slot = owner * BINS + (((flat.view(_U) >> _U(28)) * _U(BINS)) >> _U(32)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else slot
+    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])[: len(slot)])
     out = np.zeros(len(sets) * BINS, np.int64)
     filled = np.zeros(len(sets) * BINS, bool)
     out[slot[first]] = flat[first]
