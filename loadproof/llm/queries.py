@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loadproof.llm import bpe, decontaminate, html, jaccard, langid, licenses, minhash, pii, secrets, topk, toxicity
+from loadproof.llm import bpe, decontaminate, html, jaccard, langid, licenses, minhash, pii, planes, secrets, topk, toxicity, whitening
 
 QUERIES = {
     "op2_html_extraction": html.op2_html_extraction,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op11_minhash_near_dedup": minhash.op11_minhash_near_dedup,
+    "op12_centroid_clustering": planes.op12_centroid_clustering,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLES = {
@@ -23,4 +25,5 @@ ORACLES = {
     "op6_exact_top_k": topk.OP6_SQL,
     "op9_benchmark_decontamination": decontaminate.OP9_SQL,
     "op8_secret_scans": secrets.OP8_SQL,
+    "op12_centroid_clustering": planes.OP12_SQL,
 }
