@@ -14,28 +14,10 @@ from loadproof.functions.text import instant, json_text, same_items, split_quali
 from loadproof.model import Edge
 from loadproof.operators import cast, compare, graph, keys, profile, refs
 from loadproof.plans import ledger, policy, report
+from loadproof.registry import ORACLES, QUERIES, TABLES, query, read  # noqa: F401 - the registry is read here
 from loadproof.sources import catalog, dump, sinks
 from loadproof.sources.scratch import new_path, stored, until_exit
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 ORDERS_CUSTOMER = Edge("orders_customer", "orders", ("o_custkey",), "customer", ("c_custkey",), ("o_orderkey",))
 
 
@@ -199,7 +181,7 @@ def _text_sql(t: str, cols: list[str], where: str = "true") -> str:
 
 
 def _form(c: str) -> str:
-    return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if c.endswith("date") else f"CAST({c} AS VARCHAR)"
+    return f"CAST({c} AS VARCHAR)"
 
 
 _COLUMNS = {
@@ -571,8 +553,7 @@ def dump_load_roundtrip(spark, d):
     lines = read(spark, d, "lineitem")
     dump.dump_lines(lines, "dba", "lineitem").write.text(files := new_path(spark))
     rows = dump.scan_objects(spark, files).where("owner = 'dba' AND cls = 'lineitem'")
-    good, bad = dump.decode_rows(rows, dict(lines.dtypes))
-    sinks.load_table(good, bad, target := new_path(spark))
+    sinks.load_decoded(dump.decode(rows.select("file", "line"), dict(lines.dtypes)), target := new_path(spark), file_col="file")
     for path in (files, target):
         until_exit(spark, path)
     return sinks.read_table(spark, target)
@@ -600,18 +581,18 @@ def statement_scan(spark, d):
     return dump.scan_statements(spark, files).select("table", "name", "kind")
 
 
-@query("""SELECT 'orphan' record, 'orders_customer' edge, 'o_orderkey=' || o_orderkey subject, 'o_custkey=' || o_custkey detail, 'r1' run_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey = o_custkey)
-UNION ALL SELECT 'orphan', 'orders_customer', 'o_orderkey=' || o_orderkey, 'o_custkey=' || o_custkey, 'r2' FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 0 AND c_custkey = o_custkey)
-UNION ALL SELECT 'repair', 'fk', 'orders', 'ALTER', unnest(['r1', 'r2'])""")
+@query("""SELECT 'orphan' record, 'orders_customer' edge, 'o_orderkey=' || o_orderkey subject, 'o_custkey=' || o_custkey detail, '007' run_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey = o_custkey)
+UNION ALL SELECT 'orphan', 'orders_customer', 'o_orderkey=' || o_orderkey, 'o_custkey=' || o_custkey, '7' FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 0 AND c_custkey = o_custkey)
+UNION ALL SELECT 'repair', 'fk', 'orders', 'ALTER', unnest(['007', '7'])""")
 def exceptions_of_runs(spark, d):
     """Two runs' records; the first run is written again and replaces its own records alone."""
     orders, customers = read(spark, d, "orders"), read(spark, d, "customer")
     repairs = spark.createDataFrame([("orders", "fk", "ALTER")], "table string, name string, ddl string")
     path = new_path(spark)
-    for run, where in (("r1", "true"), ("r2", "c_acctbal > 0"), ("r1", "c_mktsegment <> 'BUILDING'")):
+    for run, where in (("007", "true"), ("7", "c_acctbal > 0"), ("007", "c_mktsegment <> 'BUILDING'")):
         sinks.write_exceptions(refs.fk_orphans(orders, customers.where(where), ORDERS_CUSTOMER), repairs, path, run)
     until_exit(spark, path)
-    return spark.read.parquet(path).select("record", "edge", "subject", "detail", F.col("run_id").cast("string").alias("run_id"))
+    return sinks.read_exceptions(spark, path)
 
 
 @query(f"""WITH r AS (SELECT 'u' || user_id run_id, attempt, event_id seq, event_type phase FROM events, (VALUES (1), (2)) a(attempt) WHERE attempt = 1 OR value > 50)
@@ -704,3 +685,6 @@ def collection_equality(spark, d):
     some = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col("l_linenumber") % 2 == r, F.struct("l_linenumber", "l_returnflag")))), lambda x: x["l_returnflag"])
     both = read(spark, d, "lineitem").groupBy("l_orderkey").agg(some(0).alias("a"), some(1).alias("b"))
     return both.select("l_orderkey", *[same_items(F.col("a"), F.col("b"), k).alias(f"same_{k}") for k in ("set", "multiset", "sequence")])
+
+
+from loadproof import catalogue_store  # noqa: E402,F401 - registers the queries of dumps, stores and sketches

@@ -46,27 +46,32 @@ def utc_text(ts: Column) -> Column:
 def canonical(df: DataFrame) -> Column:
     """One text for a row that equal rows share and unequal rows of the same types don't.
 
-    Each value is led by its length in bytes, so that no value can look like two; null has a mark of its
-    own. Floating-point values are written in full, zero without sign; times to the microsecond; maps in the
-    order of their keys.
+    Each value is led by its length in bytes, and so is each member of an array, a struct or a map, so that no value can look like two; null has
+    a mark of its own. Floating-point values are written in full, zero without sign; instants as microseconds since the epoch,
+    whatever the session's zone; times without zone as written; maps in the order of their entries' texts.
     """
-
-    def one(f: T.StructField) -> Column:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DoubleType | T.FloatType):
-            c = F.when(c == 0, F.lit("0.0")).otherwise(c.cast("string"))
-        elif isinstance(f.dataType, T.TimestampType | T.TimestampNTZType):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        elif isinstance(f.dataType, T.BinaryType):
-            c = F.hex(c)
-        elif isinstance(f.dataType, T.MapType):
-            c = F.to_json(F.array_sort(F.map_entries(c)))
-        elif isinstance(f.dataType, T.ArrayType | T.StructType):
-            c = F.to_json(c)
-        c = c.cast("string")
-        return F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("~"))
-
-    return F.concat(*[one(f) for f in df.schema]) if df.columns else F.lit("")
+    return F.concat(*[_led(_value(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema]) if df.columns else F.lit("")
+
+
+def _led(text: Column) -> Column:
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+
+
+def _value(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.when(c == 0, F.lit("0.0")).otherwise(c.cast("string"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(c, lambda x: _led(_value(x, kind.elementType))), "")
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.concat(F.lit(""), *[_led(_value(c[f.name], f.dataType)) for f in kind]))
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.concat(_led(_value(e["key"], kind.keyType)), _led(_value(e["value"], kind.valueType)))
+        return F.array_join(F.array_sort(F.transform(F.map_entries(c), entry)), "")
+    return c.cast("string")
 
 
 def json_text(col: Column, path: str) -> Column:

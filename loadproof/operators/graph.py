@@ -8,6 +8,7 @@ stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -137,6 +138,25 @@ def level_sets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", "level")
 
 
+def hierarchy_depths(edges: DataFrame) -> DataFrame:
+    """(node, depth): the longest path down from a node without parents, by one recursive query; for shallow hierarchies.
+
+    An edge back to a node of its own path isn't followed, so cycles end; nodes that no root reaches are left out. Rows of a level are
+    those of its paths, so a graph with very many paths is for level_sets.
+    """
+    spark, name = edges.sparkSession, f"edges_{uuid.uuid4().hex}"
+    edges.select("child", "parent").where("child <> parent").distinct().createOrReplaceTempView(name)
+    try:
+        return spark.sql(
+            f"""WITH RECURSIVE w (node, depth, path) AS (
+              SELECT DISTINCT parent, 0, array(parent) FROM {name} e LEFT ANTI JOIN (SELECT child FROM {name}) c ON e.parent = c.child
+              UNION ALL SELECT e.child, w.depth + 1, array_append(w.path, e.child) FROM w JOIN {name} e ON e.parent = w.node WHERE NOT array_contains(w.path, e.child))
+            SELECT node, max(depth) AS depth FROM (SELECT * FROM w LIMIT ALL) GROUP BY node"""
+        )
+    finally:
+        spark.catalog.dropTempView(name)
+
+
 def check_levels(levels: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose parent isn't on a lower level than the child, or with an end on no level."""
     of = lambda side: levels.select(F.col("node").alias(side), F.col("level").alias(f"{side}_level"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,3 +33,23 @@ def serial_check(df: DataFrame, col: str, current: DataFrame) -> DataFrame:
     """Whether a serial's current value (one row, column `current`) has reached the largest value loaded."""
     both = df.agg(F.max(col).cast("long").alias("max_value"), F.lit(None).cast("long").alias("current")).unionByName(current.select(F.lit(None).cast("long").alias("max_value"), F.col("current").cast("long")))
     return both.agg(F.max("max_value").alias("max_value"), F.max("current").alias("current")).withColumn("ok", F.coalesce(F.col("current") >= F.col("max_value"), F.col("max_value").isNull()))
+
+
+def all_key_violations(df: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(name, key, n): values of several candidate keys of a table that occur more than once, all in one scan by grouping sets.
+
+    keys: columns by the key's name. Incomplete keys are exempt. Each row is expanded to one for each key, which is counted before the shuffle.
+    """
+    names, cols = list(keys), sorted({c for k in keys.values() for c in k})
+    sets = [[F.col(f"`{c}`") for c in keys[name]] for name in names]
+    # a column that a set lacks is null in its rows, so the sets are told apart by the number of those that are missing
+    out = df.groupingSets(sets, *[F.col(f"`{c}`") for c in cols]).agg(F.count("*").alias("n"), F.grouping_id(*[F.col(f"`{c}`") for c in cols]).alias("_set"))
+    missing = lambda name: sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in keys[name])
+    if len({missing(n) for n in names}) < len(names):
+        raise ValueError("two keys have the same columns")
+    label = text = None
+    for name in names:
+        hit = (F.col("_set") == missing(name)) & complete_key(keys[name])
+        label = F.when(hit, name) if label is None else label.when(hit, name)
+        text = F.when(hit, render_key(keys[name])) if text is None else text.when(hit, render_key(keys[name]))
+    return out.where("n > 1").select(label.alias("name"), text.alias("key"), "n").where("name IS NOT NULL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,11 @@ def largest(counts: DataFrame, k: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), "table").limit(k)
 
 
+def name_order(named: DataFrame, col: str) -> DataFrame:
+    """The rows of a catalog's size with their place by name, `order`, from 1; what lists them first has no say. One task orders them."""
+    return named.withColumn("order", F.row_number().over(Window.orderBy(col)).cast("long"))
+
+
 def empty_probe(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table, is_empty); each probe ends at its first row."""
     return reduce(DataFrame.unionByName, (df.limit(1).agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), (F.col("n") == 0).alias("is_empty")) for name, df in tables.items()))

@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadproof.functions.text import complete_key, render_key
 from loadproof.model import Edge
+from loadproof.sources.scratch import stored
 
 
 def _anti(child: DataFrame, parent: DataFrame, edge: Edge, how: str = "left_anti") -> DataFrame:
@@ -86,3 +87,48 @@ def fk_check_multi(child: DataFrame, parents: Mapping[str, DataFrame], edges: Se
 def repair_drop_orphans(child: DataFrame, parent: DataFrame, edge: Edge) -> DataFrame:
     """The child without its orphans: rows with a parent, and rows whose key is incomplete."""
     return _anti(child, parent, edge, "left_semi").unionByName(child.where(~complete_key(edge.child_columns)))
+
+
+#: Keys that the sketch of frequent keys follows, and the share of all rows from which a key counts as hot.
+FOLLOWED, HOT_SHARE = 1000, 0.001
+
+
+def hot_keys(child: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The complete keys that a thousandth of the rows or more may have, at most FOLLOWED, by a sketch of one pass.
+
+    The sketch never undercounts by more than its own error, so a key of that share is in it; a few others may be too, which does no harm.
+    """
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(cols)])
+    whole = child.where(complete_key(cols)).select(F.to_json(key).alias("key"), key.alias("k"))
+    # keys travel as JSON, since the sketch takes texts
+    counts = whole.agg(F.expr(f"approx_top_k(key, {FOLLOWED}, {FOLLOWED * 10})").alias("top"), F.count("*").alias("n"))
+    top = counts.select(F.explode("top").alias("t"), "n").where(F.col("t.count") >= F.col("n") * HOT_SHARE)
+    schema = child.select(key.alias("k")).schema["k"].dataType
+    return top.select(F.from_json("t.item", schema).alias("k")).select(*[F.col(f"k.k{i}").alias(f"_k{i}") for i in range(len(cols))])
+
+
+def orphans_with_hot_keys(child: DataFrame, parent: DataFrame, edge: Edge) -> DataFrame:
+    """orphan_rows for children some of whose keys have very many rows.
+
+    Hot keys are looked up once each among the parents, and what is known of them is sent to all, so that their rows never
+    move; all other rows meet the parents by a shuffle, in which no key has more than a thousandth of the rows.
+    """
+    n = range(len(edge.child_columns))
+    hot = stored(hot_keys(child, edge.child_columns).distinct())
+    keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(edge.parent_columns)])
+    absent = stored(hot.join(keys, reduce(and_, (F.col(f"_k{i}") == F.col(f"_p{i}") for i in n)), "left_anti"))
+    examined = child.where(complete_key(edge.child_columns))
+    same = reduce(and_, (F.col(c) == F.col(f"_k{i}") for i, c in enumerate(edge.child_columns)))
+    of_hot = examined.join(F.broadcast(absent), same, "left_semi")
+    rest = examined.join(F.broadcast(hot), same, "left_anti")
+    return of_hot.unionByName(rest.join(keys, reduce(and_, (F.col(c) == F.col(f"_p{i}") for i, c in enumerate(edge.child_columns))), "left_anti"))
+
+
+def bucketed_orphans(spark: SparkSession, child_table: str, parent_table: str, edge: Edge) -> DataFrame:
+    """orphan_rows of two saved tables in as many buckets of the edge's columns; their buckets meet without a shuffle.
+
+    Both tables are those of sinks.write_bucketed; the join is told to merge them as they are sorted, since a broadcast would read the parent whole in
+    every executor.
+    """
+    parent = spark.table(parent_table).hint("merge")
+    return _anti(spark.table(child_table), parent, edge)

@@ -1,11 +1,12 @@
-"""Relational dumps as tables: rosters of files, row blocks, literals, repair statements."""
+"""Relational dumps as tables: rosters of files, repair statements, lines of a table; rows are in blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loadproof.sources.blocks import decode, decode_rows, scan_objects  # noqa: F401 - a dump's rows
 
 #: File-name endings and the roles they mean, longest first.
 ROLES = (
@@ -83,92 +84,6 @@ def listed_files(spark: SparkSession, roster: DataFrame) -> DataFrame:
     return lines.where("base <> ''")
 
 
-#: Headers, one or more for each split, that may be sent to all; more are dealt by split.
-SENT_HEADERS = 200_000
-
-
-def scan_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, owner, cls, cols, line): each data line with the nearest `%class` header above it.
-
-    A line's place is its split's offset and its number within the split, so files are read in
-    parallel and large ones in pieces. A split's lines meet only the headers within it and the last one
-    before it. These few rows are counted: so long as there are at most SENT_HEADERS they are sent to all, beyond that both
-    sides are dealt by split, which bounds what meets in one task.
-    """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("line"))
-    is_head = F.col("line").startswith("%class")
-    splits = lines.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.when(is_head, F.struct("k", "line")))).alias("own"))
-    # one row for each split of a file in this window
-    before = F.last(F.when(F.size("own") > 0, F.element_at("own", -1)["line"]), ignorenulls=True).over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    all_ = F.concat(F.array(F.struct(F.lit(-1).cast("long").alias("k"), F.col("before").alias("line"))), F.col("own"))
-    each = splits.withColumn("before", before).select("file", "at", F.posexplode(all_).alias("n", "h"), all_.alias("all"))
-    head = r"^%class\s+(?:\[([^\]]*)\]\.)?\[([^\]]*)\]\s*\((.*)\)\s*$"
-    text = F.col("h.line")
-    heads = each.where(text.isNotNull()).select(
-        F.col("file").alias("_file"), F.col("at").alias("_at"), F.col("h.k").alias("_from"), F.get("all", F.col("n") + 1)["k"].alias("_to"),
-        F.nullif(F.lower(F.regexp_extract(text, head, 1)), F.lit("")).alias("owner"), F.lower(F.regexp_extract(text, head, 2)).alias("cls"), F.regexp_extract_all(F.regexp_extract(text, head, 3), F.lit(r"\[([^\]]*)\]"), F.lit(1)).alias("cols"),
-    )
-    if heads.count() <= SENT_HEADERS:
-        heads = F.broadcast(heads)
-    data = lines.where(~F.col("line").startswith("%") & (F.trim("line") != ""))
-    within = (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_at")) & (F.col("k") > F.col("_from")) & (F.col("_to").isNull() | (F.col("k") < F.col("_to")))
-    return data.join(heads, within).select("file", "owner", "cls", "cols", "line")
-
-
-#: One literal: quoted with doubled quotes, X'..' or N'..', a collection, or a bare token.
-#: Its loops are possessive, which the JVM runs without recursion, so that a literal may be of any length.
-_QUOTED = r"'[^']*+(?:''[^']*+)*+'"
-LITERAL = rf"[XN]?{_QUOTED}|\{{(?:[^'{{}}]++|{_QUOTED})*+\}}|[^\s'{{}}]++"
-
-
-def literals(line: Column) -> Column:
-    """A data line's literals, as written."""
-    return F.regexp_extract_all(line, F.lit(LITERAL), F.lit(0))
-
-
-def literal_value(literal: Column) -> Column:
-    """A literal's text; bare NULL is null, quoted 'NULL' is not."""
-    inner = lambda skip: F.replace(F.substr(literal, F.lit(skip + 1), F.length(literal) - skip - 1), F.lit("''"), F.lit("'"))
-    prefixed = literal.startswith("X'") | literal.startswith("N'")
-    return F.when(literal == "NULL", None).when(prefixed, inner(2)).when(literal.startswith("'"), inner(1)).otherwise(literal)
-
-
-def decode_rows(rows: DataFrame, types: Mapping[str, str], line_col: str = "line") -> tuple[DataFrame, DataFrame]:
-    """(good, rejects) of data lines by declared column types, in column order.
-
-    Types are Spark's, and `set<t>`, `multiset<t>`, `sequence<t>` for collections, `bit` for X'..'.
-    A line with a wrong number of literals, with text that is no literal, or one that doesn't cast, is
-    rejected with its reason.
-    """
-    raw = rows.withColumn("_l", literals(F.col(line_col)))
-    written = F.length(F.regexp_replace(F.col(line_col), r"\s++", ""))
-    taken = F.aggregate(F.transform("_l", lambda x: F.length(F.regexp_replace(x, r"\s++", ""))), F.lit(0), lambda a, n: a + n)
-    values, reasons = {}, [F.when(taken < written, "an open quote or bracket"), F.when(F.size("_l") != len(types), F.concat(F.size("_l").cast("string"), F.lit(f" values for {len(types)} columns")))]
-    for i, (name, kind) in enumerate(types.items()):
-        lit = F.get("_l", F.lit(i))
-        text = literal_value(lit)
-        outer, _, inner = kind.partition("<")
-        if inner:
-            items = _items(lit, inner.rstrip(">"))
-            items = {"set": F.array_sort(F.array_distinct(items)), "multiset": F.array_sort(items)}.get(outer, items)
-            values[name] = F.when(lit != "NULL", items)
-        elif kind == "bit":
-            values[name] = F.when(lit.startswith("X'"), F.expr(f"try_to_binary(_l_text{i}, 'hex')"))
-            raw = raw.withColumn(f"_l_text{i}", text)
-        else:
-            values[name] = text if kind == "string" else text.try_cast(kind)
-        reasons.append(F.when(text.isNotNull() & values[name].isNull(), f"{name}: not a {kind}"))
-    marked = raw.withColumn("_bad", F.array_compact(F.array(*reasons))).withColumns({f"_v{i}": v for i, v in enumerate(values.values())})
-    good = marked.where(F.size("_bad") == 0).select(*[F.col(f"_v{i}").alias(n) for i, n in enumerate(types)])
-    return good, marked.where(F.size("_bad") > 0).select(*rows.columns, F.array_join("_bad", "; ").alias("reason"))
-
-
-def _items(literal: Column, kind: str) -> Column:
-    inner = F.substr(literal, F.lit(2), F.length(literal) - 2)
-    parts = F.regexp_extract_all(inner, F.lit(rf"[XN]?{_QUOTED}|[^\s',]++"), F.lit(0))
-    return F.transform(parts, lambda x: literal_value(x).try_cast(kind))
-
-
 def scan_statements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, ord, table, name, kind, ddl): constraints that schema texts add, cut at semicolons.
 
@@ -191,21 +106,24 @@ def size_profile(roster: DataFrame) -> DataFrame:
 
 
 def dump_lines(df: DataFrame, owner: str, cls: str) -> DataFrame:
-    """The rows of a table as lines of an objects file, each partition led by its header: texts quoted, arrays as sequences, binary as X'..'."""
-    quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
-
-    def one(name: str, kind: str) -> Column:
-        c = F.col(f"`{name}`")
-        if kind == "binary":
-            text = F.concat(F.lit("X'"), F.hex(c), F.lit("'"))
-        elif kind.startswith("array<"):
-            text = F.concat(F.lit("{"), F.array_join(F.transform(c, lambda x: F.coalesce(quoted(x) if kind == "array<string>" else x.cast("string"), F.lit("NULL"))), ","), F.lit("}"))
+    """The rows of a table as lines of an objects file, each partition led by its header.
+
+    Texts and times are quoted, numbers bare, binary is X'..', arrays of any depth are collections. Line breaks in texts stay as they are.
+    """
+
+    def text(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType):
+            out = F.concat(F.lit("{"), F.array_join(F.transform(c, lambda x: text(x, kind.elementType)), ","), F.lit("}"))
+        elif isinstance(kind, T.BinaryType):
+            out = F.concat(F.lit("X'"), F.hex(c), F.lit("'"))
+        elif isinstance(kind, T.NumericType):
+            out = c.cast("string")
         else:
-            text = c.cast("string") if kind in ("int", "bigint", "smallint", "double", "float") or kind.startswith("decimal") else quoted(c.cast("string"))
-        return F.coalesce(text, F.lit("NULL"))
+            out = F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+        return F.coalesce(out, F.lit("NULL"))
 
     header = f"%class [{owner}].[{cls}] ({' '.join(f'[{c}]' for c in df.columns)})"
-    line = F.concat_ws(" ", *[one(n, k) for n, k in df.dtypes])
+    line = F.concat_ws(" ", *[text(F.col(f"`{f.name}`"), f.dataType) for f in df.schema])
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     return df.select(F.concat(F.when(first, header + "\n").otherwise(""), line).alias("value"))
 

@@ -2,44 +2,80 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loadproof.functions.text import human_bytes  # noqa: F401 - part of the sinks' reports
-from loadproof.sources.scratch import remove
+from loadproof.sources.scratch import create_once, remove
 
 
 class LoadRejected(ValueError):
     """A row didn't decode; nothing of the table was published."""
 
 
-def load_table(good: DataFrame, rejects: DataFrame, target: str, partition_by: Sequence[str] = (), file_col: str | None = None) -> int:
+class LoadConflict(RuntimeError):
+    """Another load of the table was published since this one began; nothing of this one is."""
+
+
+def load_table(good: DataFrame, rejects: DataFrame, target: str, partition_by: Sequence[str] = (), file_col: str | None = None, base: int | None = None) -> int:
     """Publishes a table, all or nothing, in place of what was published before; returns its rows.
 
     The rows are written beside the published version first. Only if that is done and no row was rejected
-    is one record added that names the new version, by the rename of one file; until then, and after any failure,
-    readers see the old version whole. read_table reads what is published; retire deletes older versions.
+    is one record added that names the new version; until then, and after any failure, readers see the old version
+    whole. read_table reads what is published; retire deletes older versions. See published_number for base.
     """
-    spark, version = good.sparkSession, f"v-{uuid.uuid4().hex}"
-    writer = good.write
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path := f"{target}/{version}")
+    spark, base = good.sparkSession, published_number(good.sparkSession, target) if base is None else base
+    path = _written(good, target, partition_by)
     first = rejects.select(*([file_col] if file_col else []), "reason").limit(1).collect()
-    if first:
+    return _publish(spark, target, path, base, ", ".join(map(str, first[0])) if first else None, good.schema)
+
+
+def load_decoded(decoded: DataFrame, target: str, partition_by: Sequence[str] = (), file_col: str | None = None, base: int | None = None) -> int:
+    """load_table of decoded rows (source, row, reason) in one pass: refused rows are counted as the good ones are written."""
+    spark, base = decoded.sparkSession, published_number(decoded.sparkSession, target) if base is None else base
+    seen = Observation()
+    said = F.concat_ws(", ", *([F.col(f"source.`{file_col}`")] if file_col else []), "reason")
+    noted = decoded.observe(seen, F.min(F.when(F.col("reason").isNotNull(), said)).alias("first"))
+    good = noted.where("reason IS NULL").select("row.*")
+    path = _written(good, target, partition_by)
+    return _publish(spark, target, path, base, seen.get["first"], good.schema)
+
+
+def _written(good: DataFrame, target: str, partition_by: Sequence[str]) -> str:
+    path = f"{target}/v-{uuid.uuid4().hex}"
+    (good.write.partitionBy(*partition_by) if partition_by else good.write).parquet(path)
+    return path
+
+
+def _publish(spark: SparkSession, target: str, path: str, base: int, refused: str | None, schema) -> int:
+    if refused is not None:
+        remove(spark, path)
+        raise LoadRejected(f"{target}: {refused}")
+    n = spark.read.schema(schema).parquet(path).count()
+    record = json.dumps({"seq": base + 1, "version": path.rpartition("/")[2], "n": n})
+    if not create_once(spark, f"{target}/published/{base + 1:010d}.json", record):
         remove(spark, path)
-        raise LoadRejected(f"{target}: {', '.join(map(str, first[0]))}")
-    n = spark.read.schema(good.schema).parquet(path).count()
-    seq = max((r["seq"] for r in _published(spark, target)), default=0) + 1
-    spark.createDataFrame([(seq, version, n)], _RECORD).coalesce(1).write.mode("append").json(f"{target}/published")
+        raise LoadConflict(f"{target}: version {base + 1} was published by another load")
     return n
 
 
 _RECORD = "seq long, version string, n long"
 
 
+def published_number(spark: SparkSession, target: str) -> int:
+    """The number of the published version, 0 if there is none.
+
+    A load takes it as its base, when it begins or as the caller read it earlier, and becomes number base + 1 only if no other
+    load has done so: of two that began on one version, one is published and the other raises LoadConflict.
+    """
+    return max((r["seq"] for r in _published(spark, target)), default=0)
+
+
 def _published(spark: SparkSession, target: str) -> list:
     """The records of published versions, one for each load."""
     try:
@@ -98,3 +134,53 @@ def write_exceptions(orphans: DataFrame, repairs: DataFrame, path: str, run_id:
         repairs.select(F.lit("repair").alias("record"), F.col("name").alias("edge"), F.col("table").alias("subject"), F.col("ddl").alias("detail"))
     )
     rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_exceptions(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all runs; run ids are the texts that were given, as `007`."""
+    return spark.read.schema("record string, edge string, subject string, detail string, run_id string").parquet(path)
+
+
+#: Bits of a column's rank that a Z-order key keeps.
+RANK_BITS = 6
+
+
+def z_key(df: DataFrame, cols: Sequence[str], bits: int = RANK_BITS) -> Column:
+    """One number that interleaves the bits of several columns' ranks, so that rows near in all of them are near in it.
+
+    A rank is the place among 2 ** bits quantiles of the column, which a sketch gives in one pass over all rows; so skewed values
+    share the ranks evenly, and dates and numbers alike can take part. Null ranks first.
+    """
+    number = lambda c: F.unix_micros(F.col(f"`{c}`").cast("timestamp")) if dict(df.dtypes)[c].startswith(("date", "timestamp")) else F.col(f"`{c}`").cast("double")
+    steps = F.array(*[F.lit(i / 2**bits) for i in range(1, 2**bits)])
+    known = df.agg(*[F.kll_sketch_agg_double(number(c).cast("double")).alias(f"k{i}") for i, c in enumerate(cols)])
+    cuts = known.select(*[F.when(F.kll_sketch_get_n_double(f"k{i}") > 0, F.kll_sketch_get_quantile_double(f"k{i}", steps)).alias(f"q{i}") for i in range(len(cols))]).first()
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(cols):
+        bounds, value = F.array(*[F.lit(x) for x in cuts[i] or []]).cast("array<double>"), number(c).cast("double")
+        rank = F.size(F.filter(bounds, lambda x: x <= value)).cast("long")  # noqa: B023 - built at once
+        for bit in range(bits):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(rank, bit).bitwiseAND(F.lit(1).cast("long")), bit * len(cols) + i))
+    return out
+
+
+def write_zordered(df: DataFrame, cols: Sequence[str], target: str, files: int, bits: int = RANK_BITS) -> None:
+    """A copy clustered by several columns at once: a lookup by any of them skips most files by their least and largest values."""
+    keyed = df.withColumn("_z", z_key(df, cols, bits))
+    keyed.repartitionByRange(files, "_z").sortWithinPartitions("_z").drop("_z").write.mode("overwrite").parquet(target)
+
+
+def footer_statistics(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFrame:
+    """(n, and for each column <c>_n, <c>_low and <c>_high) of a Parquet table from its files' footers; no data page is read.
+
+    Parquet keeps such bounds of numbers and dates; another column's would have to be read, so it is refused. The frame belongs to a session of its own, in
+    which the reader pushes aggregates down; the caller's settings stay as they are.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    table = own.read.parquet(path)
+    kinds = dict(table.dtypes)
+    if other := [c for c in cols if kinds[c] not in ("tinyint", "smallint", "int", "bigint", "float", "double", "date")]:
+        raise ValueError(f"no exact bounds in footers for {', '.join(other)}")
+    return table.agg(F.count("*").alias("n"), *[f(F.col(f"`{c}`")).alias(f"{c}_{name}") for c in cols for f, name in ((F.count, "n"), (F.min, "low"), (F.max, "high"))])

@@ -7,7 +7,7 @@ from loadproof.functions.text import human_bytes, render_key, split_qualified
 from loadproof.model import Edge
 from loadproof.operators import cast, compare, graph, keys, profile, refs
 from loadproof.plans import ledger, policy, report
-from loadproof.sources import catalog, dump, sinks
+from loadproof.sources import blocks, catalog, dump, sinks
 
 
 def values(df, *cols):
@@ -201,14 +201,13 @@ def test_objects_meet_their_headers_by_split(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for most in (dump.SENT_HEADERS, 0):
-            kept, dump.SENT_HEADERS = dump.SENT_HEADERS, most
+        for most in (blocks.SENT_SPLITS, 1):
+            kept, blocks.SENT_SPLITS = blocks.SENT_SPLITS, most
             rows = dump.scan_objects(spark, str(tmp_path / "x_objects"))
-            dump.SENT_HEADERS = kept
+            blocks.SENT_SPLITS = kept
             assert sorted((r["cls"], r["line"]) for r in rows.collect()) == sorted(want)
             plan = rows._jdf.queryExecution().executedPlan().toString()
-            joins = [x for x in plan.split("\n") if "Join" in x]
-            assert joins and ("BroadcastHashJoin [file" in joins[0] if most else "[file" in joins[0] and ", at#" in joins[0] and "Broadcast" not in joins[0])
+            assert "Exchange" not in plan and "Join" not in plan  # lines stay where they are read
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
