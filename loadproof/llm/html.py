@@ -4,8 +4,10 @@ A page is cut into tags and text by one pattern, built into a tree with HTML's i
 open paragraph ends before a block, a list item before the next, table parts nest as they must),
 and rendered: text that is visible, blocks on lines of their own, paragraphs and headings with a
 blank line around them, list items with bullet or number and indent, table cells aligned to the
-widest of their column, over as many columns and rows as they span, preformatted text as it is. Each step
-goes forward once, so that the time grows with the page's length, whatever is in it.
+widest of their column, over as many columns and rows as they span, preformatted text as it is. A cell of more than WIDE
+characters widens its column to that only, and what follows it in its row comes two spaces later; a table whose alignment would
+take PADDED times its text and tags has its cells two spaces apart; indents end at INDENT. Each step goes forward once, so that the time, and
+the text that comes out, grow with the page's length, whatever is in it: at most 50 times as much comes out.
 
 Hidden are: head matter, scripts, styles, templates and comments; lists to choose from and text areas;
 what stands in for objects, frames, canvas, audio and video; what svg and math don't draw themselves
@@ -67,25 +69,38 @@ CONTEXT = dict.fromkeys(("td", "th"), {"tr", "tbody", "thead", "tfoot", "table"}
 #: An end tag doesn't reach beyond these, unless it is for one of them.
 BARRIER = frozenset({"table", "td", "th", "html"})
 
-#: Nested tables that are laid out as such.
+#: Nested tables that are laid out as such, each by a call of its own.
 DEEP = 20
+#: The widest that cells make a column, the deepest indent, and how often a table's cells and mark-up its padding may come to.
+WIDE, INDENT, PADDED = 100, 40, 16
 
 #: A tag's last group is empty if the page ends within it.
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_STYLE = re.compile(r"<style\b[^>]*+>(.*?)(?:</style\b|\Z)", re.I | re.S)
+_STYLE, _STYLE_END = re.compile(r"<style\b", re.I), re.compile(r"</style\b", re.I)
 _CSS = re.compile(r"/\*.*?(?:\*/|\Z)|[{};]|[^{};/]++|/", re.S)
 _SELECTOR = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?", re.I)
 
 
+def _sheets(page: str) -> Iterator[str]:
+    """The texts of style elements; one that isn't closed goes to the page's end, and after a tag that isn't there are none."""
+    at = 0
+    while (tag := _STYLE.search(page, at)) and (start := page.find(">", tag.end()) + 1):
+        end = _STYLE_END.search(page, start)
+        yield page[start : end.start() if end else len(page)]
+        if not end:
+            return
+        at = end.end()
+
+
 def hiding_rules(page: str) -> set[str]:
     """Selectors `name`, `.class`, `#id`, `name.class`, `name#id` that style sheets hide whatever the medium; names in lower case."""
     out: set[str] = set()
-    for sheet in _STYLE.finditer(page):
+    for sheet in _sheets(page):
         held, depth, selector, at_rule = [], 0, "", 0
-        for m in _CSS.finditer(sheet[1]):
+        for m in _CSS.finditer(sheet):
             token = m[0]
             if token.startswith("/*"):
                 continue
@@ -245,7 +260,8 @@ class Lines:
         if self.blank and self.out:
             self.out.append("")
         self.blank = False
-        lead = " " * (self.indent - len(self.mark)) + self.mark if self.mark else " " * self.indent
+        indent = min(self.indent, INDENT)
+        lead = " " * (indent - len(self.mark)) + self.mark if self.mark else " " * indent
         self.mark = ""
         self.out.append((lead + line).rstrip())
 
@@ -333,13 +349,20 @@ def _table(element: Element, lines: Lines) -> None:
     for line in placed:
         for col, wide, text in line:
             if wide == 1:
-                widths[col] = max(widths[col], len(text))
-    at = [0, *itertools.accumulate(w + 2 for w in widths)]
+                widths[col] = max(widths[col], min(len(text), WIDE))
     for line in placed:  # a cell over several columns that is longer than they are widens the last of them
         for col, wide, text in line:
-            if wide > 1 and (more := len(text) - (at[col + wide] - at[col] - 2)) > 0:
-                widths[col + wide - 1] += more
-                at = [0, *itertools.accumulate(w + 2 for w in widths)]
+            room, most = -2, min(len(text), WIDE)
+            for k in range(col, col + wide):
+                room += widths[k] + 2
+                if room >= most:
+                    break
+            else:
+                widths[col + wide - 1] += most - room
+    at = [0, *itertools.accumulate(w + 2 for w in widths)]
+    # columns that few rows reach would pad the others without end: such a table's cells stand two spaces apart
+    if sum(at[line[-1][0]] for line in placed if line) > PADDED * sum(len(text) + 4 for line in placed for _, _, text in line):
+        at = [0] * len(at)
     for row, line in zip(rows, placed, strict=True):
         if row and not isinstance(row[0], tuple):  # a layout table: cells stand below each other
             for cell in row:
@@ -348,7 +371,7 @@ def _table(element: Element, lines: Lines) -> None:
         elif any(text for _, _, text in line):
             shown = ""
             for col, _, text in line:
-                shown += " " * (at[col] - len(shown)) + text
+                shown += " " * max(at[col] - len(shown), 2 if shown else 0) + text
             lines.put(shown)
     for child in beside:  # text that stands in a table but in no cell
         if child is None:
