@@ -6,10 +6,10 @@ are then found in that document without one too. Each is brought to a canonical
 of one entity share it, and gets the surrogate that a keyed digest of the form spells in the
 entity's own format: digits stay digits, case stays, separators stay; addresses stay valid; cards
 that pass the check digit still do; names keep title and gender, and Latin, Cyrillic or Greek script
-(names in other scripts get Latin surrogates). A name is any number of capitalised words and initials
+(names in other scripts get Latin surrogates). A name is up to WORDS capitalised words and initials
 with the particles between them, or up to four words of a script without case. The same entity gets
 the same surrogate everywhere. Initials are letters moved by a keyed distance, for which distinctness
-within their alphabet holds without a check; particles stay.
+within their alphabet holds without a check; particles stay. A name has at most WORDS words, each of any length.
 
 A person is one within a document: a given name after a title without gender, or without title, is
 that of the mention with one, and a word alone is the family name if it is one in any mention. Words of
@@ -35,7 +35,7 @@ import sys
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadproof.llm.common import stored, table
@@ -52,15 +52,18 @@ _TITLE = "|".join((*MALE, *FEMALE, *NEUTRAL))
 #: What stands inside names and stays as it is: particles, titles after the first, generations.
 _PARTICLE = "van|von|vom|zu|zum|zur|der|den|dem|de|del|della|di|da|das|dos|do|du|des|la|las|le|les|los|lo|af|av|ten|ter|te|bin|bint|ibn|ben|bat|al|el|y|ur"
 _STAYS = rf"(?:{_PARTICLE}|(?:{'|'.join(NEUTRAL)})\.?|Jr|Sr|II|III|IV)"
-_INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*"
+#: All loops over groups are possessive: the JVM matches others by recursion, which ends it on long texts.
+_INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
 #: An apostrophe or hyphen joins what follows, but for the s of a genitive.
-_JOINED = r"(?:['’](?!s(?![\p{L}]))[\p{L}\p{M}]+|-[\p{L}\p{M}]+)*"
+_JOINED = r"(?:['’](?!s(?![\p{L}]))[\p{L}\p{M}]++|-[\p{L}\p{M}]++)*+"
 #: Titles that are no given names end a name; another may follow them.
 _NO_TITLE = rf"(?!(?:{'|'.join(t for t in (*MALE, *FEMALE, *NEUTRAL) if t not in ('Don', 'Sir', 'Miss', 'Sr'))})(?![\p{{L}}]))"
-_CASED = rf"(?:{_INITIALS}|{_NO_TITLE}(?:\p{{Ll}}{{1,2}}['’])?[\p{{Lu}}\p{{Lt}}][\p{{L}}\p{{M}}]*{_JOINED})"
-_PARTICLES = rf"(?:(?:{_PARTICLE}) )*"
-_CASELESS = r"\p{Lo}[\p{L}\p{M}]*"
-_NAME = rf"(?:{_PARTICLES}{_CASED}(?: {_PARTICLES}{_CASED})*|{_CASELESS}(?: {_CASELESS}){{0,3}})"
+_CASED = rf"(?:{_INITIALS}|{_NO_TITLE}(?:\p{{Ll}}{{1,2}}['’])?[\p{{Lu}}\p{{Lt}}][\p{{L}}\p{{M}}]*+{_JOINED})(?![\p{{L}}\p{{M}}])"
+_PARTICLES = rf"(?:(?:{_PARTICLE}) )*+"
+_CASELESS = r"\p{Lo}[\p{L}\p{M}]*+"
+#: Words of one name; the further words of a longer run are no part of it.
+WORDS = 40
+_NAME = rf"(?:{_PARTICLES}{_CASED}(?: {_PARTICLES}{_CASED}){{0,{WORDS - 1}}}+|{_CASELESS}(?: {_CASELESS}){{0,3}}+)"
 _PHONE = (
     r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
     r"(?:\+|00)[1-9](?:[ ./()-]{0,2}[0-9]){6,14}",
@@ -78,7 +81,7 @@ KINDS = (
     ("card", r"(?<![0-9A-Za-z-])(?:(?:[0-9]{4}[ -]?){3}[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5})(?![0-9A-Za-z-])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("phone", rf"(?<![0-9A-Za-z+])(?:{'|'.join(rf'{p}(?![0-9A-Za-z])' for p in _PHONE)})"),
-    ("name", rf"(?<![\p{{L}}])(?:{_TITLE})\.? (?:(?:{'|'.join(NEUTRAL)})\.? )*{_NAME}(?![\p{{L}}\p{{M}}])"),
+    ("name", rf"(?<![\p{{L}}])(?:{_TITLE})\.? (?:(?:{'|'.join(NEUTRAL)})\.? )*+{_NAME}(?![\p{{L}}\p{{M}}])"),
 )
 PATTERN = "|".join(p for _, p in KINDS)
 _IS_NAME = rf"^(?:{_TITLE})\.? "
@@ -127,13 +130,15 @@ def _gender(entity: Column) -> Column:
 
 def name_units(entity: Column) -> Column:
     """A titled name's words as (kind, form, shown); kinds: first_<gender>, last, only_<gender> of a single one, initial, stays."""
-    words = F.split(F.regexp_extract(entity, "^[^ ]+ (.*)$", 1), " ")
-    gender = _gender(entity)
     plain = lambda w: F.when(w.rlike(rf"^{_STAYS}$"), "stays").when(w.rlike(rf"^{_INITIALS}$"), "initial")
-    places = F.array_compact(F.transform(words, lambda w, i: F.when(plain(w).isNull(), i)))
-    last = F.when(F.size(places) > 1, F.lit("last")).otherwise(F.concat(F.lit("only_"), gender))
-    kind = lambda w, i: F.coalesce(plain(w), F.when(i == F.array_max(places), last).otherwise(F.concat(F.lit("first_"), gender)))
-    return F.transform(words, lambda w, i: F.struct(kind(w, i).alias("kind"), F.lower(w).alias("form"), w.alias("shown")))
+    words = F.transform(F.split(F.regexp_extract(entity, "^[^ ]+ (.*)$", 1), " "), lambda w: F.struct(w.alias("w"), plain(w).alias("plain")))
+    gender = _gender(entity)
+    places = F.array_compact(F.transform(words, lambda x, i: F.when(x["plain"].isNull(), i)))
+    # bound once, as what a lambda uses is evaluated for each of its elements
+    whole = F.array(F.struct(words.alias("words"), F.array_max(places).alias("top"), F.when(F.size(places) > 1, F.lit("last")).otherwise(F.concat(F.lit("only_"), gender)).alias("last"), F.concat(F.lit("first_"), gender).alias("first")))
+    kind = lambda s, x, i: F.coalesce(x["plain"], F.when(i == s["top"], s["last"]).otherwise(s["first"]))
+    each = lambda s: F.transform(s["words"], lambda x, i: F.struct(kind(s, x, i).alias("kind"), F.lower(x["w"]).alias("form"), x["w"].alias("shown")))
+    return F.transform(whole, each)[0]
 
 
 def _resolved(unit: Column) -> Column:
@@ -278,10 +283,12 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", id_col: str =
     if clash := sorted({f"pii_{k}" for k, _ in KINDS} & {c.lower() for c in names}):
         raise ValueError(f"columns named as counts: {', '.join(clash)}")
     body = F.col(f"`{text_col}`").cast("string")
+    others = [F.col(f"`{c}`") for c in names if c != text_col]
     each = F.explode(F.flatten(F.transform("_found", lambda x: x["units"]))).alias("u")
-    distinct = stored(with_entities(docs.select(body.alias("_body"))).select(each).select("u.kind", "u.form").where("kind NOT IN ('stays', 'initial')").distinct())
+    # entities are found once and kept beside the text
+    rows = stored(with_entities(docs.select(F.struct(F.lit(1).alias("_loadproof"), *others).alias("_row"), body.alias("_body"))))
+    distinct = stored(rows.select(each).select("u.kind", "u.form").where("kind NOT IN ('stays', 'initial')").distinct())
     again = stored(attempts(distinct, key, name))
-    rows = with_entities(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), body.alias("_body")))
     if again.isEmpty():
         rows = rows.withColumn("_more", F.lit(None).cast("map<string,int>"))
     else:  # rare: only the documents of these units learn of the further attempt, by a join on the id
@@ -298,5 +305,13 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", id_col: str =
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], *[count(k) for k, _ in KINDS])
 
 
+def _key(spark: SparkSession) -> str:
+    """The key that the session sets; only under a local master is there one without it, which anybody can read here."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError(f"set {KEY_CONF}: without a secret key surrogates can be guessed")
+    return key or TEST_KEY
+
+
 def op7_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_CONF, TEST_KEY))
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), _key(spark))
