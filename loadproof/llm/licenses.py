@@ -6,7 +6,7 @@ digest is joined to the digests of known licence texts and notices, a table of f
 the digests of full texts in license_digests.csv. Units are thinned first by words that known texts hold.
 
 Defined results: a null or empty text has no units; rows that repeat an id are pooled into one
-row, null ids among them; repeated lines count each time; extra columns are ignored.
+row, null ids among them; repeated lines count each time; texts of any length are taken whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,8 +71,6 @@ SPELLINGS = (
 )
 #: A line that names a copyright holder; such lines aren't part of a licence.
 COPYRIGHT = r"(?im)^[^a-z\n]*(copyright\b|\(c\)|©)[^\n]*$"
-#: Every text of KNOWN has it, so a unit without it matches none of them.
-ANCHOR = r"(?i)licen"
 
 
 def _java(replacement: str) -> str:
@@ -146,9 +144,10 @@ def _sql() -> str:
         return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
 
     rows = ", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in KNOWN)
-    return rf"""WITH known AS (SELECT {form("t")} c, min(l) license FROM (VALUES {rows}) v(l, t) GROUP BY ALL),
+    digests = ", ".join(f"('{a}', '{b}')" for a, b, _ in full_texts())
+    return rf"""WITH known AS (SELECT digest, min(l) license FROM (SELECT l, sha256({form("t")}) digest FROM (VALUES {rows}) v(l, t) UNION ALL SELECT l, h FROM (VALUES {digests}) w(l, h)) GROUP BY digest),
 u AS (SELECT doc_id, true whole, text unit FROM documents UNION ALL SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM documents),
-f AS (SELECT doc_id, whole, license FROM (SELECT doc_id, whole, {form("unit")} c FROM u WHERE regexp_matches(unit, '{ANCHOR}')) JOIN known USING (c))
+f AS (SELECT doc_id, whole, license FROM (SELECT doc_id, whole, sha256({form("unit")}) digest FROM u WHERE regexp_matches(lower(unit), '{_anchors(KNOWN)}')) JOIN known USING (digest))
 SELECT d.doc_id, min(license) FILTER (whole) whole_license, count(*) FILTER (license IS NOT NULL AND NOT whole) n_license_lines, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') licenses
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id GROUP BY d.doc_id"""
 

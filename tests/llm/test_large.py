@@ -2,10 +2,11 @@
 
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from loadproof.llm import html, pii
+from loadproof.llm import html, jaccard, licenses, minhash, pii, secrets
 
 LONG = {
     "names": ("Mr. " + "John " * 200_000 + "went", "name"),
@@ -96,3 +97,36 @@ def test_cells_after_a_wide_one():
     assert html.render(page) == f"{wide}  b\na{' ' * (html.WIDE + 1)}c"
     assert html.render("<style\n>.x{display:none}</STYLE ><p class=x>no</p><style>p.y{visibility:hidden}") == ""
     assert html.render("<p class=x>yes</p><style .x{display:none}") == "yes"
+
+
+def test_licenses_and_secrets_in_long_texts(spark):
+    gpl = open("/usr/share/common-licenses/GPL-3").read()
+    key = "AKIA" + "ABCD1234" * 2
+    long = "x y\n" * 300_000 + "Released under the MIT License.\n" + key
+    docs = spark.createDataFrame([(1, long, "a", "b"), (2, gpl, "a", "b"), (3, None, "a", "b"), (4, "", "a", "b"), (None, "Released under the MIT License.", "a", "b")], "doc_id long, text string, license string, digest string")
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs).collect()}
+    assert got == {1: "MIT", 2: "GPL-3.0", 3: "", 4: "", None: "MIT"}
+    assert licenses.scan_licenses(docs.where("false")).count() == 0
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs).collect()}
+    assert key not in masked[1] and masked[1].startswith(long[:1_000_000]) and masked[2] == gpl and masked[4] == "" and masked[3] is None
+    assert secrets.mask_secrets(docs.where("false")).count() == 0
+
+
+def test_full_texts_by_sql(tmp_path):
+    """The query's SQL knows the full texts too."""
+    texts = [open(f"/usr/share/common-licenses/{f}").read() for f in ("GPL-3", "Apache-2.0", "BSD")]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = {r[0]: r[1] for r in db.sql(f"SELECT doc_id, whole_license FROM ({licenses.OP1_SQL})").fetchall()}
+    assert got == {0: "GPL-3.0", 1: "Apache-2.0", 2: "BSD-3-Clause"}
+
+
+def test_joins_of_long_texts_and_none(spark):
+    base = [f"w{i}" for i in range(120_000)]
+    texts = [" ".join(base), " ".join([*base[:-9_000], *(f"v{i}" for i in range(9_000))]), " ".join(reversed(base)), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == got
+    assert jaccard.near_duplicates(docs.where("false")).count() == 0
