@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loadproof.sources.catalog import identity
-from loadproof.sources.scratch import new_path, stored, until_exit
+from loadproof.sources.scratch import forget, stored
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def closure(edges: DataFrame) -> DataFrame:
     n = paths.count()
     while True:
         longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        paths = stored(paths.union(longer).distinct())
+        before, paths = paths, stored(paths.union(longer).distinct())
+        forget(before)
         if (more := paths.count()) == n:
             return paths
         n = more
@@ -59,7 +60,8 @@ def _lows(edges: DataFrame) -> DataFrame:
         asks = ways.select("way", "node", F.col("next").alias("at"), F.lit(0).alias("kind")).union(state.select("way", "node", "jump", F.lit(1))).union(state.where("low <> node").select("way", "node", "low", F.lit(0)))
         told = asks.join(of, ["way", "at"]).groupBy("way", "node").agg(F.min("at_low").alias("told"), F.max(F.when(F.col("kind") == 1, F.col("at_jump"))).alias("further"))
         new = state.join(told, ["way", "node"], "left").select("way", "node", F.col("low").alias("was"), F.least("low", "told").alias("low"), F.coalesce("further", "jump").alias("jump"))
-        state, changed = _noted(new, F.col("was") != F.col("low"))
+        before, (state, changed) = state, _noted(new, F.col("was") != F.col("low"))
+        forget(before)
     pick = lambda w: F.min(F.when(F.col("way") == w, F.col("low"))).alias(w)
     return state.groupBy("node").agg(pick("f"), pick("b"))
 
@@ -77,7 +79,9 @@ def _components(edges: DataFrame) -> DataFrame:
     A node whose least reached and least reaching node are one is in that node's component. The others go on, with
     the edges between nodes alike in both, as the two ends of an edge within a component are.
     """
-    left, out = stored(_between(edges.where("child <> parent").select("child", "parent").distinct())), []
+    all_ = stored(edges.where("child <> parent").select("child", "parent").distinct())
+    left, out = stored(_between(all_)), []
+    forget(all_)
     while not left.isEmpty():
         lows = stored(_lows(left))
         out.append(lows.where("f = b").select(F.col("f").alias("cycle"), "node"))
@@ -113,29 +117,58 @@ def precedence(edges: DataFrame, cyclic: DataFrame, nodes: DataFrame) -> DataFra
     return kept.groupBy("child", "parent").agg(F.bool_or(hard).alias("hard"))
 
 
+#: Rounds of level_sets whose edges are kept until their nodes' levels are written.
+KEPT_ROUNDS = 8
+
+
 def level_sets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): the longest path to a node without parents; null for nodes that a cycle keeps from any level.
 
-    Each round takes the edges to placed parents away and writes what is left, with the nodes that become free by
-    it: children of the last edges that are children of none now. Placed nodes are in one growing table.
+    A round keeps the edges whose parent is some edge's child still: a node's level is how many rounds it is a child. One job and one
+    copy of the remaining edges a round; every KEPT_ROUNDS rounds what they say of levels is folded and they are deleted. If a round takes nothing away, its nodes are
+    on or below a cycle.
     """
-    spark, nodes = nodes.sparkSession, stored(nodes.select("node").distinct())
-    placed, level = new_path(spark), 0
-    left, more = _noted(edges.select("child", "parent").distinct(), F.lit(True))
-    front = nodes.join(left.select(F.col("child").alias("node")), "node", "left_anti")
-    schema = front.withColumn("level", F.lit(0)).schema
-    while True:
-        seen = Observation()
-        front.select("node", F.lit(level).alias("level")).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{placed}/level={level}")
-        if not seen.get["n"] or not more:
+    left, n = _noted(edges.select("child", "parent").distinct(), F.lit(True))
+    kept, level, last = [], 0, None
+    fold = lambda parts: reduce(DataFrame.union, parts).groupBy("node").agg(F.max("level").alias("level"))
+    stuck = left.where("false").select(F.col("child").alias("node"))
+    while n:
+        level += 1
+        kept.append((left, left.select(F.col("child").alias("node"), F.lit(level).alias("level"))))
+        if len(kept) > KEPT_ROUNDS:
+            older = kept[:-1]
+            new = stored(fold([x for _, x in older] + ([last] if last is not None else [])))
+            for frame in [f for f, _ in older] + ([last] if last is not None else []):
+                forget(frame)
+            last, kept = new, kept[-1:]
+        left, more = _noted(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"), F.lit(True))
+        if more == n:
+            stuck = left.select(F.col("child").alias("node")).distinct()
             break
-        last = spark.read.schema(schema).parquet(f"{placed}/level={level}").select(F.col("node").alias("parent"))
-        before, (left, more) = left, _noted(left.join(last, "parent", "left_anti").select("child", "parent"), F.lit(True))
-        free = before.select(F.col("child").alias("node")).distinct().join(left.select(F.col("child").alias("node")), "node", "left_anti")
-        front, level = free.join(nodes, "node", "left_semi"), level + 1
-    until_exit(spark, placed)
-    found = reduce(DataFrame.union, (spark.read.schema(schema).parquet(f"{placed}/level={n}") for n in range(level + 1)))
-    return nodes.join(found, "node", "left").select("node", "level")
+        n = more
+    own = nodes.select("node").distinct()
+    parts = [x for _, x in kept] + ([last] if last is not None else [])
+    if not parts:
+        return own.select("node", F.lit(0).alias("level"))
+    placed = own.join(fold(parts), "node", "left").join(stuck.withColumn("_stuck", F.lit(True)), "node", "left")
+    return placed.select("node", F.when(F.col("_stuck").isNull(), F.coalesce("level", F.lit(0))).alias("level"))
+
+
+def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """level_sets of edges (child, parent, kind) by precedence.
+
+    Levels are tried with all edges first: if every node gets one there are no cycles, and none are looked for. Else
+    cycles are looked for among the nodes without level alone, where all of them lie.
+    """
+    edges = stored(edges)
+    nobody = edges.where("false").select(F.col("child").alias("node"))
+    all_ = stored(precedence(edges, nobody, nodes))
+    tried = stored(level_sets(nodes, all_))
+    without = tried.where("level IS NULL").select("node")
+    if without.isEmpty():
+        return tried
+    among = edges.join(without.withColumnRenamed("node", "child"), "child", "left_semi").join(without.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    return level_sets(nodes, precedence(edges, cyclic_nodes(stored(among)), nodes))
 
 
 def hierarchy_depths(edges: DataFrame) -> DataFrame:

@@ -88,4 +88,11 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     df.write.parquet(path := new_path(spark))
     until_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the copy behind a frame that stored gave, once nothing lazily evaluated reads it any more; a loop's rounds would else add up."""
+    remove(df.sparkSession, df.stored_at)

@@ -12,7 +12,7 @@ from loadproof.catalogue import QUERIES
 from loadproof.functions.text import canonical
 from loadproof.model import Edge
 from loadproof.operators import graph, hashtree, keys, refs, sketches
-from loadproof.sources import blocks, dump, sinks
+from loadproof.sources import blocks, catalog, dump, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -283,3 +283,16 @@ def test_recursive_depths(spark):
     got = graph.hierarchy_depths(spark.createDataFrame(pairs, "child string, parent string"))
     assert sorted(map(tuple, got.collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 1), ("f", 2)]
     assert graph.hierarchy_depths(spark.createDataFrame([], "child string, parent string")).count() == 0
+
+
+def test_catalog_by_jdbc(spark):
+    """The frames of a database in memory, read by the same names as those of files."""
+    url = {"url": "jdbc:derby:memory:catalog;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = {"classes": [("dba", "t", "CLASS", False), ("dba", "v", "VCLASS", False), ("dba", "s", "CLASS", True)], "index_keys": [("dba", "t", "pk", "b", 2), ("dba", "t", "pk", "a", 1)], "indexes": [("dba", "t", "pk", True, False, True)]}
+    for name, schema in catalog.FRAMES.items():
+        texts = ", ".join(f"{c.split()[0]} VARCHAR(100)" for c in schema.split(", ") if c.endswith("string"))
+        spark.createDataFrame(rows.get(name, []), schema).write.format("jdbc").options(**url, dbtable=f"cat_{name}", createTableColumnTypes=texts).mode("overwrite").save()
+    got = catalog.read_catalog(spark, "cat_", jdbc=url)
+    assert {n: [f.name.lower() for f in df.schema] for n, df in got.items()} == {n: [c.split()[0] for c in s.split(", ")] for n, s in catalog.FRAMES.items()}
+    assert [r["table"] for r in catalog.user_tables(got["classes"]).collect()] == ["t"]
+    assert [tuple(r) for r in graph.index_columns(got["index_keys"]).collect()] == [("dba", "t", "pk", ["a", "b"])]
