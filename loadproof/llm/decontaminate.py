@@ -36,7 +36,7 @@ BLOCK_CHARS = 4_000_000
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
-HITS = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+HITS = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("spans", pa.string())])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -90,7 +90,7 @@ def parts_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) ->
 
 
 def _scanned(rows: DataFrame, items: DataFrame, part: int, size: int) -> DataFrame:
-    """(id, n_words, hit, items) of (id, text) against one part, whose automaton each task builds once."""
+    """(id, n_words, hit, items, spans) of (id, text) against one part, whose automaton each task builds once."""
     small_batches(rows.sparkSession)
     # about the limit in characters, by the count of parts_of
     held = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(F.col("part") == part).select("item", "text").toLocalIterator()])
@@ -98,12 +98,14 @@ def _scanned(rows: DataFrame, items: DataFrame, part: int, size: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(held.value, size)
         for batch in batches:
-            found = [scan(t, machine) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [scan(t, machine) for t in texts]
+            spans = pa.array([spans_text(t, r[1]) for t, r in zip(texts, found, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.list_(pa.int32())), pa.array([r[2] for r in found], pa.list_(pa.int64()))], schema=HITS
+                [batch.column(0), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.list_(pa.int32())), pa.array([r[2] for r in found], pa.list_(pa.int64())), spans], schema=HITS
             )
 
-    return rows.select("id", "text").mapInArrow(run, "id long, n_words long, hit array<int>, items array<long>")
+    return rows.select("id", "text").mapInArrow(run, "id long, n_words long, hit array<int>, items array<long>, spans string")
 
 
 def _in_parts(rows: DataFrame, items: DataFrame, n: int, size: int) -> DataFrame:
@@ -119,14 +121,21 @@ def _in_parts(rows: DataFrame, items: DataFrame, n: int, size: int) -> DataFrame
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
-    """One row per document: id, n_words, hit (numbers of the words hit), items (ids of items found)."""
+    """One row per document: id, n_words, hit (numbers of the words hit), items (ids of items found), spans (`start:end` of each run of hit words in the original text)."""
     items, n = parts_of(benchmark, item_col, item_text_col, block_chars)
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), F.col(f"`{text_col}`").cast("string").alias("text"))
     if n == 1:
         return _scanned(picked.withColumnRenamed("own", "id"), items, 0, size).withColumnRenamed("id", id_col)
     rows = stored(picked.withColumn("id", F.monotonically_increasing_id()))
-    found = _in_parts(rows, items, n, size).join(rows.select("id", "own"), "id")
-    return found.select(F.col("own").alias(id_col), "n_words", "hit", "items")
+    found = _in_parts(rows, items, n, size).join(rows, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [spans_text(t, w) for t, w in zip(batch.column(4).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(spans, pa.string())], schema=HITS)
+
+    placed = found.select("own", "n_words", "hit", "items", "text").mapInArrow(run, "id long, n_words long, hit array<int>, items array<long>, spans string")
+    return placed.withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -159,6 +168,10 @@ def hit_spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def spans_text(text: str | None, hit: list[int]) -> str:
+    return ",".join(f"{a}:{b}" for a, b in hit_spans(text or "", hit))
+
+
 def items_digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
@@ -168,18 +181,25 @@ def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     n_hit = F.size("hit").cast("long")
     return hits.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans"
     )
 
 
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-OP9_SQL = rf"""WITH d AS (SELECT row_number() OVER () rid, doc_id, {_WORDS} w FROM documents),
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: What stands before each word: nothing before the first, if the text begins with it.
+_BETWEEN = rf"list_concat(CASE WHEN regexp_matches({_LOWER}, '^[\x00-\x2F\x3A-\x60\x7B-\x7F]') THEN [] ELSE [''] END, regexp_extract_all({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'))"
+OP9_SQL = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () rid, doc_id, {_WORDS} w, {_BETWEEN} b FROM documents),
 b AS (SELECT item_id, w, least(len(w), {WINDOW}) z FROM (SELECT item_id, {_WORDS} w FROM benchmark) WHERE len(w) > 0 AND item_id IS NOT NULL),
 k AS (SELECT DISTINCT item_id, z, list_aggregate(w[i : i + z - 1], 'string_agg', ' ') g FROM (SELECT item_id, w, z, unnest(range(1, len(w) - z + 2)) i FROM b)),
 sizes AS (SELECT DISTINCT z FROM k),
 g AS (SELECT rid, i, z, list_aggregate(w[i : i + z - 1], 'string_agg', ' ') g FROM (SELECT rid, w, z, unnest(range(1, len(w) - z + 2)) i FROM d, sizes WHERE len(w) >= z)),
 h AS (SELECT rid, i, z, item_id FROM g JOIN k USING (z, g)),
 n AS (SELECT rid, count(DISTINCT p) n FROM (SELECT rid, unnest(range(i, i + z)) p FROM h) GROUP BY rid),
+p AS (SELECT DISTINCT rid, unnest(range(i, i + z)) p FROM h),
+o AS (SELECT rid, p, sum(lb + lw) OVER (PARTITION BY rid ORDER BY p) - lw st, lw FROM (SELECT rid, unnest(range(1, len(w) + 1)) p, unnest(list_transform(w, lambda x: length(x))) lw, unnest(list_transform(b[1 : len(w)], lambda x: length(x))) lb FROM d WHERE rid IN (SELECT rid FROM h))),
+r AS (SELECT rid, min(st) a, max(st + lw) z FROM (SELECT rid, p, st, lw, p - row_number() OVER (PARTITION BY rid ORDER BY p) g FROM p JOIN o USING (rid, p)) GROUP BY rid, g),
+t AS (SELECT rid, string_agg(a || ':' || z, ',' ORDER BY a) spans FROM r GROUP BY rid),
 s AS (SELECT rid, count(*) n, string_agg(x, ',' ORDER BY x) v FROM (SELECT DISTINCT rid, item_id::VARCHAR x FROM h) GROUP BY rid)
-SELECT doc_id, len(w) n_words, coalesce(n.n, 0) n_hit, coalesce(s.n, 0) n_items, sha256(coalesce(v, '')) items_sha256, coalesce(n.n, 0) > 0 contaminated
-FROM d LEFT JOIN n USING (rid) LEFT JOIN s USING (rid)"""
+SELECT doc_id, len(w) n_words, coalesce(n.n, 0) n_hit, coalesce(s.n, 0) n_items, sha256(coalesce(v, '')) items_sha256, coalesce(n.n, 0) > 0 contaminated, coalesce(t.spans, '') spans
+FROM d LEFT JOIN n USING (rid) LEFT JOIN s USING (rid) LEFT JOIN t USING (rid)"""

@@ -582,10 +582,13 @@ def test_decontamination_equals_brute_force(spark, make):
     items = [(1, "aa B c d É x1 漢 e f d d"), (2, "x1 d"), (3, ""), (4, None), (5, "x1 d"), (None, "aa"), (10, texts[20]), (11, texts[21])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for limit in (decontaminate.BLOCK_CHARS, 8):  # one automaton, then one for nearly each item
-        got = by_id(decontaminate.benchmark_hits(make(texts), bench, block_chars=limit), "n_words", "hit", "items")
+        got = by_id(decontaminate.benchmark_hits(make(texts), bench, block_chars=limit), "n_words", "hit", "items", "spans")
         for i, t in enumerate(texts):
             n, hit, found = brute_hits(t, [x for x in items if x[0] is not None])
             assert (got[i][0], list(got[i][1]), list(got[i][2])) == (n, hit, found)
+            spans = [tuple(map(int, x.split(":"))) for x in got[i][3].split(",") if x]
+            at = [m.span() for m in re.finditer(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t or "")]
+            assert [k for k, (a, b) in enumerate(at) if any(x <= a and b <= y for x, y in spans)] == hit and all(x in {a for a, _ in at} and y in {b for _, b in at} for x, y in spans)
         kept = {r["doc_id"] for r in decontaminate.drop_contaminated(make(texts), bench, block_chars=limit).collect()}
         assert kept == {i for i in got if not got[i][2]}
     text = "Oh, AA b-c!"
