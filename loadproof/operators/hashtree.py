@@ -9,19 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadproof.functions.text import canonical
-from loadproof.sources.scratch import stored
+from loadproof.sources.scratch import remove, stored
+from loadproof.sources.sinks import beside, published_version
 
 #: Children of a node; leaves number a power of it.
 FAN = 16
 #: Unequal nodes of a level whose numbers may be sent to the next level's scan; more are joined.
 SENT = 10_000
 
-TREE = "level int, node long, n long, digest string"
-
 
 def bucket_of(df: DataFrame, keys: Sequence[str], depth: int) -> Column:
     """The bucket of a row, below FAN ** depth: 60 bits of the digest of its key."""
@@ -71,6 +71,25 @@ def unequal_buckets(spark: SparkSession, a: str, b: str, depth: int) -> DataFram
     return wanted.select(F.col("node").alias("bucket"), "n_a", "n_b") if level == depth else wanted.select(F.col("node").alias("bucket"), "n_a", "n_b").where("false")
 
 
+def published_tree(spark: SparkSession, target: str, keys: Sequence[str], depth: int) -> str:
+    """The tree of a published table, built when it is first asked for; its root is written last, so a tree with a root is whole."""
+    version = published_version(spark, target)
+    path = f"{beside(target, version)}/tree-{depth}-{'-'.join(keys)}"
+    try:
+        read_tree(spark, path, 0)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        remove(spark, path)  # what a build that failed has left
+        build_tree(spark.read.parquet(f"{target}/{version}"), keys, depth, path)
+    return path
+
+
+def compare_published(spark: SparkSession, a: str, b: str, keys: Sequence[str], depth: int) -> DataFrame:
+    """unequal_buckets of two published tables, each of whose versions is read once for all comparisons to come."""
+    return unequal_buckets(spark, published_tree(spark, a, keys, depth), published_tree(spark, b, keys, depth), depth)
+
+
 def unequal_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], depth: int, buckets: DataFrame) -> DataFrame:
     """Rows of unequal buckets that one copy has more often than the other, with `side`; rows of equal buckets are never shuffled."""
     few = F.broadcast(buckets.select(F.col("bucket").alias("_bucket")))

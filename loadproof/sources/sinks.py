@@ -86,17 +86,28 @@ def _published(spark: SparkSession, target: str) -> list:
         return []
 
 
-def read_table(spark: SparkSession, target: str) -> DataFrame:
-    """The published version of a table that load_table wrote."""
+def published_version(spark: SparkSession, target: str) -> str:
+    """The name of the published version, a folder of the table's."""
     if not (records := _published(spark, target)):
         raise ValueError(f"{target}: nothing is published")
-    return spark.read.parquet(f"{target}/{records[-1]['version']}")
+    return records[-1]["version"]
+
+
+def read_table(spark: SparkSession, target: str) -> DataFrame:
+    """The published version of a table that load_table wrote."""
+    return spark.read.parquet(f"{target}/{published_version(spark, target)}")
+
+
+def beside(target: str, version: str) -> str:
+    """The folder of what is kept about a version beside it, such as its hash trees."""
+    return f"{target}/of-{version}"
 
 
 def retire(spark: SparkSession, target: str) -> None:
-    """Deletes all but the published version; for when no reader is at an older one."""
+    """Deletes all but the published version, and what is kept beside them; for when no reader is at an older one."""
     for record in _published(spark, target)[:-1]:
         remove(spark, f"{target}/{record['version']}")
+        remove(spark, beside(target, record["version"]))
 
 
 def partition_column(kind: str, col: str, spec: Mapping | Sequence | int) -> Column:

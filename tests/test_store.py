@@ -186,6 +186,22 @@ def test_hash_tree(spark, tmp_path):
     assert "lineitem" not in plan(hashtree.unequal_buckets(spark, at("a"), at("b"), 3))
 
 
+def test_trees_of_published_versions(spark, tmp_path):
+    none, a, b = spark.createDataFrame([], "reason string"), str(tmp_path / "a"), str(tmp_path / "b")
+    for target in (a, b):
+        sinks.load_table(spark.range(500), none, target)
+    assert hashtree.compare_published(spark, a, b, ["id"], 2).count() == 0
+    sinks.load_table(spark.range(501), none, b)
+    tree = hashtree.published_tree(spark, a, ["id"], 2)
+    built = (tmp_path / "a").joinpath(*tree.split("/")[-2:], "level=0").stat().st_mtime_ns
+    found = hashtree.compare_published(spark, a, b, ["id"], 2)
+    assert found.count() == 1 and found.select(F.col("n_b") - F.col("n_a")).first()[0] == 1
+    assert (tmp_path / "a").joinpath(*tree.split("/")[-2:], "level=0").stat().st_mtime_ns == built  # not built again
+    sinks.retire(spark, b)
+    assert len([p for p in (tmp_path / "b").iterdir() if p.name.startswith("of-")]) == 1
+    assert hashtree.compare_published(spark, a, b, ["id"], 2).count() == 1
+
+
 def test_sketches_merge(spark, tmp_path):
     df = spark.range(200_000).select((F.col("id") % 50_000).alias("k"), (F.col("id") * F.col("id") % 100_003).cast("double").alias("x"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("s"), F.col("id") % 1000)).alias("s"))
     for k in range(4):
