@@ -312,3 +312,29 @@ def test_catalog_by_jdbc(spark):
     assert {n: [f.name.lower() for f in df.schema] for n, df in got.items()} == {n: [c.split()[0] for c in s.split(", ")] for n, s in catalog.FRAMES.items()}
     assert [r["table"] for r in catalog.user_tables(got["classes"]).collect()] == ["t"]
     assert [tuple(r) for r in graph.index_columns(got["index_keys"]).collect()] == [("dba", "t", "pk", ["a", "b"])]
+
+
+@pytest.mark.parametrize("shape", ["shallow", "cyclic", "deep"])
+def test_levels_tried_before_cycles(spark, tmp_path, monkeypatch, shape):
+    """The same levels as with cycles looked for first; rounds beyond those kept are folded and their copies deleted."""
+    rng = random.Random(shape)
+    if shape == "deep":
+        pairs = [(f"n{i:02}", f"n{i - 1:02}", "fk") for i in range(1, 24)] + [("side", "n05", "fk"), ("n20", "n03", "inherits")]
+        monkeypatch.setattr(graph, "KEPT_ROUNDS", 3)
+    else:
+        back = 0.5 if shape == "cyclic" else 0
+        pairs = [(f"n{max(a, b)}", f"n{min(a, b)}", rng.choice(["fk", "inherits"])) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(25)) if a != b]
+        pairs += [(b, a, "fk") for a, b, _ in pairs if rng.random() < back]
+    edges = spark.createDataFrame(pairs, "child string, parent string, kind string")
+    nodes = spark.createDataFrame([(x,) for x in {n for p in pairs for n in p[:2]} | {"alone"}], "node string")
+    kept = {tuple(r) for r in graph.precedence(edges, graph.cyclic_nodes(edges), nodes).select("child", "parent").collect()}
+
+    def level(node, path=()):
+        if node in path:
+            return None
+        above = [level(p, (*path, node)) for c, p in kept if c == node]
+        return None if None in above else max((x + 1 for x in above), default=0)
+
+    want = {r.node: level(r.node) for r in nodes.collect()}
+    assert {r.node: r.level for r in graph.dependency_levels(nodes, edges).collect()} == want
+    assert want["alone"] == 0 and (shape != "deep" or want["n23"] == 23)
