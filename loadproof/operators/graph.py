@@ -175,7 +175,8 @@ def hierarchy_depths(edges: DataFrame) -> DataFrame:
     """(node, depth): the longest path down from a node without parents, by one recursive query; for shallow hierarchies.
 
     An edge back to a node of its own path isn't followed, so cycles end; nodes that no root reaches are left out. Rows of a level are
-    those of its paths, so a graph with very many paths is for level_sets.
+    those of its paths, of any number, so a graph with very many paths is for level_sets, and so is one deeper than
+    spark.sql.cteRecursionLevelLimit, 100 levels unless set, which is refused.
     """
     spark, name = edges.sparkSession, f"edges_{uuid.uuid4().hex}"
     edges.select("child", "parent").where("child <> parent").distinct().createOrReplaceTempView(name)
