@@ -8,8 +8,7 @@ A text's set holds its distinct 5-word shingles as 60-bit hashes. Two sets link
    make a band and a band's hash a bucket; equal sets are one node, so copies of a text meet nowhere. A
    pair that just links shares no bucket with a probability of (1 - 0.85 ** ROWS) ** BANDS, 6e-9.
 2. A bucket's candidates are a star: its members against its hub, the member that shares most buckets with others, so that the
-   buckets of a family have few hubs and a member few edges. Edges are confirmed on the full sets, each node's best edge first; of the
-   others those that still join two components.
+   buckets of a family have few hubs and a member few edges. Edges are confirmed on the full sets.
 3. A star can miss a link between two members that aren't linked to the hub. Buckets whose members lie in several components
    are therefore tried once more: the members outside the bucket's largest component against all
    others, in blocks of bounded weight, pairs of one component or without a common band skipped. Only links that join come out.
@@ -45,8 +44,8 @@ BINS = ROWS * BANDS
 HOT, SALTS = 1000, 64
 #: Bits of the filter that tells the texts whose sets are needed again.
 FILTER = 1 << 25
-#: Weight of a family that is tried in one group, and of a block: each set counts its shingles, BINS at least.
-FAMILY, BLOCK = 2_000_000, 1_000_000
+#: Weight of a block: each set counts its shingles, BINS at least.
+BLOCK = 1_000_000
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20261128))
@@ -169,33 +168,22 @@ def _labelled(rows: DataFrame, labels: DataFrame, key: str, label: str) -> DataF
 
 
 def _rest(members: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """Blocks (grp, i, j, minor, key, label) of members of buckets that hold several components.
+    """Blocks (bucket, i, j, minor, key, label) of members of buckets that hold several components.
 
-    Buckets with the same members are taken once. Those that such buckets connect are a family; a family of
-    bounded weight is one group, in a heavier one each bucket is. A group's members outside its heaviest component (minor)
-    meet all its members, in pairs of blocks.
+    Buckets with the same members are taken once. A bucket's members outside its heaviest component (minor) meet all its
+    members, in pairs of blocks of bounded weight.
     """
     labelled = stored(_labelled(members.select("bucket", "key", F.greatest("n", F.lit(BINS)).alias("n")), labels, "key", "label"))
-    groups = labelled.groupBy("bucket").agg(
-        F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("anchor"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "key")).alias("x")
-    )
-    open_ = groups.where("low <> high").groupBy("m", "s", "x").agg(F.min(F.struct("bucket", "anchor")).alias("t")).select("t.bucket", "t.anchor", "m")
-    rows = stored(_with(labelled, stored(open_), "bucket", limit))
-    family = components(rows.select(F.col("anchor").alias("a"), F.col("key").alias("b")).where("a <> b").distinct())
-    known = stored(rows.select("bucket", "key", "label", "n").join(family.select(F.col("node").alias("key"), F.col("label").alias("family")), "key"))
-    weight = known.groupBy("family", "key").agg(F.max("n").alias("n"), F.count("*").alias("m")).groupBy("family").agg(F.sum("n").alias("weight"), F.sum("m").alias("m"))
-    weighed = _with(known, stored(weight), "family", limit)
-    grp: Column = F.when(F.col("weight") <= FAMILY, F.col("family")).otherwise(F.col("bucket").cast("string").cast("binary"))
-    each = stored(weighed.select(grp.alias("grp"), "key", "label", "n").distinct())
-    by_label = each.groupBy("grp", "label").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
-    of_group = by_label.groupBy("grp").agg(F.max_by("label", F.struct("w", "label")).alias("major"), F.sum("w").alias("all"), F.max("w").alias("most"), F.sum("m").alias("m"))
+    by_label = labelled.groupBy("bucket", "label").agg(F.sum("n").alias("w"), F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "key")).alias("x"))
+    of_bucket = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("w", "label")).alias("major"), F.sum("w").alias("all"), F.max("w").alias("most"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
+    one = of_bucket.where("labels > 1").groupBy("m", "s", "x").agg(F.min(F.struct("bucket", "major", "all", "most")).alias("t")).select("t.*", "m")
     blocks = lambda w: F.ceil(w / BLOCK).cast("int")
-    of_group = of_group.select("grp", "major", "m", F.greatest(F.lit(1), blocks(F.col("all") - F.col("most"))).alias("bi"), blocks(F.col("all")).alias("bj"))
-    dealt = _with(each, stored(of_group), "grp", limit).withColumns({"h": F.xxhash64("key", F.lit(3)), "minor": F.col("label") != F.col("major")})
+    known = one.select("bucket", "major", "m", F.greatest(F.lit(1), blocks(F.col("all") - F.col("most"))).alias("bi"), blocks(F.col("all")).alias("bj"))
+    dealt = _with(labelled, stored(known), "bucket", limit).withColumns({"h": F.xxhash64("key", F.lit(3)), "minor": F.col("label") != F.col("major")})
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n: F.pmod("h", F.col(n)).cast("int")
-    few = dealt.where("minor").select("grp", part("bi").alias("i"), upto("bj").alias("j"), F.lit(True).alias("minor"), "key", "label")
-    return few.union(dealt.select("grp", upto("bi").alias("i"), part("bj").alias("j"), F.lit(False).alias("minor"), "key", "label"))
+    few = dealt.where("minor").select("bucket", part("bi").alias("i"), upto("bj").alias("j"), F.lit(True).alias("minor"), "key", "label")
+    return few.union(dealt.select("bucket", upto("bi").alias("i"), part("bj").alias("j"), F.lit(False).alias("minor"), "key", "label"))
 
 
 def _block_links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
@@ -230,7 +218,7 @@ def _block_links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     whole = blocks.join(sets.select("key", "tokens"), "key")
-    return whole.groupBy("grp", "i", "j").applyInArrow(run, "a binary, b binary")
+    return whole.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,16 +241,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = stored(members.join(degree, "sid"))
     hubs = stored(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "sid")).alias("top"), F.count("*").alias("m")).select("bucket", F.col("top.sid").alias("hub"), "m"))
     star = _with(ranked.select("bucket", "key", "sid"), hubs, "bucket", limit).where("sid <> hub")
-    edges = stored(star.groupBy("key", "hub").agg(F.count("*").alias("shared")))
+    edges = star.select("key", "hub").distinct()
 
     sets = stored(_sets(docs, members.select("key", "tid").distinct()))
-    best = edges.groupBy("key").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    found = stored(_confirmed(best, sets))
-    labels = components(found)
-    others = _labelled(edges.join(best, ["key", "hub"], "left_anti"), labels, "key", "label")
-    hub_label = _labelled(sets.select("sid", "key"), labels, "key", "hub_label").groupBy(F.col("sid").alias("hub")).agg(F.max("hub_label").alias("hub_label"))
-    crossing = others.join(hub_label, "hub").where("label <> hub_label").select("key", "hub")
-    found = found.union(stored(_confirmed(crossing, sets)))
+    found = stored(_confirmed(edges, sets))
     labels = components(found)
     rest = stored(_block_links(_rest(members, labels, limit), sets))
     if not rest.isEmpty():
