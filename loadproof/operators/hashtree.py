@@ -21,6 +21,8 @@ from loadproof.sources.sinks import beside, published_version
 FAN = 16
 #: Unequal nodes of a level whose numbers may be sent to the next level's scan; more are joined.
 SENT = 10_000
+#: The most nodes that a level of one file may have.
+ONE_FILE = 65_536
 
 
 def bucket_of(df: DataFrame, keys: Sequence[str], depth: int) -> Column:
@@ -36,7 +38,9 @@ def build_tree(df: DataFrame, keys: Sequence[str], depth: int, path: str) -> Non
     sums = F.concat_ws("-", F.count("*").cast("string"), *[F.sum(part(at)).cast("string") for at in (1, 17)])
     level = rows.groupBy("node").agg(F.count("*").alias("n"), F.md5(sums).alias("digest"))
     for k in range(depth, -1, -1):
-        level.orderBy("node").write.parquet(f"{path}/level={k}")
+        # in order, so that scans skip what lies outside; a level of few nodes, by its place in the tree, is one file
+        ordered = level.repartition(1).sortWithinPartitions("node") if FAN**k <= ONE_FILE else level.orderBy("node")
+        ordered.write.parquet(f"{path}/level={k}")
         level = df.sparkSession.read.schema("node long, n long, digest string").parquet(f"{path}/level={k}")
         # at most FAN rows meet in a node
         children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: F.concat(x["node"].cast("string"), F.lit(":"), x["digest"])), ",")
