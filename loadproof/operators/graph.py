@@ -128,10 +128,15 @@ def level_sets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     copy of the remaining edges a round; every KEPT_ROUNDS rounds what they say of levels is folded and they are deleted. If a round takes nothing away, its nodes are
     on or below a cycle.
     """
+    return _levels(nodes, edges)[0]
+
+
+def _levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
+    """level_sets, and whether every node has a level."""
     left, n = _noted(edges.select("child", "parent").distinct(), F.lit(True))
     kept, level, last = [], 0, None
     fold = lambda parts: reduce(DataFrame.union, parts).groupBy("node").agg(F.max("level").alias("level"))
-    stuck = left.where("false").select(F.col("child").alias("node"))
+    stuck, whole = left.where("false").select(F.col("child").alias("node")), True
     while n:
         level += 1
         kept.append((left, left.select(F.col("child").alias("node"), F.lit(level).alias("level"))))
@@ -143,15 +148,15 @@ def level_sets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             last, kept = new, kept[-1:]
         left, more = _noted(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"), F.lit(True))
         if more == n:
-            stuck = left.select(F.col("child").alias("node")).distinct()
+            stuck, whole = left.select(F.col("child").alias("node")).distinct(), False
             break
         n = more
     own = nodes.select("node").distinct()
     parts = [x for _, x in kept] + ([last] if last is not None else [])
     if not parts:
-        return own.select("node", F.lit(0).alias("level"))
+        return own.select("node", F.lit(0).alias("level")), whole
     placed = own.join(fold(parts), "node", "left").join(stuck.withColumn("_stuck", F.lit(True)), "node", "left")
-    return placed.select("node", F.when(F.col("_stuck").isNull(), F.coalesce("level", F.lit(0))).alias("level"))
+    return placed.select("node", F.when(F.col("_stuck").isNull(), F.coalesce("level", F.lit(0))).alias("level")), whole
 
 
 def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -160,15 +165,13 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Levels are tried with all edges first: if every node gets one there are no cycles, and none are looked for. Else
     cycles are looked for among the nodes without level alone, where all of them lie.
     """
-    edges = stored(edges)
-    nobody = edges.where("false").select(F.col("child").alias("node"))
-    all_ = stored(precedence(edges, nobody, nodes))
-    tried = stored(level_sets(nodes, all_))
-    without = tried.where("level IS NULL").select("node")
-    if without.isEmpty():
+    edges, nodes = stored(edges), stored(nodes.select("node").distinct())
+    ends = lambda known: edges.join(known.withColumnRenamed("node", "child"), "child", "left_semi").join(known.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    tried, whole = _levels(nodes, ends(nodes))
+    if whole:
         return tried
-    among = edges.join(without.withColumnRenamed("node", "child"), "child", "left_semi").join(without.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    return level_sets(nodes, precedence(edges, cyclic_nodes(stored(among)), nodes))
+    without = stored(tried.where("level IS NULL").select("node"))
+    return level_sets(nodes, precedence(edges, cyclic_nodes(stored(ends(without))), nodes))
 
 
 def hierarchy_depths(edges: DataFrame) -> DataFrame:
