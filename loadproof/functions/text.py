@@ -74,6 +74,32 @@ def _value(c: Column, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
+def sql_row(df: DataFrame) -> Column:
+    """As canonical, with scalars as SQL's CAST to VARCHAR writes them, so that another engine can give the same text.
+
+    Floating-point values stand in fixed notation from 1e-4 up to 1e16, and zero keeps its sign; instants are times in UTC.
+    """
+    return F.concat(*[_led(_sql_value(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema]) if df.columns else F.lit("")
+
+
+def _sql_value(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return _sql_float(c.cast("string"))
+    if isinstance(kind, T.TimestampType):
+        return F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz").cast("string")
+    return _value(c, kind)
+
+
+def _sql_float(text: Column) -> Column:
+    """Spark's text of a floating-point value, which has an exponent from 1e7 up and below 1e-3, rewritten."""
+    digits, power = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1).try_cast("int")
+    fixed = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0*$", "$1")
+    sign = F.when(power < 0, "-").otherwise("+")
+    short = F.concat(F.regexp_replace(digits, r"\.0$", ""), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    special = F.when(text == "NaN", "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf")
+    return F.coalesce(special, F.when(~F.contains(text, F.lit("E")), text).when(power.between(-4, 15), fixed).otherwise(short))
+
+
 def json_text(col: Column, path: str) -> Column:
     """The value at a path of a JSON text, as text; null where the path or the text is none."""
     return F.get_json_object(col, path)

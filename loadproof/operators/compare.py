@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadproof.functions.text import canonical
@@ -19,16 +19,16 @@ def table_counts(tables: Mapping[str, DataFrame], total: str | None = "TOTAL") -
     return each.rollup("table").agg(F.sum("n").alias("n")).select(F.coalesce("table", F.lit(total)).alias("table"), "n")
 
 
-def content_checksum(df: DataFrame) -> DataFrame:
+def content_checksum(df: DataFrame, text: Callable[[DataFrame], Column] = canonical) -> DataFrame:
     """(n, checksum): two sums over all rows of 60 bits each of a row's digest, so order is nothing and repeated rows count."""
     part = lambda at: F.conv(F.substring("d", at, 15), 16, 10).cast("decimal(20,0)")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").cast("string")
-    rows = df.select(F.md5(canonical(df)).alias("d")).select(part(1).alias("a"), part(17).alias("b"))
+    rows = df.select(F.md5(text(df)).alias("d")).select(part(1).alias("a"), part(17).alias("b"))
     return rows.agg(F.count("*").alias("n"), F.concat_ws("-", total("a"), total("b")).alias("checksum"))
 
 
-def checksums(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, (content_checksum(df).select(F.lit(name).alias("table"), "n", "checksum") for name, df in tables.items()))
+def checksums(tables: Mapping[str, DataFrame], text: Callable[[DataFrame], Column] = canonical) -> DataFrame:
+    return reduce(DataFrame.unionByName, (content_checksum(df, text).select(F.lit(name).alias("table"), "n", "checksum") for name, df in tables.items()))
 
 
 def count_agreement(counts: DataFrame, hashed: DataFrame) -> DataFrame:
@@ -69,9 +69,9 @@ def data_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("only_a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("only_b")))
 
 
-def compare(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame]) -> DataFrame:
+def compare(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame], text: Callable[[DataFrame], Column] = canonical) -> DataFrame:
     """For each table counts and checksums of source and target, how many columns differ in name, place or type, and whether all is the same."""
-    s, t = checksums(source), checksums(target)
+    s, t = checksums(source, text), checksums(target, text)
     joined = s.toDF("table", "n_source", "sum_source").join(t.toDF("table", "n_target", "sum_target"), "table", "full_outer")
     spark = s.sparkSession
     # as many rows as there are columns
