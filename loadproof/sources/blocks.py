@@ -8,7 +8,7 @@ where the row that is open at its start began. With that, each split's rows are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -128,8 +128,11 @@ def _header(text: str | None) -> tuple[str | None, str | None, list[str] | None]
     return (m[1] or "").lower() or None, m[2].lower(), re.findall(r"\[([^\]]*)\]", m[3])
 
 
-def _cut(lines: DataFrame, known) -> DataFrame:
-    """Whole rows, and the pieces (open, at) of those that go over the end of a split: open is where their row began."""
+def _cut(lines: DataFrame, known, wanted: Sequence[str]) -> DataFrame:
+    """Whole rows, and the pieces (open, at) of those that go over the end of a split: open is where their row began.
+
+    Of a row's places those that aren't wanted are null, as they are longer than most lines; cls always stands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_, key = known.value, None
@@ -138,14 +141,16 @@ def _cut(lines: DataFrame, known) -> DataFrame:
         state = 0
 
         def left() -> pa.RecordBatch:
-            return out([head], ["\n".join(pieces)], [key[1] if began is None else began], key[1])
-
-        def out(heads: list, rows: list[str], opens: list, at: int) -> pa.RecordBatch:
-            which = {h: i for i, h in enumerate(dict.fromkeys(heads))}
-            at_head, parsed = np.array([which[h] for h in heads], np.int64), [_header(h) for h in which]
-            of = lambda i, kind: pa.array([p[i] for p in parsed], kind).take(pa.array(at_head))
+            return out([head], np.zeros(1, np.int64), pa.array(["\n".join(pieces)], pa.string()), [key[1] if began is None else began], key[1])
+
+        def out(heads: list, which: np.ndarray, rows: pa.Array, opens: list | None, at: int) -> pa.RecordBatch:
+            parsed, of_head = [_header(h) for h in heads], pa.array(which)
+            full = opens is not None  # pieces are put together by their file
+            of = lambda i, kind, name: pa.array([p[i] for p in parsed], kind).take(of_head) if full or name in wanted else pa.nulls(len(rows), kind)
+            same = lambda x, kind: pa.repeat(pa.scalar(x, kind), len(rows))
+            opened = same(None, pa.int64()) if opens is None else pa.array(opens, pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array([file] * len(rows), pa.string()), of(0, pa.string()), of(1, pa.string()), of(2, pa.list_(pa.string())), pa.array(rows, pa.string()), pa.array(opens, pa.int64()), pa.array([at] * len(rows), pa.int64())],
+                [same(file if full or "file" in wanted else None, pa.string()), of(0, pa.string(), "owner"), of(1, pa.string(), "cls"), of(2, pa.list_(pa.string()), "cols"), rows, opened, same(at, pa.int64())],
                 names=["file", "owner", "cls", "cols", "line", "open", "at"],
             )
 
@@ -158,32 +163,37 @@ def _cut(lines: DataFrame, known) -> DataFrame:
                     file, state, began, head = all_.before(*now)
                     pieces = [] if state else None
                 odd, percent = _flags(part)
-                values = part.column(4).to_pylist()
+                lines_ = part.column(4)
+                text = lambda i, lines_=lines_: lines_[int(i)].as_py()
+                some = lambda a, b, lines_=lines_: lines_[a:b].to_pylist()
                 toggles = _toggles(odd, percent, state)
                 before = (state + np.cumsum(toggles) - toggles) % 2
-                marks = [i for i in np.flatnonzero(percent & (before == 0)) if values[i].startswith("%class")]
-                heads_ = [head, *(values[i] for i in marks)]
-                above = lambda i, marks=marks, heads_=heads_: heads_[np.searchsorted(marks, i)]
-                single = [int(i) for i in np.flatnonzero((before == 0) & ~toggles & ~percent) if values[i].strip()]
-                heads, rows, opens = [heads_[k] for k in np.searchsorted(marks, single)], [values[i] for i in single], [None] * len(single)
+                marks = [i for i in np.flatnonzero(percent & (before == 0)) if text(i).startswith("%class")]
+                heads_ = [head, *map(text, marks)]
+                # rows of one line, nearly all, stay in Arrow; those of several lines are joined below
+                filled = pc.not_equal(pc.utf8_trim_whitespace(lines_), "").to_numpy(zero_copy_only=False)
+                single = np.flatnonzero((before == 0) & ~toggles & ~percent & filled)
+                if len(single):
+                    yield out(heads_, np.searchsorted(marks, single), lines_.take(pa.array(single)), None, now[1])
+                which, rows, opens = [], [], []
                 turns = [int(i) for i in np.flatnonzero(toggles)]
                 if pieces is not None:  # a row is open as these lines begin
-                    end = turns.pop(0) if turns else len(values) - 1
-                    pieces += values[: end + 1]
+                    end = turns.pop(0) if turns else len(lines_) - 1
+                    pieces += some(0, end + 1)
                     if toggles[end]:
-                        heads.append(head)
+                        which.append(0)
                         rows.append("\n".join(pieces))
                         opens.append(began)
                         pieces = began = None
                 for a, b in zip(turns[::2], turns[1::2], strict=False):
-                    heads.append(above(a))
-                    rows.append("\n".join(values[a : b + 1]))
+                    which.append(np.searchsorted(marks, a))
+                    rows.append("\n".join(some(a, b + 1)))
                     opens.append(None)
                 if rows:
-                    yield out(heads, rows, opens, now[1])
+                    yield out(heads_, np.array(which, np.int64), pa.array(rows, pa.string()), opens, now[1])
                 head = heads_[-1]
                 if len(turns) % 2:
-                    pieces, began = values[turns[-1] :], None
+                    pieces, began = some(turns[-1], len(lines_)), None
                 state = int(before[-1] + toggles[-1]) % 2
         if pieces is not None:
             yield left()
@@ -191,28 +201,28 @@ def _cut(lines: DataFrame, known) -> DataFrame:
     return lines.select("fid", "at", "odd", "percent", "value").mapInArrow(run, _ROW)
 
 
-def scan_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, owner, cls, cols, line): each row with the nearest `%class` header above it; a line break within a literal belongs to its row.
+def scan_objects(spark: SparkSession, paths: str | list[str], columns: Sequence[str] = ("file", "owner", "cls", "cols", "line")) -> DataFrame:
+    """(file, owner, cls, cols, line), or those of them that are asked for: each row with the nearest `%class` header above it; a line break within a literal belongs to its row.
 
     Lines end at \\n; a row below no header is none. The text is read once for its quotes and once for its rows, and once more only if
     a row goes over the end of a split; its pieces, at most one row's a split, meet by where it began. A literal that is
     open for more than OPEN_BYTES is broken off at a split's start, so that a lost quote costs the rows up to there, which decoding refuses.
     """
     file, at = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
-    odd = (F.length("value") - F.length(F.replace("value", F.lit("'")))) % 2 == 1
+    odd = F.contains("value", F.lit("'")) & ((F.length("value") - F.length(F.replace("value", F.lit("'")))) % 2 == 1)
     lines = spark.read.option("lineSep", "\n").text(paths).select(F.xxhash64(file).alias("fid"), at.alias("at"), odd.alias("odd"), F.startswith("value", F.lit("%")).alias("percent"), "value", file.alias("file"))
     folded = stored(_folded(_survey(lines)))
     groups, out = folded.count() // SENT_SPLITS + 1, None
     for g in range(groups):
         own = F.pmod("fid", F.lit(groups)) == g
         rows = folded.where(own).toArrow()
-        cut = _cut(lines.where(own), spark.sparkContext.broadcast(_Known(rows)))
+        cut = _cut(lines.where(own), spark.sparkContext.broadcast(_Known(rows)), {*columns, "cls"})
         found = cut.where("open IS NULL")
         if pc.any(pc.equal(rows["state"], 1)).as_py():
             pieces = F.array_sort(F.collect_list(F.struct("at", "line")))
             whole = cut.where("open IS NOT NULL").groupBy("file", "open").agg(pieces.alias("p"), *[F.min_by(c, "at").alias(c) for c in ("owner", "cls", "cols")])
             found = found.select("file", "owner", "cls", "cols", "line").union(whole.select("file", "owner", "cls", "cols", F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("line")))
-        found = found.where("cls IS NOT NULL").select("file", "owner", "cls", "cols", "line")
+        found = found.where("cls IS NOT NULL").select(*columns)
         out = found if out is None else out.union(found)
     return out
 
@@ -225,6 +235,21 @@ _TOKEN = re.compile(rf"{_QUOTED}|[^\s'{{}}]++|['{{}}]")
 _MEMBER = re.compile(rf"{_QUOTED}|[^\s'{{}},]++|['{{}},]")
 
 
+#: A row of bare tokens, one space between two.
+_BARE = r"^[!-&(-z|~]+( [!-&(-z|~]+)*$"
+#: Bytes of lines whose literals a task holds at once.
+DECODED_BYTES = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about DECODED_BYTES of lines; a line is never cut."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy().astype(np.int64)) // DECODED_BYTES
+    cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def literals(line: str) -> list[str] | None:
     """A row's literals as written: quoted, a collection in braces, or a bare token; None if a quote or brace is open."""
     tokens = _TOKEN.findall(line)
@@ -349,14 +374,20 @@ def decode(rows: DataFrame, types: Mapping[str, str], line_col: str = "line") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = [*(f"c{i}" for i in range(len(names))), "why", *(f"p{i}" for i in range(len(kinds)))]
+        made = lambda batch, why, cells: pa.RecordBatch.from_arrays([*batch.columns, why, *cells], names=labels)
         for batch in batches:
-            why, cells = [], []
-            for line in batch.column(at).to_pylist():
-                reason, cell = values(line or "")
-                why.append(reason)
-                cells.append(cell)
-            columns = zip(*cells, strict=True) if cells else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(why, pa.string()), *(pa.array(c, f) for c, f in zip(columns, fields, strict=True))], names=labels)
+            if plain and kinds:  # rows of bare tokens alone are split in Arrow
+                bare = pc.fill_null(pc.match_substring_regex(batch.column(at), _BARE), False)
+                bare = pc.and_(bare, pc.fill_null(pc.equal(pc.count_substring(batch.column(at), " "), len(kinds) - 1), False))
+                if n := bare.true_count:
+                    rest, batch = batch.filter(pc.invert(bare)), batch.filter(bare)
+                    found = pc.split_pattern(batch.column(at), " ").flatten()
+                    cells = [found.take(pa.array(np.arange(i, n * len(kinds), len(kinds)))) for i in range(len(kinds))]
+                    yield made(batch, pa.nulls(n, pa.string()), [pc.if_else(pc.equal(c, "NULL"), pa.scalar(None, pa.string()), c) for c in cells])
+                    batch = rest
+            for part in _slices(batch, at):
+                why, cells = zip(*(values(line or "") for line in part.column(at).to_pylist()), strict=True)
+                yield made(part, pa.array(why, pa.string()), [pa.array(c, f) for c, f in zip(zip(*cells, strict=True), fields, strict=True)])
 
     parsed = rows.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
     row, reasons = [], [F.col("why")]
