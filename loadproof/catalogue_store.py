@@ -26,7 +26,7 @@ def _dumped(spark: SparkSession, df: DataFrame, cls: str) -> str:
 def documents_through_dump(spark, d):
     """Texts with line breaks, quotes and braces, written as dump text, scanned, decoded, loaded and read back."""
     docs = read(spark, d, "documents")
-    rows = dump.scan_objects(spark, _dumped(spark, docs, "documents")).where("cls = 'documents'")
+    rows = dump.scan_objects(spark, _dumped(spark, docs, "documents"), ["file", "cls", "line"]).where("cls = 'documents'")
     sinks.load_decoded(dump.decode(rows.select("file", "line"), dict(docs.dtypes)), target := new_path(spark), file_col="file")
     until_exit(spark, target)
     return sinks.read_table(spark, target)
@@ -36,8 +36,8 @@ def documents_through_dump(spark, d):
 def nested_collections_through_dump(spark, d):
     """Vectors as sequences of sequences, and as sets of integers, through dump text."""
     rows = read(spark, d, "embeddings").select("vec_id", F.array("embedding", F.slice("embedding", 1, 2)).alias("nested"), F.transform("embedding", lambda x: F.floor(x * 4).cast("int")).alias("kinds"))
-    scanned = dump.scan_objects(spark, _dumped(spark, rows, "embeddings"))
-    good, _ = dump.decode_rows(scanned.select("line"), {"vec_id": "bigint", "nested": "sequence<sequence<float>>", "kinds": "set<int>"})
+    scanned = dump.scan_objects(spark, _dumped(spark, rows, "embeddings"), ["line"])
+    good, _ = dump.decode_rows(scanned, {"vec_id": "bigint", "nested": "sequence<sequence<float>>", "kinds": "set<int>"})
     return good
 
 
