@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,11 +37,11 @@ from pyspark.sql import functions as F
 from loadproof.llm.common import small_batches, stored, table
 
 #: The most words in the table that every worker holds, and the most characters of one of them.
-TABLE_WORDS, WORD_CHARS = 500_000, 48
+TABLE_WORDS, WORD_CHARS = 200_000, 48
 #: Rows of one chunk, as a power of two; distinct words that a task gathers before it passes them on.
-CHUNK, LOCAL_WORDS = 14, 300_000
+CHUNK, LOCAL_WORDS = 14, 150_000
 #: Words outside the table that a task remembers.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 50_000
 #: Bytes of text in one partition of the last step.
 PART_BYTES = 64_000_000
 
@@ -70,25 +71,22 @@ class Codec:
 
     def _ranks(self, path: str):
         """The same vocabulary as merge ranks, for words on which both libraries agree; None: always the slow one."""
-        import json
-
         import tiktoken
         from tokenizers.pre_tokenizers import ByteLevel
 
-        spec = json.loads(self.slow.to_str())
-        if spec["normalizer"] or spec["pre_tokenizer"].get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or not isinstance(self.slow.pre_tokenizer, ByteLevel):
+        before = self.slow.pre_tokenizer
+        if self.slow.normalizer is not None or not isinstance(before, ByteLevel) or before.add_prefix_space:
             return None
         ranks = {p: i for i, p in enumerate(self.pieces) if i not in self.special.values() and p}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def word(self, chunk: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.fast and _PLAIN.fullmatch(chunk):
-            ids = self.fast.encode_ordinary(chunk)
-        else:
-            ids = self.slow.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    def tokens(self, part: str) -> list[int]:
+        if part in self.special:
+            return [self.special[part]]
+        if self.fast and _PLAIN.fullmatch(part):
+            return self.fast.encode_ordinary(part)
+        return self.slow.encode(part, add_special_tokens=False).ids
 
     def parts(self, text: str) -> list[str]:
         """The words of a text in order; special tokens stand as parts of their own."""
@@ -102,7 +100,8 @@ class Codec:
         return out
 
     def ids(self, part: str) -> bytes:
-        return np.array([self.special[part]], "<u4").tobytes() if part in self.special else self.word(part)
+        """Ids as little-endian unsigned 32-bit integers."""
+        return np.array(self.tokens(part), "<u4").tobytes()
 
     def bytes_of(self, packed: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -116,8 +115,8 @@ class Codec:
             for i, one in enumerate(got):
                 if one is None:
                     if (one := local.get(parts[i])) is None:
-                        ids = self.ids(parts[i])
-                        one = packed(ids, self.bytes_of(ids))
+                        ids = self.tokens(parts[i])
+                        one = packed(struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.pieces.__getitem__, ids)))
                         if len(one) > 1:
                             long = True
                         else:
@@ -132,7 +131,9 @@ class Codec:
 
 def packed(ids: bytes, decoded: bytes) -> list[bytes]:
     """A word's ids and bytes as one value (number of ids, ids, bytes), which takes half the memory of two; several for more than 255 ids."""
-    runs = [ids[i : i + 1020] for i in range(0, len(ids), 1020)] or [b""]
+    if len(ids) <= 1020:
+        return [bytes((len(ids) // 4,)) + ids + decoded]
+    runs = [ids[i : i + 1020] for i in range(0, len(ids), 1020)]
     return [bytes([len(r) // 4]) + r + (b"" if k else decoded) for k, r in enumerate(runs)]
 
 
@@ -185,8 +186,8 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(counts: Counter) -> pa.RecordBatch:
-            kept = {w: n for w, n in counts.items() if len(w) <= WORD_CHARS}
-            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
+            kept = [w for w in counts if len(w) <= WORD_CHARS]
+            return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(map(counts.__getitem__, kept), pa.int64())], names=["word", "n"])
 
         c, counts = codec(path), Counter()
         for batch in batches:

@@ -35,7 +35,7 @@ from loadproof.llm.common import filter_texts, fold, small_batches, stored, tabl
 POSITIVES, UNLABELLED = 4_000, 12_000
 #: Features kept, those most typical of the positives first; buckets that feature names hash to.
 FEATURES, BUCKETS = 4_096, 1 << 22
-LOCAL_WORDS = 300_000
+LOCAL_WORDS = 150_000
 #: Longer words are scored like all others, but not remembered.
 CACHED_CHARS = 60
 HELD_OUT = 5
