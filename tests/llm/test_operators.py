@@ -657,6 +657,20 @@ def test_jaccard_equals_brute_force(make, monkeypatch, family):
     assert by_id(jaccard.near_duplicates(make(texts, ids)), "n_shingles", "component_id") == brute_classes(ids, texts)
 
 
+def test_jaccard_families_try_only_sets_with_a_common_token(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [np.sort(rng.choice(5000, 40, False)) for _ in range(40)]
+    sets = [np.sort(np.unique(np.concatenate([b[: 40 - k], rng.choice(5000, k, False)]))) for b in base for k in (0, 2, 5, 20)]
+    tried = []
+    monkeypatch.setattr(jaccard, "links", lambda a, b, f=jaccard.links: (tried.append(1), f(a, b))[1])
+    every = lambda k, r: True
+    want = {(k, r) for k in range(160) for r in range(k + 1, 160) if 100 * (c := len(np.intersect1d(sets[k], sets[r]))) >= 75 * (len(sets[k]) + len(sets[r]) - c)}
+    left, right = list(range(80)), list(range(80, 160))
+    pairs = lambda *sides: {tuple(sorted(p)) for p in jaccard._prefix_pairs(sets, *sides, every)}
+    assert pairs(left, left) | pairs(right, right) | pairs(left, right) == want and len(want) > 80
+    assert len(tried) < 160 * 159 // 2 // 4
+
+
 def test_jaccard_edge_cases(make):
     text = "a b c d e f g h i j k l"
     rows = jaccard.near_duplicates(make([text, text, text.upper(), "z", None], [5, 5, 3, None, 9])).collect()
